@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import toxicity
+from loomwork.llm import packing, pieces, toxicity
+
+
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +24,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.shortest_pack_first(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_digests(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op6_shortest_pack_first": op6_shortest_pack_first,
+    "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
 }
 
 ORACLES: dict[str, str] = {}
