@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import packing, pieces, toxicity
+from loomwork.llm import line_quality, packing, pieces, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_frequency_quality(_read(spark, sf_dir, "documents"))
+
+
 def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shortest_pack_first(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -34,8 +38,11 @@ def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_shortest_pack_first": op6_shortest_pack_first,
     "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_frequency_quality": line_quality.ORACLE_SQL,
+}
