@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import line_quality, packing, pieces, toxicity
+from loomwork.llm import line_quality, packing, pieces, secret_scan, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,10 @@ def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shortest_pack_first(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_secret_entropy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_shortest_pack_first": op6_shortest_pack_first,
+    "op7_secret_entropy_scan": op7_secret_entropy_scan,
     "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
 }
 
