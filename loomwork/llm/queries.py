@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwork.llm import line_quality, packing, pieces, secret_scan, toxicity
+from loomwork.llm import line_quality, packing, pieces, secret_scan, toxicity, voronoi
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,14 +41,20 @@ def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.voronoi_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_shortest_pack_first": op6_shortest_pack_first,
     "op7_secret_entropy_scan": op7_secret_entropy_scan,
     "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
+    "op10_voronoi_topk": op10_voronoi_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op5_line_frequency_quality": line_quality.ORACLE_SQL,
+    "op10_voronoi_topk": voronoi.ORACLE_SQL,
 }
