@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 from loomwork.llm.shared import checkpointed
 
 END_ID = 1
-#: Words whose ids a task remembers (under 100 MB).
-REMEMBERED = 300_000
+#: Words whose ids a task remembers (under 200 MB).
+REMEMBERED = 700_000
 SALTS = 256
 
 _WHITE = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 
 
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordEncoder:
     """Ids of whole texts. The tokenizer drops white space and looks at nothing across it, so words are encoded once each."""
 
@@ -42,6 +45,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # a special token parts the words of one call, as it is cut out before anything else is done to a text
+        self.part = next((t for t in ("<|startoftext|>", "<|endoftext|>") if self.tokenizer.token_to_id(t) is not None), None)
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of words. What stands before a tail of signs is a word to the tokenizer too, so both are looked up alone."""
+        cut = {}
+        for word in new:
+            stem = word.rstrip(_TAIL)
+            if len(stem) < len(word) and stem[-1:].isalpha() and "<|" not in word:
+                cut[word] = stem, word[len(stem) :]
+        known = self.known
+        whole = {w for w in new if w not in cut} | {p for pair in cut.values() for p in pair if p not in known}
+        plain = [w for w in whole if self.part and "<|" not in w]
+        for at in range(0, len(plain), 2_000):
+            words = plain[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode(self.part.join(words), add_special_tokens=False).ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.tokenizer.token_to_id(self.part)).tolist(), len(ids)]
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(words, ends, strict=True):
+                known[word] = data[4 * begin : 4 * end]
+                begin = end + 1
+        for word in whole.difference(plain):
+            known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        for word, (stem, tail) in cut.items():
+            known[word] = known[stem] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
@@ -49,11 +77,7 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn({w for x in words for w in x if w not in known})
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
 
