@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import line_quality, packing, pieces, secret_scan, toxicity, voronoi
+from loomwork.llm import jaccard_forest, line_quality, packing, pieces, secret_scan, toxicity, voronoi
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.jaccard_classes(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_shortest_pack_first": op6_shortest_pack_first,

@@ -154,7 +154,7 @@ def linked_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         kept = large.join(low, large.a == low.u).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpointed(kept.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first()
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if seen == mark:
             break
         mark = seen
