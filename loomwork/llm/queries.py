@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import jaccard_forest, line_quality, packing, pieces, secret_scan, toxicity, voronoi
+from loomwork.llm import jaccard_forest, line_quality, packing, pieces, prefix_trees, secret_scan, toxicity, voronoi
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +41,10 @@ def op7_secret_entropy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_prefix_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trees.substring_digests(_read(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_shortest_pack_first": op6_shortest_pack_first,
     "op7_secret_entropy_scan": op7_secret_entropy_scan,
+    "op8_prefix_suffix_tree_dedup": op8_prefix_suffix_tree_dedup,
     "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
     "op10_voronoi_topk": op10_voronoi_topk,
 }
