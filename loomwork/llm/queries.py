@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import jaccard_forest, line_quality, packing, pieces, prefix_trees, secret_scan, suffix_arrays, toxicity, voronoi
+from loomwork.llm import jaccard_forest, line_quality, packing, pieces, prefix_trees, secret_scan, suffix_arrays, toxicity, voronoi, warc_fixity
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +29,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.suffix_array_digests(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records against a replica with planted faults."""
+    records = warc_fixity.warc_records(_read(spark, sf_dir, "pages"))
+    return warc_fixity.audit(records, warc_fixity.with_planted_faults(records))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -60,6 +66,7 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_warc_merkle_audit": op3_warc_merkle_audit,
     "op4_toxicity": op4_toxicity,
     "op5_line_frequency_quality": op5_line_frequency_quality,
     "op6_shortest_pack_first": op6_shortest_pack_first,
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_merkle_audit": warc_fixity.ORACLE_SQL,
     "op5_line_frequency_quality": line_quality.ORACLE_SQL,
     "op10_voronoi_topk": voronoi.ORACLE_SQL,
 }
