@@ -204,7 +204,8 @@ def repeated_runs(docs: DataFrame, scheme: Scheme, solve: Solver, across: bool,
     anchors = stored(_anchor_rows(docs, scheme))
     same = docs.groupBy("h1", "h2").agg(F.min("order").alias("rep"), F.count("*").alias("copies"))
     facts = anchors.groupBy("gram").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("first").alias("c"), F.max("first").alias("d"), F.count("*").alias("often"))
-    again = facts.where("a <> b" if across else "a <> b or c <> d").select("gram", (F.col("often") > task_contexts).alias("hot"))
+    # a table of its own, so that Spark may split what a very frequent k-gram has on the other side of the join
+    again = stored(facts.where("a <> b" if across else "a <> b or c <> d").select("gram", (F.col("often") > task_contexts).alias("hot")))
     near = checkpointed(anchors.join(again, "gram").groupBy("h1", "h2", "hot").agg(F.collect_set(F.struct("gram", "first", "n")).alias("anchors")).join(same.withColumnRenamed("rep", "order").drop("copies"), ["h1", "h2"]))
     texts = docs.select("h1", "h2", "order", "text").join(near, ["h1", "h2", "order"])
     columns = ["h1", "h2", "order", "anchors", "text"]
