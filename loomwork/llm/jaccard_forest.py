@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import checkpointed, column_of, gram_hashes, linked_components, mix, ranges, span_hashes, text_chunks, word_hashes
+from loomwork.llm.shared import checkpointed, column_of, gram_hashes, linked_components, mix, ranges, set_aside, span_hashes, text_chunks, word_hashes
 
 SHINGLE_WORDS = 5
 #: A chunk of a block has about so many contents and words at most.
@@ -188,7 +188,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, lo
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """`docs` with one document of each class: the one that names it, once. Rows without doc_id are kept if no numbered one is like them."""
+    docs, restore = set_aside(docs)
     classes = jaccard_classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(classes, docs["doc_id"].cast("long").eqNullSafe(classes["_kept"]), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return restore(kept.dropDuplicates(["doc_id"]) if repeated else kept)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import anchors
-from loomwork.llm.shared import column_of, text_chunks, word_bounds
+from loomwork.llm.shared import column_of, set_aside, text_chunks, word_bounds
 
 GRAM_WORDS = 8
 
@@ -94,7 +94,7 @@ def substring_digests(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """`docs` with the repeated words taken out of `text`; texts without any stay as they are, and rows that lose all their words go."""
-    schema = docs.schema
+    docs, restore = set_aside(docs)
     rows = docs.withColumns({"_h1": F.xxhash64(F.coalesce("text", F.lit(""))), "_h2": F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))})
     plain = anchors.contents(docs)
     same, runs = anchors.repeated_runs(plain, scheme_of(window), least_documents(window), across=True)
@@ -111,4 +111,4 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     touched = F.col("_whole") | F.col("runs").isNotNull()
     new = marked.withColumn("_new", F.when(touched, kept(F.col("text"), F.col("_whole"), F.col("runs"))))
     new = new.where(F.col("_new").isNull() | (F.col("_new") != ""))
-    return new.withColumn("text", F.coalesce("_new", "text")).select(*schema.names)
+    return restore(new.withColumn("text", F.coalesce("_new", "text")))

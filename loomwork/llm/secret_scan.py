@@ -19,6 +19,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.shared import set_aside
+
 WINDOW = 20
 #: The fixed patterns, in the order in which kinds are listed: kind, pattern, group, least length of that group.
 PATTERNS = [
@@ -131,7 +133,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """`docs` with every span in `text` replaced by `mask`; spans that meet become one. Texts without spans stay as they are."""
-    names = docs.columns
+    docs, restore = set_aside(docs, (text,))
     found = with_secrets(docs, text)
     t = F.col(text)
     start = F.struct(F.lit(0).alias("p"), F.lit("").alias("x"))
@@ -142,4 +144,4 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         return F.struct(F.greatest(acc["p"], span["e"]).alias("p"), F.when(fresh, F.concat(acc["x"], between, F.lit(mask))).otherwise(acc["x"]).alias("x"))
 
     masked = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["x"], F.substring(t, acc["p"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, masked).otherwise(t)).select(*names)
+    return restore(found.withColumn(text, F.when(F.size("secrets") > 0, masked).otherwise(t)))

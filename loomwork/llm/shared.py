@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all but the used columns renamed, so that they can't clash with an operator's own, and what puts names and order back."""
+    names = docs.columns
+    inner = [c if c in used else f"_aside{i}" for i, c in enumerate(names)]
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(a).alias(b) for a, b in zip(inner, names, strict=True)])
+
+    return docs.toDF(*inner), restore
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -1,0 +1,185 @@
+"""Toxicity, quality, secrets, tokens and packing."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from loomwork.llm import line_quality, packing, pieces, secret_scan, toxicity
+from loomwork.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KINDS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---- toxicity
+
+
+def test_toxicity_on_held_out_labels(spark, docs, small):
+    data = "/root/testdata/sf0.1"  # smaller tables hold out too few toxic rows
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    scored = toxicity.toxicity(spark.read.parquet(f"{data}/documents.parquet"), labels)
+    rows = scored.join(labels.groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    good = [r["score"] for r in rows if not r["toxic"]]
+    bad = [r["score"] for r in rows if r["toxic"]]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc > 0.95 and all(0 <= x <= 1 for x in good + bad)
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.9
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_toxicity_of_odd_tables(spark, odd, none, texts):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts if i] + [(None, 1, 1), (3, 0, None), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(odd, labels).count() == len(texts)
+    assert toxicity.toxicity(none, labels).count() == 0
+    empty = toxicity.toxicity(odd, labels.limit(0)).collect()
+    assert {r["score"] for r in empty} == {0.25} and {r["predicted"] for r in empty} == {0}
+
+
+def test_toxicity_doesnt_learn_from_held_out_rows(spark, docs, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    turned = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(toxicity.F.col("doc_id")), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
+    a, b = (sorted(map(tuple, toxicity.toxicity(docs, x).collect())) for x in (labels, turned))
+    assert a == b
+
+
+# ---- quality
+
+
+def test_quality_of_odd_tables(odd, none, texts):
+    con = duckdb.connect()
+    documents = odd.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words"]
+    want = con.execute(f"select {', '.join(names)} from ({line_quality.ORACLE_SQL.replace('from documents', 'from (select doc_id::bigint as doc_id, text, source from documents)')})").fetchall()
+    got = [tuple(r) for r in line_quality.line_frequency_quality(odd).select(*names).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert line_quality.line_frequency_quality(none).count() == 0
+
+
+# ---- secrets
+
+
+def brute_secrets(text: str) -> tuple[list, str]:
+    found = []
+    for order, (kind, pattern, group, least) in enumerate(KINDS):
+        found += [(m.start(), order, m.end(), kind) for m in pattern.finditer(text) if len(m.group(group)) >= least]
+    found.sort()
+    return found, sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in found))
+
+
+def entropy_spans(text: str, base: list) -> list:
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        c = m.group()
+        if any(s < m.end() and m.start() < e for s, _, e, _ in base) or not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(re.search(p, c) for p in secret_scan.ALLOWED):
+            continue
+        limit = 3.0 if re.fullmatch("[0-9A-Fa-f]+", c) else 3.7
+        over = [i for i in range(len(c) - 19) if -sum(n / 20 * math.log2(n / 20) for n in Counter(c[i : i + 20]).values()) >= limit - 1e-9]
+        if over:
+            out.append((m.start() + over[0], 3, m.start() + over[-1] + 20, "entropy"))
+    return out
+
+
+def test_secrets(corpora, none):
+    for df, rows in corpora:
+        got = sorted((tuple(r) for r in secret_scan.secret_report(df).collect()), key=repr)
+        want = []
+        for doc_id, t in rows:
+            base, digest = brute_secrets(t or "")
+            n = Counter(k for *_, k in base)
+            spans = sorted(base + entropy_spans(t or "", base))
+            want.append((doc_id, n["assign"], n["access"], n["hex"], digest, ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)))
+        assert got == sorted(want, key=repr)
+    assert secret_scan.secret_report(none).count() == 0
+
+
+def test_redaction(odd, texts):
+    kept = secret_scan.redact(odd)
+    assert kept.columns == odd.columns
+    want = []
+    for _, t in texts:
+        base, _ = brute_secrets(t or "")
+        mask = [False] * len(t or "")
+        for s, _, e, _ in base + entropy_spans(t or "", base):
+            mask[s:e] = [True] * (e - s)
+        out = "".join("[SECRET]" if m and (i == 0 or not mask[i - 1]) else "" if m else c for i, (c, m) in enumerate(zip(t or "", mask, strict=True)))
+        want.append(None if t is None else out)
+    assert sorted((r["text"] for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+# ---- pieces
+
+
+def test_pieces_as_the_library(corpora, none):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for df, rows in corpora:
+        got = sorted((tuple(r)[:4] for r in pieces.encoded_digests(df, path).collect()), key=repr)
+        want = []
+        for doc_id, t in rows:
+            ids = library.encode(t or "", add_eos=True, num_threads=1)
+            want.append((doc_id, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
+        assert got == sorted(want, key=repr)
+    assert pieces.encoded_digests(none, path).count() == 0
+
+
+def test_pieces_cover_their_texts(odd):
+    path = tokenizer_path("piece_bpe_32k.model")
+    for r in pieces.encode_with_offsets(odd, path).collect():
+        spans, size = r["pieces"], len((r["text"] or "").encode())
+        assert spans[-1]["begin"] == spans[-1]["end"] == size
+        assert all(a["end"] == b["begin"] for a, b in zip(spans[:-1], spans[1:], strict=True)) and spans[0]["begin"] == 0
+
+
+# ---- packing
+
+
+@pytest.mark.parametrize("capacity", [2048, 64])
+def test_packing(corpora, none, capacity):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for df, rows in corpora:
+        got = packing.shortest_pack_first(df, path, capacity).collect()
+        want = []
+        for doc_id, t in rows:
+            ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+            want += [(doc_id, s, len(p := ids[s : s + capacity]), zlib.crc32(p.tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
+        assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in sequences.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        total = sum(r["length"] for r in got)
+        assert len(sequences) <= 1.1 * total / capacity + 1
+    assert packing.shortest_pack_first(none, path).count() == 0
+
+
+def test_patterns_hold_every_length():
+    draw = np.random.default_rng(5)
+    for _ in range(20):
+        histogram = {int(n): int(draw.integers(1, 500)) for n in draw.integers(1, 257, 60)}
+        placed = Counter()
+        for count, pack in packing.packing_patterns(histogram, 256):
+            assert sum(n * times for n, times in pack) <= 256
+            for n, times in pack:
+                placed[n] += count * times
+        assert placed == Counter(histogram)
