@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import jaccard_forest, packing, prefix_trees, secret_scan, toxicity
 from loomwork.llm.anchors import stored
 from loomwork.llm.queries import tokenizer_path
+from loomwork.llm.shared import set_aside
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -24,7 +25,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    inner, restore = set_aside(docs)
+    return restore(toxicity.score(inner, model, out="_toxicity").where(F.col("_toxicity") < 0.5))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
