@@ -191,7 +191,7 @@ def _single_windows(texts: DataFrame, scheme: Scheme, across: bool) -> DataFrame
 
     windows = texts.mapInArrow(cut, "w1 long, w2 long, h1 long, h2 long, order long, start long")
     facts = windows.groupBy("w1", "w2").agg(F.min("order").alias("low"), F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"))
-    again = facts.where("a <> b or c <> d").select("w1", "w2", "low")
+    again = stored(facts.where("a <> b or c <> d").select("w1", "w2", "low"))  # stored for the same reason as the repeated k-grams
     hit = windows.join(again, ["w1", "w2"])
     return (hit.where("order > low") if across else hit).select("h1", "h2", "start", F.lit(1).cast("long").alias("n"))
 
