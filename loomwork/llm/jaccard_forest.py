@@ -21,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.shared import checkpointed, column_of, gram_hashes, linked_components, mix, ranges, set_aside, span_hashes, text_chunks, word_hashes
@@ -139,14 +139,16 @@ def _verify(threshold: Fraction):
     return links
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, longest: int = 8, recall: float = 0.9999) -> DataFrame:
-    """doc_id, class_id and n_links of every document.
+def _content(text: Column) -> tuple[Column, Column]:
+    """Two hashes that name a content."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
-    Documents whose texts are linked, directly or through others, are a class; class_id is its smallest doc_id. n_links counts
-    the other documents (copies too) of similarity `threshold` or more.
-    """
+
+def _placed(docs: DataFrame, threshold: float, trees: int = 32, longest: int = 8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2, words) of every document, and (h1, h2, rep, component, copies, links) of every content with words."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"), "text")
+    h1, h2 = _content(F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
     ids = checkpointed(_forest_keys(docs, trees, forest_depth(trees, longest, threshold, recall)))
     contents = ids.where("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("keys").alias("keys"))
     # the checkpoint's files fix the order of rows, so this number names a content for good
@@ -180,6 +182,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, lo
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     placed = contents.select("cid", "h1", "h2", "rep", "copies").join(links, "cid", "left").join(classes.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.withColumn("component", F.coalesce("component", "cid"))
+    return ids, placed
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, longest: int = 8, recall: float = 0.9999) -> DataFrame:
+    """doc_id, class_id and n_links of every document.
+
+    Documents whose texts are linked, directly or through others, are a class; class_id is its smallest doc_id. n_links counts
+    the other documents (copies too) of similarity `threshold` or more.
+    """
+    ids, placed = _placed(docs, threshold, trees, longest, recall)
     low = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
     placed = placed.join(low, "component").select("h1", "h2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = ids.select("doc_id", "h1", "h2", "words").join(placed, ["h1", "h2"], "left")
@@ -187,9 +199,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, lo
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """`docs` with one document of each class: the one that names it, once. Rows without doc_id are kept if no numbered one is like them."""
+    """`docs` with one document of each class: the one of the smallest (doc_id, content), where rows without doc_id come last, once.
+
+    Keepers are found by doc_id and content, so that texts which share a doc_id, or have none, don't stand for each other.
+    Texts without words are classes of their own and all stay.
+    """
     docs, restore = set_aside(docs)
-    classes = jaccard_classes(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(classes, docs["doc_id"].cast("long").eqNullSafe(classes["_kept"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return restore(kept.dropDuplicates(["doc_id"]) if repeated else kept)
+    ids, placed = _placed(docs, threshold)
+    least = placed.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("k"))
+    blank = ids.where("words = 0").select("doc_id", "h1", "h2", F.lit(True).alias("_blank")).distinct()
+    keepers = least.select(F.col("k.rep").alias("doc_id"), "k.h1", "k.h2", F.lit(False).alias("_blank")).unionByName(blank).toDF("_kept", "_k1", "_k2", "_blank")
+    docs = docs.withColumns({f"_h{i + 1}": h for i, h in enumerate(_content(F.coalesce("text", F.lit(""))))})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
+    kept = docs.join(keepers, same)
+    again = ids.where("words > 0").groupBy("doc_id", "h1", "h2").count().where("count > 1").drop("count").toDF("doc_id", "_h1", "_h2")
+    if again.join(keepers, same, "left_semi").limit(1).count():
+        kept = kept.where("_blank").unionByName(kept.where("not _blank").dropDuplicates(["doc_id", "_h1", "_h2"]))
+    return restore(kept)

@@ -62,6 +62,14 @@ def test_jaccard_keeps_one_of_each(corpora, none):
     assert jaccard_forest.jaccard_classes(none).count() == 0
 
 
+def test_jaccard_keeps_texts_that_share_a_doc_id_or_have_none(spark):
+    first, second, third, fourth = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    near = first.replace("a59", "z")
+    rows = [(None, first), (None, second), (None, second), (1, near), (7, third), (7, fourth), (7, fourth), (None, ""), (None, None)]
+    kept = jaccard_forest.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, near), (None, second), (7, third), (7, fourth), (None, ""), (None, None)])
+
+
 def test_forest_depth_shortens_until_the_recall_is_reached():
     assert jaccard_forest.forest_depth(32, 8, 0.8, 0.9999) == 6
     assert jaccard_forest.forest_depth(32, 8, 0.95, 0.99) == 8
