@@ -3,10 +3,10 @@
 Candidates are runs of 20 or more of the characters that keys and tokens are made of. A window of 20 characters slides over
 a candidate; its Shannon entropy follows from S = sum of f(count) over its characters, f(c) = c log2 c, as
 H = log2(20) - S / 20, and S changes by f(c+1) - f(c) for the character that enters and f(c-1) - f(c) for the one that leaves.
-The limit depends on the candidate's character class: hexadecimal (3.0 bits), or letters with digits (3.7 bits). A candidate
-without letters or without digits is none, and an allow-list (UUIDs, paths and words joined by signs, placeholders) suppresses
-others. The span runs from the first to the end of the last window over the limit. A span that meets one of a fixed pattern
-isn't added, so the fixed ones always stay.
+Windows that meet a span of a fixed pattern, eight equal characters in a row or a placeholder word are left out, which parts a
+candidate into pieces; whatever else a candidate holds is looked at. The limit depends on the piece's character class:
+hexadecimal (3.0 bits), or letters with digits (3.7 bits). A piece without letters or without digits is none, and UUIDs, paths
+and words joined by signs are none either. A span runs from the first to the end of the last window over the limit of a piece.
 
 All spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; a text's rows are independent, so repeated rows,
 any order and an empty table need nothing special; other columns are ignored (`redact` keeps them).
@@ -38,6 +38,9 @@ ALLOWED = [
     r"(.)\1{7}",
     r"(?i)example|placeholder|changeme",
 ]
+#: Those that a whole piece has to match, and those that only clear the stretch they match, with its length.
+WHOLE = ALLOWED[:2]
+STRETCHES = [(ALLOWED[2], 8), *((f"(?i){word}", len(word)) for word in ALLOWED[3].removeprefix("(?i)").split("|"))]
 _HEX_BITS, _MIXED_BITS = 3.0, 3.7
 
 
@@ -87,10 +90,35 @@ def _windows(candidate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step)
 
 
-def _suppressed(candidate: Column) -> Column:
-    out = ~(candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]"))
-    for pattern in ALLOWED:
-        out = out | candidate.rlike(pattern)
+def _blanked(candidate: Column) -> Column:
+    """The candidate with a blank for every character of a base span or an allow-listed stretch."""
+    met = F.filter("_base", lambda b: (b["s"] < candidate["e"]) & (candidate["s"] < b["e"]))
+
+    def blank(m: Column, b: Column) -> Column:
+        lo, hi = F.greatest(b["s"] - candidate["s"], F.lit(0)), F.least(b["e"], candidate["e"]) - candidate["s"]
+        return F.concat(F.substring(m, F.lit(1), lo), F.repeat(F.lit(" "), hi - lo), F.substring(m, hi + 1, F.length(m)))
+
+    out = F.aggregate(met, candidate["m"], blank)
+    for pattern, length in STRETCHES:
+        out = F.regexp_replace(out, pattern, " " * length)
+    return out
+
+
+def _pieces(start: Column, masked: Column) -> Column:
+    """array<struct<s:int, m:string>>: the stretches of a window's length or more between blanks."""
+    empty = F.array().cast("array<struct<s:int,m:string>>")
+
+    def step(acc: Column, m: Column) -> Column:
+        piece = F.when(F.length(m) >= WINDOW, F.array(F.struct(acc["p"].alias("s"), m.alias("m")))).otherwise(empty)
+        return F.struct((acc["p"] + F.length(m) + 1).alias("p"), F.concat(acc["a"], piece).alias("a"))
+
+    return F.aggregate(F.split(masked, " "), F.struct(start.alias("p"), empty.alias("a")), step, lambda acc: acc["a"])
+
+
+def _suppressed(piece: Column) -> Column:
+    out = ~(piece.rlike("[0-9]") & piece.rlike("[A-Za-z]"))
+    for pattern in WHOLE:
+        out = out | piece.rlike(pattern)
     return out
 
 
@@ -109,11 +137,13 @@ def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         parts.append(_kept(f"_{kind}", order, kind, least))
     docs = docs.withColumn("_base", F.concat(*parts))
     docs = _with_spans(docs, "_text", "_candidates", CANDIDATE, 0, None)
-    open_ = F.filter("_candidates", lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])) & ~_suppressed(c["m"]))
-    docs = docs.withColumn("_open", F.transform(open_, lambda c: F.struct(c["s"].alias("s"), c["m"].alias("m"), _windows(c["m"]).alias("w"))))
+    # base spans and allow-listed stretches are blanked, which keeps all places; what stands between them is slid over
+    docs = docs.withColumn("_masked", F.transform("_candidates", lambda c: F.struct(c["s"].alias("s"), _blanked(c).alias("m"))))
+    docs = docs.withColumn("_pieces", F.flatten(F.transform("_masked", lambda c: _pieces(c["s"], c["m"]))))
+    docs = docs.withColumn("_open", F.transform(F.filter("_pieces", lambda c: ~_suppressed(c["m"])), lambda c: F.struct(c["s"].alias("s"), c["m"].alias("m"), _windows(c["m"]).alias("w"))))
     added = F.transform(F.filter("_open", lambda c: c["w"]["first"] > 0), lambda c: F.struct((c["s"] + c["w"]["first"] - 1).alias("s"), F.lit(len(PATTERNS)).alias("o"), (c["s"] + c["w"]["last"]).alias("e"), F.lit("entropy").alias("k")))
     docs = docs.withColumn("secrets", F.sort_array(F.concat("_base", added)))
-    return docs.drop("_text", "_base", "_candidates", "_open", *[f"_{k}" for k, *_ in PATTERNS])
+    return docs.drop("_text", "_base", "_candidates", "_masked", "_pieces", "_open", *[f"_{k}" for k, *_ in PATTERNS])
 
 
 def _listed(spans: Column) -> Column:
