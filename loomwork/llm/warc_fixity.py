@@ -1,13 +1,20 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-Records are laid out in order, each with its ordinal and its byte range. A leaf hashes a record's range and content; a node of
-each further level hashes the leaves or nodes of a range of `fanout` ordinals, so that its byte range is theirs, up to one root.
-Two replicas are compared from the root: only the children of nodes that differ are looked at on the next level, down to the records.
+Records are laid out in order, each with its ordinal and its byte range. `merkle_levels` builds a tree over numbered leaves: a
+node of each further level hashes the leaves or nodes of a fixed range of `fanout` numbers, and its byte range, which isn't
+hashed, spans theirs.
+
+The audit's leaves are numbered by page_id and hash the digests and lengths of the page's records, not their places. So a
+record that is cut, lost or added anywhere changes its own leaf and the nodes above it, and no others. Two replicas are compared
+from the top: only the children of nodes that differ are looked at on the next level, down to the pages, whose records are then
+matched by content. What is left of a page is changed as far as both replicas have records left, the rest is missing or added.
+A record without page_id has no place of its own: its leaf is numbered by its digest, in a tree beside the other one, and a
+changed one is a missing one and an added one.
 
 The order is found by a range partition whose place is stored; ordinals and offsets add up the partitions' sums, so no task sees
-all rows. Groups have `fanout` members at most. Defined cases: null urls or pages count as empty; records are ordered by page_id
-(null first) and content, so repeated rows stand side by side; of replicas of different length the longer one's rest is missing or
-added; two empty replicas agree; other columns are ignored.
+all rows. Nodes have `fanout` children at most. Defined cases: null urls or pages count as empty; records are ordered by page_id
+(null first) and content, so repeated rows stand side by side; changed and missing records have the original's ordinal and place,
+added ones the replica's; two empty replicas agree; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ def warc_records(pages: DataFrame) -> DataFrame:
 
 
 def laid_out(records: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(page_id, ordinal, offset, octets, leaf): the records in order of page_id and content, with their byte ranges and hashes."""
+    """(page_id, ordinal, offset, octets, digest, leaf): the records in order of page_id and content, with their byte ranges and hashes."""
     spark = records.sparkSession
     facts = records.select("page_id", F.octet_length("block").cast("long").alias("octets"), F.sha2("block", 256).alias("digest"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -40,30 +47,46 @@ def laid_out(records: DataFrame, partitions: int | None = None) -> DataFrame:
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumns({"r": F.row_number().over(inside), "upto": F.sum("octets").over(upto)}).join(F.broadcast(sums), "part")
     offset = F.col("o0") + F.col("upto") - F.col("octets")
-    return rows.select("page_id", (F.col("n0") + F.col("r") - 1).alias("ordinal"), offset.alias("offset"), "octets", F.sha2(F.concat_ws(":", offset.cast("string"), F.col("octets").cast("string"), F.col("digest")), 256).alias("leaf"))
+    return rows.select("page_id", (F.col("n0") + F.col("r") - 1).alias("ordinal"), offset.alias("offset"), "octets", "digest", F.sha2(F.concat_ws(":", offset.cast("string"), F.col("octets").cast("string"), F.col("digest")), 256).alias("leaf"))
+
+
+def page_leaves(laid: DataFrame) -> DataFrame:
+    """(tree, ordinal, leaf, offset, octets): a leaf of each page_id, and in a tree of its own one of each digest without page_id."""
+    numbered = F.col("page_id").isNotNull()
+    number = F.when(numbered, F.col("page_id").cast("long")).otherwise(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    # equal records first become one with a count, so that copies don't meet in one leaf's list
+    once = laid.groupBy((~numbered).cast("int").alias("tree"), number.alias("ordinal"), "digest", "octets").agg(F.count("*").alias("n"), F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("octets")).alias("end"))
+    records = F.array_sort(F.collect_list(F.concat_ws(":", "digest", F.col("octets").cast("string"), F.col("n").cast("string"))))
+    leaves = once.groupBy("tree", "ordinal").agg(F.sha2(F.array_join(records, ","), 256).alias("leaf"), F.min("begin").alias("offset"), F.max("end").alias("end"))
+    return leaves.select("tree", "ordinal", "leaf", "offset", (F.col("end") - F.col("offset")).alias("octets"))
+
+
+def _parent(fanout: int) -> Column:
+    """The fixed range of numbers that a node is in; below 0 ranges are those of floor division."""
+    return F.expr(f"node div {fanout} - if(node % {fanout} < 0, 1, 0)")
 
 
 def merkle_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The tree's levels, leaves first and the root last: (node, hash, begin, end)."""
-    leaves = stored(leaves)
-    levels = [leaves.select(F.col("ordinal").alias("node"), F.col("leaf").alias("hash"), F.col("offset").alias("begin"), (F.col("offset") + F.col("octets")).alias("end"))]
-    most = leaves.agg(F.max("ordinal")).first()[0] or 0
-    while most > 0 or len(levels) == 1:
+    """The tree's levels, leaves first and the top last: (tree, node, hash, begin, end). Numbers below 0 have a top node of their own."""
+    tree = F.col("tree") if "tree" in leaves.columns else F.lit(0).alias("tree")
+    leaves = stored(leaves.withColumn("tree", tree))
+    levels = [leaves.select("tree", F.col("ordinal").alias("node"), F.col("leaf").alias("hash"), F.col("offset").alias("begin"), (F.col("offset") + F.col("octets")).alias("end"))]
+    low, high = (x or 0 for x in leaves.agg(F.min("ordinal"), F.max("ordinal")).first())
+    while low < -1 or high > 0 or len(levels) == 1:
         children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
-        up = levels[-1].groupBy(F.expr(f"node div {fanout}").alias("node")).agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+        up = levels[-1].groupBy("tree", _parent(fanout).alias("node")).agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.min("begin").alias("begin"), F.max("end").alias("end"))
         levels.append(stored(up))
-        most //= fanout
+        low, high = low // fanout, high // fanout
     return levels
 
 
 def differing(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(ordinal, begin, end, status) of the records that differ between two trees: changed, missing (in the other) or added."""
+    """(tree, ordinal) of the leaves that differ between two trees, or that only one of them has."""
 
     def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.select(F.col("node").alias("node_b"), F.col("hash").alias("hash_b"), F.col("begin").alias("begin_b"), F.col("end").alias("end_b"))
-        both = a.join(b, a["node"] == F.col("node_b"), "full_outer").where(~F.col("hash").eqNullSafe(F.col("hash_b")))
-        status: Column = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash").isNull(), "added").otherwise("changed")
-        return both.select(F.coalesce("node", "node_b").alias("node"), F.coalesce("begin", "begin_b").alias("begin"), F.coalesce("end", "end_b").alias("end"), status.alias("status"))
+        b = b.select(F.col("tree").alias("tree_b"), F.col("node").alias("node_b"), F.col("hash").alias("hash_b"))
+        both = a.join(b, (a["tree"] == F.col("tree_b")) & (a["node"] == F.col("node_b")), "full_outer").where(~F.col("hash").eqNullSafe(F.col("hash_b")))
+        return both.select(F.coalesce("tree", "tree_b").alias("tree"), F.coalesce("node", "node_b").alias("node"))
 
     height = max(len(one), len(other))
     one, other = ([*levels, *[None] * (height - len(levels))] for levels in (one, other))
@@ -72,19 +95,41 @@ def differing(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT
         if a is None or b is None:  # one tree is higher: all of the next level has to be compared
             continue
         if found is not None:
-            wrong = found.select(F.col("node").alias("parent"))
-            a, b = (x.join(wrong, F.expr(f"node div {fanout}") == F.col("parent"), "left_semi") for x in (a, b))
+            wrong = found.select(F.col("tree").alias("above"), F.col("node").alias("parent"))
+            a, b = (x.join(wrong, (F.col("tree") == F.col("above")) & (_parent(fanout) == F.col("parent")), "left_semi") for x in (a, b))
         found = stored(compare(a, b))
-    return found.select(F.col("node").alias("ordinal"), "begin", "end", "status")
+    return found.select("tree", F.col("node").alias("ordinal"))
 
 
 def audit(records: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """page_id, ordinal, offset, octets and status of every record of either replica that differs."""
-    a, b = laid_out(records), laid_out(replica)
-    found = differing(merkle_levels(a, fanout), merkle_levels(b, fanout), fanout)
-    names = a.select("page_id", "ordinal").join(found.where("status <> 'added'").select("ordinal"), "ordinal")
-    names = names.unionByName(b.select("page_id", "ordinal").join(found.where("status = 'added'").select("ordinal"), "ordinal"))
-    return found.join(names, "ordinal").select("page_id", "ordinal", F.col("begin").alias("offset"), (F.col("end") - F.col("begin")).alias("octets"), "status")
+    a, b = stored(laid_out(records)), stored(laid_out(replica))
+    found = differing(merkle_levels(page_leaves(a), fanout), merkle_levels(page_leaves(b), fanout), fanout)
+    pages = found.where("tree = 0").select(F.col("ordinal").alias("page"))
+    facts = ["page_id", "ordinal", "offset", "octets", "digest"]
+
+    def inside(laid: DataFrame) -> DataFrame:
+        """The records of leaves that differ, those without page_id by their digest's number; `r` counts equal ones."""
+        digests = found.where("tree = 1").select(F.col("ordinal").alias("page"))
+        number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+        rows = laid.select(facts).join(pages, laid["page_id"].cast("long") == F.col("page"), "left_semi")
+        rows = rows.unionByName(laid.select(facts).where("page_id is null").join(digests, number == F.col("page"), "left_semi"))
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("ordinal")))
+
+    left, right = stored(inside(a)), stored(inside(b))
+
+    def unmatched(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("r").alias("s"))
+        rows = x.join(y, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.col("r") == F.col("s")), "left_anti")
+        place = F.when(F.col("page_id").isNotNull(), F.row_number().over(Window.partitionBy("page_id", F.when(F.col("page_id").isNull(), F.col("digest"))).orderBy("ordinal")))
+        return rows.withColumn("place", place).drop("r", "digest")
+
+    gone, come = unmatched(left, right), unmatched(right, left)
+    pairs = come.select(F.col("page_id").alias("p"), F.col("place").alias("q"), F.lit(True).alias("paired"))
+    changed = gone.join(pairs, (F.col("page_id") == F.col("p")) & (F.col("place") == F.col("q")), "left").withColumn("status", F.when(F.col("paired"), "changed").otherwise("missing"))
+    known = gone.select(F.col("page_id").alias("p"), F.col("place").alias("q"))
+    added = come.join(known, (F.col("page_id") == F.col("p")) & (F.col("place") == F.col("q")), "left_anti").withColumn("status", F.lit("added"))
+    return changed.drop("p", "q", "paired", "place").unionByName(added.drop("place"))
 
 
 def with_planted_faults(records: DataFrame, every: int = 97, rest: int = 13) -> DataFrame:

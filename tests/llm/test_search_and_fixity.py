@@ -53,6 +53,24 @@ def test_audit_finds_changed_missing_and_added_records(spark):
     assert warc_fixity.audit(records.limit(0), records.limit(0)).count() == 0
 
 
+def test_audit_locates_faults_that_move_what_follows(spark):
+    rows = [(i * 1000 - 30000, f"block {i}") for i in range(300)] + [(5, "one"), (5, "two"), (5, "two"), (None, "lost"), (None, "stays"), (None, "stays")]
+    faulty = [(p, b[:5] if p == 20000 else b) for p, b in rows if p not in (-29000, 70000)] + [(20001, "extra"), (5, "three"), (1 << 60, "far")]
+    faulty.remove((5, "two"))
+    faulty.remove((5, "two"))
+    faulty.remove((None, "lost"))
+    a, b = (spark.createDataFrame(x, "page_id long, block string") for x in (rows, faulty))
+    got = warc_fixity.audit(a, b, 8).collect()
+    want = {(-29000, "missing"), (70000, "missing"), (20000, "changed"), (20001, "added"), (5, "changed"), (5, "missing"), (None, "missing"), (1 << 60, "added")}
+    assert {(r["page_id"], r["status"]) for r in got} == want and len(got) == len(want)
+    orders = [sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())) for x in (rows, faulty)]
+    for r in got:
+        order = orders[r["status"] == "added"]
+        assert order[r["ordinal"]][0] == r["page_id"] and r["octets"] == len(order[r["ordinal"]][1])
+        assert r["offset"] == sum(len(x[1]) for x in order[: r["ordinal"]])
+    assert warc_fixity.audit(a, a, 8).count() == 0
+
+
 def test_tree_is_the_hash_of_its_parts(spark):
     records = spark.createDataFrame([(i, f"block {i}") for i in range(20)], "page_id long, block string")
     levels = warc_fixity.merkle_levels(warc_fixity.laid_out(records), 4)
