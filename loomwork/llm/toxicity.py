@@ -1,17 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Expressions are lower-cased words. As in Kneser-Ney, an expression is counted by the number of distinct contexts that it
-is seen in; the contexts are documents, so that one document which repeats a word doesn't outweigh others. Each class
-(toxic, ordinary) has its own counts N_c with its own count-dependent discounts; what they free, and a pseudo-count of the
-smaller class's size, goes to one backoff distribution that both classes share:
+Expressions are lower-cased words and pairs of neighbouring words. As in Kneser-Ney, an expression is counted by the number of
+distinct contexts that it is seen in; the contexts are documents, so that one document which repeats a word doesn't outweigh
+others. Each class (toxic, ordinary) and order has its own counts N_c with its own count-dependent discounts; what they free,
+and a pseudo-count of the smaller class's size, goes to one backoff distribution of the order that both classes share:
 
     P_c(w) = (N_c(w) - D_c(N_c(w)) + B_c * P_shared(w)) / (T_c + strength),     B_c = strength + all discounts of class c
 
-An expression whose counts don't differ between the classes beyond chance (`z` standard deviations) is a rare or neutral
-one: both classes give it the shared probability, so that it adds nothing. A document's evidence is
-(log P_toxic - log P_ordinary) / words, and a logistic curve fitted over a histogram of the training rows' evidence makes
-it a score. All labelled training rows count; nothing is sampled. What reaches the tasks is a table of 2**20 slots (8 MB),
-whatever the corpus's size; of two expressions on one slot, the one with more evidence stays.
+Every counted expression is in the model; the shared distribution keeps the evidence of rare ones small. One that was never
+counted has the same probability in both classes and adds nothing. With e = log P_toxic - log P_ordinary, a document's evidence
+is the sum of e |e| over its words and pairs, divided by its words: weighting e by its own size keeps the many nearly neutral
+expressions from drowning the few telling ones, and cuts none. A logistic curve fitted over a histogram of the
+training rows' evidence makes it a score. There, the row's own count is left out of what its expressions have in its class, as
+it would be for a row that isn't known. All labelled training rows count; nothing is sampled.
+
+The HOT expressions with the highest counts reach the tasks as a table (3 MB at most). If there are more, the rest stay a stored
+table, which the expressions of the texts that aren't hot are joined with, counted once a text; so no expression is lost.
 
 Defined cases: null or empty text has no words and evidence 0; a null doc_id is held out; labels with null fields are
 left out; a document labelled twice counts as toxic if either label says so; repeated rows count as they stand; if the
@@ -28,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import column_of, span_hashes, byte_values, text_chunks
+from loomwork.llm.anchors import stored
+from loomwork.llm.shared import byte_values, column_of, mix, span_hashes, text_chunks
 
-SLOTS = 1 << 20
-BINS = 2048
+#: At most so many expressions are broadcast; the others are joined.
+HOT = 1 << 17
+#: The curve is fitted over so many bins of evidence between -REACH and REACH.
+BINS, REACH = 1 << 15, 4
 #: A label table of at most this many rows (under 40 MB) is broadcast to the documents; a larger one is joined by a shuffle.
 BROADCAST_LABELS = 1 << 21
 
@@ -43,7 +50,7 @@ _IN_WORD[39] = True
 
 
 def _expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the expressions of a chunk, and the row of each."""
+    """Hashes of the expressions of a chunk (odd ones are pairs, even ones words), and the row of each."""
     n = len(data)
     data = _LOWER[data]
     edge = np.zeros(n + 2, bool)
@@ -55,25 +62,36 @@ def _expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     ends[cuts - 1] = edge[1:-1][cuts - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     hashes = span_hashes(byte_values(data), starts, stops)
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    row = np.searchsorted(offsets, starts, "right") - 1
+    next_to = np.flatnonzero(row[1:] == row[:-1])
+    pairs = mix(hashes[next_to] * np.uint64(0x9E3779B97F4A7C15) + hashes[next_to + 1])
+    return np.concatenate([hashes & ~np.uint64(1), pairs | np.uint64(1)]), np.concatenate([row, row[next_to]])
 
 
 @dataclass
 class ToxicityModel:
-    fingerprints: np.ndarray  # uint32 by slot; 0: empty
-    evidence: np.ndarray  # float32 by slot
+    keys: np.ndarray  # int64: the hot expressions, sorted
+    evidence: np.ndarray  # float32, a column each: as it is, without one ordinary document, without one toxic one
+    rest: DataFrame | None  # (expression, e0, e1, e2) of all others, if there are any
     slope: float
     intercept: float
 
-    def mean_evidence(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for lo, hi, data, offsets in text_chunks(texts):
-            hashes, row = _expressions(data, offsets)
-            slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-            hit = self.fingerprints[slot] == (hashes >> np.uint64(32)).astype(np.uint32)
-            sums = np.bincount(row[hit], weights=self.evidence[slot[hit]], minlength=hi - lo)
-            out[lo:hi] = sums / np.maximum(np.bincount(row, minlength=hi - lo), 1)
-        return out
+
+def _summed(keys: np.ndarray, evidence: np.ndarray, texts: pa.Array, without: np.ndarray | None):
+    """For each chunk: its first and end row, the words and the hot evidence of each row, and (row, expression) of what isn't hot.
+
+    `without` is the class (0, 1) of each row, whose own count is left out; None where rows weren't counted.
+    """
+    for lo, hi, data, offsets in text_chunks(texts):
+        hashes, row = _expressions(data, offsets)
+        words = np.bincount(row[(hashes & np.uint64(1)) == 0], minlength=hi - lo)
+        once, at = np.unique(hashes.view(np.int64), return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, once), max(len(keys) - 1, 0))
+        known = keys[place] == once if len(keys) else np.zeros(len(once), bool)
+        hit, place = known[at], place[at]
+        column = np.zeros(len(row), np.int64) if without is None else without[lo:hi][row] + 1
+        sums = np.bincount(row[hit], weights=evidence[place[hit], column[hit]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
+        yield lo, hi, words, sums, row[~hit], hashes[~hit].view(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,53 +157,74 @@ def _discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, fl
     return tuple(float(np.clip(d, 0.1, i + 0.9)) for i, d in enumerate(found))
 
 
-def train(docs: DataFrame, labels: DataFrame, z: float = 4.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Count all labelled training rows and fit the curve; see the module's description."""
     rows = _training_rows(docs, labels)
-    counts = _expression_counts(rows).persist()
+    counts = stored(_expression_counts(rows))
     classes = ("ordinary", "toxic")
+    order = F.col("expression").bitwiseAND(F.lit(1))
     tallies = [F.count_if(F.col(c) == i).alias(f"{c}{i}") for c in classes for i in (1, 2, 3, 4)]
-    found = counts.where("expression is not null").agg(F.sum("ordinary").alias("t0"), F.sum("toxic").alias("t1"), F.count("*").alias("types"), *tallies, F.count_if(F.col("ordinary") > 2).alias("m0"), F.count_if(F.col("toxic") > 2).alias("m1")).first()
+    found = counts.where("expression is not null").groupBy(order.alias("order")).agg(F.sum("ordinary").alias("t0"), F.sum("toxic").alias("t1"), F.count("*").alias("types"), *tallies, F.count_if(F.col("ordinary") > 2).alias("m0"), F.count_if(F.col("toxic") > 2).alias("m1")).collect()
     ends = counts.where("expression is null").first()
     n = [ends["ordinary"] or 0, ends["toxic"] or 0] if ends else [0, 0]
-    empty = ToxicityModel(np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.float32), 0.0, 0.0)
     share = (n[1] + 0.5) / (sum(n) + 2)
-    empty.intercept = float(np.log(share / (1 - share)))
-    if not all(n) or not found["t0"] or not found["t1"]:
-        counts.unpersist()
-        return empty
-    total = [found["t0"], found["t1"]]
-    strength = min(total)
-    discounts = [_discounts(*(found[f"{c}{i}"] for i in (1, 2, 3, 4))) for c in classes]
-    freed = [sum(d * found[f"{c}{i + 1}"] for i, d in enumerate(discounts[k][:2])) + discounts[k][2] * found[f"m{k}"] for k, c in enumerate(classes)]
-    pooled = F.col("ordinary") + F.col("toxic")
-    shared = (pooled + 1.0) / (sum(total) + found["types"])
-
-    def log_p(k: int) -> Column:
-        c, d = F.col(classes[k]), discounts[k]
-        kept = c - F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        return F.log((kept + (strength + freed[k]) * shared) / (total[k] + strength))
-
-    q = total[1] / sum(total)
-    apart = F.abs(F.col("toxic") - pooled * q) > z * F.sqrt(pooled * q * (1 - q) + 0.25)
-    # at most one row for each slot reaches the driver
-    slot = F.col("expression").bitwiseAND(F.lit(SLOTS - 1))
-    table = counts.where("expression is not null").where(apart).select(slot.alias("slot"), F.shiftrightunsigned("expression", 32).cast("long").alias("mark"), (log_p(1) - log_p(0)).alias("e"))
-    table = table.groupBy("slot").agg(F.max(F.struct(F.abs("e").alias("a"), "e", "mark")).alias("m")).select("slot", "m.e", "m.mark").toPandas()
-    counts.unpersist()
-    model = empty
-    model.fingerprints[table["slot"].to_numpy()] = table["mark"].to_numpy().astype(np.int64).astype(np.uint32)
-    model.evidence[table["slot"].to_numpy()] = table["e"].to_numpy()
+    model = ToxicityModel(np.zeros(0, np.int64), np.zeros((0, 3), np.float32), None, 0.0, float(np.log(share / (1 - share))))
+    found = {r["order"]: r for r in found if r["t0"] and r["t1"]}
+    if not all(n) or not found:
+        return model
+
+    def evidence(r, both: tuple[Column, Column]) -> Column:
+        """e |e| with e = log P_toxic - log P_ordinary of an expression with these counts, in the order that `r` has the totals of."""
+        total = [r["t0"], r["t1"]]
+        strength = min(total)
+        shared = (both[0] + both[1] + 1.0) / (sum(total) + r["types"])
+
+        def log_p(k: int) -> Column:
+            d = _discounts(*(r[f"{classes[k]}{i}"] for i in (1, 2, 3, 4)))
+            freed = sum(x * r[f"{classes[k]}{i + 1}"] for i, x in enumerate(d[:2])) + d[2] * r[f"m{k}"]
+            c = both[k]
+            kept = c - F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+            return F.log((kept + (strength + freed) * shared) / (total[k] + strength))
+
+        e = log_p(1) - log_p(0)
+        return e * F.abs(e)
+
+    o, t = F.col("ordinary"), F.col("toxic")
+
+    def of_order(both: tuple[Column, Column]) -> Column:
+        out = F.lit(0.0)
+        for k, r in found.items():
+            out = F.when((order == k) & (both[0] >= 0) & (both[1] >= 0) & (both[0] + both[1] > 0), evidence(r, both)).otherwise(out)
+        return out.cast("float")
+
+    table = counts.where("expression is not null").select("expression", (o + t).alias("pooled"), of_order((o, t)).alias("e0"), of_order((o - 1, t)).alias("e1"), of_order((o, t - 1)).alias("e2"))
+    # the least count from which on at most HOT expressions are left; counts of one size class stay together
+    size = F.floor(F.log2(F.col("pooled").cast("double")) * 4).cast("int")
+    least, above, all_sizes = None, 0, table.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
+    for r in all_sizes:
+        if above + r["count"] > HOT:
+            break
+        above, least = above + r["count"], r["size"]
+    hot = table.where(size >= least) if least is not None else table.limit(0)
+    hot = hot.select("expression", "e0", "e1", "e2").toPandas().sort_values("expression")
+    model.keys, model.evidence = hot["expression"].to_numpy(np.int64), hot[["e0", "e1", "e2"]].to_numpy(np.float32)
+    if above < sum(r["count"] for r in all_sizes):
+        model.rest = stored((table.where(size < least) if least is not None else table).select("expression", "e0", "e1", "e2"))
     _calibrate(model, rows)
     return model
 
 
 def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
     """Fit score = 1 / (1 + exp(-(slope * evidence + intercept))) to a histogram of all training rows' evidence."""
-    evidence = evidence_column(model, rows)
-    binned = rows.select(F.floor(F.least(F.greatest(evidence, F.lit(-1.0)), F.lit(0.999999)) * (BINS // 2)).alias("bin"), "_toxic")
-    table = binned.groupBy("bin").agg(F.count_if(F.col("_toxic") <= 0).alias("n0"), F.count_if(F.col("_toxic") > 0).alias("n1")).toPandas()
-    x = (table["bin"].to_numpy() + 0.5) / (BINS // 2)
+    half = BINS // 2 / REACH
+    if model.rest is None:
+        rows = rows.withColumn("_e", evidence_column(model, rows, "text", "_toxic"))
+    else:
+        rows = _joined_evidence(model, rows, "text", "_toxic").select("_e", F.col("_class").alias("_toxic"), F.col("_rows").alias("_n"))
+    times = F.col("_n") if "_n" in rows.columns else F.lit(1)
+    binned = rows.select(F.floor(F.least(F.greatest("_e", F.lit(-float(REACH))), F.lit(REACH - 1e-6)) * half).alias("bin"), "_toxic", times.alias("_n"))
+    table = binned.groupBy("bin").agg(F.sum(F.when(F.col("_toxic") <= 0, F.col("_n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("_toxic") > 0, F.col("_n")).otherwise(0)).alias("n1")).toPandas()
+    x = (table["bin"].to_numpy() + 0.5) / half
     n0, n1 = table["n0"].to_numpy(float), table["n1"].to_numpy(float)
     scale = max(float(np.sqrt(np.average(x * x, weights=n0 + n1))), 1e-9)
     design = np.stack([x / scale, np.ones(len(x))], 1)
@@ -202,23 +241,87 @@ def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
     model.slope, model.intercept = max(float(weights[0]) / scale, 0.0), float(weights[1])
 
 
-def evidence_column(model: ToxicityModel, docs: DataFrame, text: str = "text") -> Column:
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def evidence_column(model: ToxicityModel, docs: DataFrame, text: str = "text", without: str | None = None) -> Column:
+    """The mean evidence of texts, if the model's expressions are all hot; `without` names the class of counted rows."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.evidence))
+
+    def means(texts: pa.Array, classes: np.ndarray | None) -> pa.Array:
+        out = np.zeros(len(texts))
+        for lo, hi, words, sums, _, _ in _summed(*shipped.value, texts, classes):
+            out[lo:hi] = sums / np.maximum(words, 1)
+        return pa.array(out)
+
+    if without is None:
+
+        @F.arrow_udf("double")
+        def evidence(texts: pa.Array) -> pa.Array:
+            return means(texts, None)
+
+        return evidence(F.col(text))
 
     @F.arrow_udf("double")
-    def evidence(texts: pa.Array) -> pa.Array:
-        return pa.array(shipped.value.mean_evidence(texts))
+    def evidence_without(texts: pa.Array, classes: pa.Array) -> pa.Array:
+        return means(texts, (classes.to_numpy(zero_copy_only=False) > 0).astype(np.int64))
 
-    return evidence(F.col(text))
+    return evidence_without(F.col(text), F.col(without))
+
+
+def _content(text: str) -> tuple[Column, Column]:
+    """Two hashes that name a text; a null one counts as empty."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(t), F.xxhash64(F.lit(1), t)
+
+
+def _joined_evidence(model: ToxicityModel, docs: DataFrame, text: str, without: str | None = None) -> DataFrame:
+    """(_k1, _k2, _class, _e, _rows): the mean evidence of each text (and class, if `without` names one) and how many rows have it.
+
+    A row of a text has its hot sum and words; it carries the text's hash as expression and a count of 0, so that these rows
+    don't meet at one key. Equal texts add the same to both sums, which leaves their mean.
+    """
+    k1, k2 = _content(text)
+    docs = docs.select(k1.alias("k1"), k2.alias("k2"), (F.col(without) > 0 if without else F.lit(False)).cast("int").alias("c"), F.col(text).alias("t"))
+    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.evidence))
+    names = ["_k1", "_k2", "_class", "expression", "n", "hot", "words"]
+
+    def rows(batches):
+        for batch in batches:
+            one, two, cls = (column_of(batch, c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "c"))
+            for lo, hi, words, sums, row, cold in _summed(*shipped.value, column_of(batch, "t"), cls.astype(np.int64) if without else None):
+                order = np.lexsort((cold, row))
+                row, cold = row[order], cold[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cold[1:] != cold[:-1])])) if len(row) else np.zeros(0, np.int64)
+                n = np.diff(np.concatenate([first, [len(row)]]))
+                at = np.concatenate([np.arange(lo, hi), row[first] + lo])
+                zeros = np.zeros(len(first))
+                columns = [one[at], two[at], cls[at].astype(np.int32), np.concatenate([one[lo:hi], cold[first]]), np.concatenate([np.zeros(hi - lo, np.int64), n]).astype(np.int32), np.concatenate([sums, zeros]), np.concatenate([words, zeros]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    terms = docs.mapInArrow(rows, "_k1 long, _k2 long, _class int, expression long, n int, hot double, words int")
+    if without:
+        e = F.when(F.col("_class") > 0, F.col("e2")).otherwise(F.col("e1"))
+    else:
+        e = F.col("e0")
+    terms = terms.join(model.rest, "expression", "left").withColumn("hot", F.col("hot") + F.col("n") * F.coalesce(e.cast("double"), F.lit(0.0)))
+    out = terms.groupBy("_k1", "_k2", "_class").agg(F.sum("hot").alias("h"), F.sum("words").alias("w"), F.count_if(F.col("n") == 0).alias("_rows"))
+    return out.select("_k1", "_k2", "_class", (F.col("h") / F.greatest("w", F.lit(1))).alias("_e"), "_rows")
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with a column `out`: how likely the text is toxic, from 0 to 1."""
-    evidence = evidence_column(model, docs, text)
-    return docs.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-(evidence * model.slope + model.intercept))))
+
+    def curve(evidence: Column) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(evidence * model.slope + model.intercept)))
+
+    if model.rest is None:
+        return docs.withColumn(out, curve(evidence_column(model, docs, text)))
+    k1, k2 = _content(text)
+    found = _joined_evidence(model, docs, text).select("_k1", "_k2", curve(F.col("_e")).alias(out))
+    kept = docs.columns
+    keyed = docs.withColumns({"_d1": k1, "_d2": k2})
+    return keyed.join(found, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).select(*kept, out)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, z: float = 4.0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 where the score is 0.5 or more) of every document."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels, z))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -52,6 +52,39 @@ def test_toxicity_doesnt_learn_from_held_out_rows(spark, docs, small):
     assert a == b
 
 
+def test_toxicity_knows_rare_expressions_and_pairs_of_ordinary_words(spark):
+    """Toxic texts differ by a pair of ordinary words, or by a word that two documents have."""
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts, toxic = [], []
+    for i in range(400):
+        some = list(draw.permutation(words)[:20])
+        pair = ["red", "fox"] if i % 4 == 0 else ["fox", "red"]
+        texts.append(" ".join([*some[:9], *pair, *some[9:]] + (["rareword"] if i in (4, 8) else [])))
+        toxic.append(int(i % 4 == 0))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in rows]) > 0.9
+    model = toxicity.train(docs, labels)
+    ask = spark.createDataFrame([(0, "w1 w2"), (1, "w1 w2 rareword")], "doc_id long, text string")
+    plain, rare = (r["score"] for r in toxicity.score(ask, model).orderBy("doc_id").collect())
+    assert rare > plain
+
+
+def test_toxicity_scores_are_the_same_when_expressions_are_joined(spark, docs, odd, small, monkeypatch):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    df = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    order = lambda r: (repr(r[0]), r[1:])
+    want = sorted(map(tuple, toxicity.toxicity(df, labels).collect()), key=order)
+    for hot in (0, 300):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        assert toxicity.train(df, labels).rest is not None
+        got = sorted(map(tuple, toxicity.toxicity(df, labels).collect()), key=order)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-6)
+
+
 # ---- quality
 
 
