@@ -1,30 +1,34 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney models of words after words.
 
-Expressions are lower-cased words and pairs of neighbouring words. As in Kneser-Ney, an expression is counted by the number of
-distinct contexts that it is seen in; the contexts are documents, so that one document which repeats a word doesn't outweigh
-others. Each class (toxic, ordinary) and order has its own counts N_c with its own count-dependent discounts; what they free,
-and a pseudo-count of the smaller class's size, goes to one backoff distribution of the order that both classes share:
+C_c(v, w) is the number of documents of class c (ordinary, toxic) in which the lower-cased word w follows v (or begins the
+document); documents are counted, so that one which repeats itself doesn't outweigh others. A pair that fewer than `MIN_PAIR`
+documents of both classes together hold is left to the backoff; every other pair and every word is in the model:
 
-    P_c(w) = (N_c(w) - D_c(N_c(w)) + B_c * P_shared(w)) / (T_c + strength),     B_c = strength + all discounts of class c
+    P_c(w | v) = (1 - b(v)) X_c(w | v) + b(v) P_c(w)      X_c(w | v) = (C_c(v, w) + S q(w | v)) / (C_c(v) + S)
+    P_c(w)     = (max(N_c(w) - d_c, 0) + (d_c T_c + M) P(w)) / (N_c + M)
 
-Every counted expression is in the model; the shared distribution keeps the evidence of rare ones small. One that was never
-counted has the same probability in both classes and adds nothing. With e = log P_toxic - log P_ordinary, a document's evidence
-is the sum of e |e| over its words and pairs, divided by its words: weighting e by its own size keeps the many nearly neutral
-expressions from drowning the few telling ones, and cuts none. A logistic curve fitted over a histogram of the
-training rows' evidence makes it a score. There, the row's own count is left out of what its expressions have in its class, as
-it would be for a row that isn't known. All labelled training rows count; nothing is sampled.
+b(v) is the mass that Kneser-Ney's discount and the rare pairs free in the counts of both classes, and q the discounted shares of
+v's pairs in them: backoff counts which the classes share. N_c(w) is the continuation count, the number of different words
+before w in class c; N_c and T_c are its total and the number of words that have one; P(w) is the continuation share in both
+classes, plus one. M is the smaller N_c, so the larger class doesn't win by size. A pair that isn't in the model has P_c(w).
 
-The HOT expressions with the highest counts reach the tasks as a table (3 MB at most). If there are more, the rest stay a stored
-table, which the expressions of the texts that aren't hot are joined with, counted once a text; so no expression is lost.
+With e = log P_toxic - log P_ordinary of each word, the evidence of a document is the mean of e ** 3 over its words: the
+length-normalised difference of both log-likelihoods, in which telling words outweigh the many nearly neutral ones. A logistic
+curve makes it a score. Labelled rows are dealt out by crc32(doc_id) mod 5: 0 is held out, 2 to 4 are counted, and the curve is
+fitted over a histogram of the evidence of 1, whose rows weren't counted. All of them take part; nothing is sampled.
+
+The HOT entries with the highest counts reach the tasks as a table (67 MB at most). If there are more, the rest stay a stored
+table, with which the pairs and words of texts that aren't hot are joined, counted once a text; so no entry is lost.
 
 Defined cases: null or empty text has no words and evidence 0; a null doc_id is held out; labels with null fields are
-left out; a document labelled twice counts as toxic if either label says so; repeated rows count as they stand; if the
-training rows lack one class (or there are none), every score is the smoothed share of toxic rows, (toxic + 0.5) / (rows + 2).
-Extra columns are kept.
+left out; a document labelled twice counts as toxic if either label says so; repeated rows count as they stand; if the counted
+rows lack one class (or there are none), every score is the smoothed share of toxic ones, (toxic + 0.5) / (rows + 2). A very
+long text is one chunk of its own: a task holds about 60 bytes for each of its words. Extra columns are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,12 +39,20 @@ from pyspark.sql import functions as F
 from loomwork.llm.anchors import stored
 from loomwork.llm.shared import byte_values, column_of, mix, span_hashes, text_chunks
 
-#: At most so many expressions are broadcast; the others are joined.
-HOT = 1 << 17
+#: Pairs that fewer documents hold back off to their second word.
+MIN_PAIR = 3
+#: S: so many shared counts are mixed into the counts after each word.
+STRENGTH = 50.0
+#: At most so many entries are broadcast; the others are joined.
+HOT = 1 << 22
 #: The curve is fitted over so many bins of evidence between -REACH and REACH.
-BINS, REACH = 1 << 15, 4
+BINS, REACH = 1 << 16, 8
 #: A label table of at most this many rows (under 40 MB) is broadcast to the documents; a larger one is joined by a shuffle.
 BROADCAST_LABELS = 1 << 21
+#: What stands for the word before the first one.
+START = np.uint64(0x5354415254)
+#: Distinct pairs that a counting task holds before it hands them on.
+HELD_PAIRS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -49,8 +61,8 @@ _IN_WORD[128:] = _IN_WORD[97:123] = _IN_WORD[48:58] = True
 _IN_WORD[39] = True
 
 
-def _expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the expressions of a chunk (odd ones are pairs, even ones words), and the row of each."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word of a chunk: the one before it in its row, its own hash (both even), and its row."""
     n = len(data)
     data = _LOWER[data]
     edge = np.zeros(n + 2, bool)
@@ -61,171 +73,211 @@ def _expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     begins[cuts] = edge[1:-1][cuts]
     ends[cuts - 1] = edge[1:-1][cuts - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = span_hashes(byte_values(data), starts, stops)
+    w = span_hashes(byte_values(data), starts, stops) & ~np.uint64(1)
     row = np.searchsorted(offsets, starts, "right") - 1
-    next_to = np.flatnonzero(row[1:] == row[:-1])
-    pairs = mix(hashes[next_to] * np.uint64(0x9E3779B97F4A7C15) + hashes[next_to + 1])
-    return np.concatenate([hashes & ~np.uint64(1), pairs | np.uint64(1)]), np.concatenate([row, row[next_to]])
+    v = np.full(len(w), START)
+    v[1:] = np.where(row[1:] == row[:-1], w[:-1], START)
+    return v, w, row
+
+
+def _pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key of each pair, which is odd; those of words are even."""
+    return mix(v * np.uint64(0x9E3779B97F4A7C15) + w) | np.uint64(1)
 
 
 @dataclass
 class ToxicityModel:
-    keys: np.ndarray  # int64: the hot expressions, sorted
-    evidence: np.ndarray  # float32, a column each: as it is, without one ordinary document, without one toxic one
-    rest: DataFrame | None  # (expression, e0, e1, e2) of all others, if there are any
+    keys: np.ndarray  # int64: the hot words and pairs, sorted
+    e: np.ndarray  # float64: log P_toxic - log P_ordinary of each
+    unknown: float  # of a word that was never counted
+    rest: DataFrame | None  # (key, e) of all others, if there are any
     slope: float
     intercept: float
 
 
-def _summed(keys: np.ndarray, evidence: np.ndarray, texts: pa.Array, without: np.ndarray | None):
-    """For each chunk: its first and end row, the words and the hot evidence of each row, and (row, expression) of what isn't hot.
-
-    `without` is the class (0, 1) of each row, whose own count is left out; None where rows weren't counted.
-    """
-    for lo, hi, data, offsets in text_chunks(texts):
-        hashes, row = _expressions(data, offsets)
-        words = np.bincount(row[(hashes & np.uint64(1)) == 0], minlength=hi - lo)
-        once, at = np.unique(hashes.view(np.int64), return_inverse=True)
-        place = np.minimum(np.searchsorted(keys, once), max(len(keys) - 1, 0))
-        known = keys[place] == once if len(keys) else np.zeros(len(once), bool)
-        hit, place = known[at], place[at]
-        column = np.zeros(len(row), np.int64) if without is None else without[lo:hi][row] + 1
-        sums = np.bincount(row[hit], weights=evidence[place[hit], column[hit]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
-        yield lo, hi, words, sums, row[~hit], hashes[~hit].view(np.int64)
+def _looked_up(keys: np.ndarray, e: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """e of the wanted keys, NaN where they aren't hot."""
+    if not len(keys) or not len(wanted):
+        return np.full(len(wanted), np.nan)
+    once, at = np.unique(wanted.view(np.int64), return_inverse=True)
+    place = np.minimum(np.searchsorted(keys, once), len(keys) - 1)
+    return np.where(keys[place] == once, e[place], np.nan)[at]
 
 
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels are never learned."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return _fold(doc_id) == 0
+
+
+def _fold(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows that aren't held out."""
+    """(fold, text, toxic) of the labelled rows that aren't held out; fold 1 is for the curve."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"), F.first(_fold(F.col("doc_id"))).alias("_fold"))
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"))
-    return docs.join(known, "_id").select("text", "_toxic")
+    return docs.join(known, "_id").select("_fold", "text", "_toxic")
+
 
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(v, w, o, t): in how many ordinary and toxic documents w follows v; and one row (null, null, documents of either class)."""
+    names = ["v", "w", "o", "t"]
 
-def _expression_counts(rows: DataFrame) -> DataFrame:
-    """(expression, ordinary, toxic): in how many documents of either class; and one row (null, documents of either class)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, seen = [], 0, np.zeros(2, np.int64)
 
-    def count(batches):
-        keys, counts, size, seen = [], [], 0, np.zeros(2, np.int64)
+        def summed() -> list[np.ndarray]:
+            v, w, o, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((v, w))  # equal words side by side pack well
+            v, w, o, t = v[order], w[order], o[order], t[order]
+            new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+            return [v[new], w[new], np.add.reduceat(o, new), np.add.reduceat(t, new)]
 
-        def packed():
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            both = np.concatenate(counts)
-            return key, np.stack([np.bincount(at, weights=both[:, c], minlength=len(key)) for c in (0, 1)], 1).astype(np.int64)
+        def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
         for batch in batches:
             toxic = (column_of(batch, "_toxic").to_numpy(zero_copy_only=False) > 0).astype(np.int64)
             seen += np.bincount(toxic, minlength=2)[:2]
             for lo, _, data, offsets in text_chunks(column_of(batch, "text")):
-                hashes, row = _expressions(data, offsets)
-                pairs = np.unique(np.stack([hashes, row.astype(np.uint64)], 1).view("u8,u8")) if len(hashes) else np.zeros(0, "u8,u8")
-                key, at = np.unique(pairs["f0"], return_inverse=True)
-                label = toxic[lo:][pairs["f1"].astype(np.int64)]
-                n = np.bincount(at, minlength=len(key))
-                t = np.bincount(at, weights=label, minlength=len(key)).astype(np.int64)
-                keys.append(key)
-                counts.append(np.stack([n - t, t], 1))
-                size += len(key)
-            if size > 2_000_000:
-                key, both = packed()
-                if len(key) > 1_000_000:  # too many different ones to keep: hand them on and begin again
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["expression", "ordinary", "toxic"])
-                    keys, counts, size = [], [], 0
-                else:
-                    keys, counts, size = [key], [both], len(key)
-        if keys:
-            key, both = packed()
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["expression", "ordinary", "toxic"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array(seen[:1]), pa.array(seen[1:])], ["expression", "ordinary", "toxic"])
-
-    return rows.mapInArrow(count, "expression long, ordinary long, toxic long").groupBy("expression").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def _discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
-    """Kneser-Ney's discounts of counts 1, 2 and 3 or more, from how many expressions have which count."""
-    if not ones or not twos or not threes:
-        return 0.75, 0.75, 0.75
-    y = ones / (ones + 2 * twos)
-    found = (1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes)
-    return tuple(float(np.clip(d, 0.1, i + 0.9)) for i, d in enumerate(found))
+                v, w, row = _words(data, offsets)
+                if not len(w):
+                    continue
+                once = np.unique(mix(_pair_keys(v, w) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)[1]
+                label = toxic[lo:][row[once]]
+                parts.append([v[once], w[once], 1 - label, label])
+                size += len(once)
+                if size > 2 * HELD_PAIRS:
+                    parts = [summed()]
+                    size = len(parts[0][0])
+                    if size > HELD_PAIRS:
+                        yield batch_of(parts[0])
+                        parts, size = [], 0
+        if parts:
+            yield batch_of(summed())
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array(seen[:1]), pa.array(seen[1:])], names)
 
+    return rows.mapInArrow(count, "v long, w long, o long, t long").groupBy("v", "w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Count all labelled training rows and fit the curve; see the module's description."""
-    rows = _training_rows(docs, labels)
-    counts = stored(_expression_counts(rows))
-    classes = ("ordinary", "toxic")
-    order = F.col("expression").bitwiseAND(F.lit(1))
-    tallies = [F.count_if(F.col(c) == i).alias(f"{c}{i}") for c in classes for i in (1, 2, 3, 4)]
-    found = counts.where("expression is not null").groupBy(order.alias("order")).agg(F.sum("ordinary").alias("t0"), F.sum("toxic").alias("t1"), F.count("*").alias("types"), *tallies, F.count_if(F.col("ordinary") > 2).alias("m0"), F.count_if(F.col("toxic") > 2).alias("m1")).collect()
-    ends = counts.where("expression is null").first()
-    n = [ends["ordinary"] or 0, ends["toxic"] or 0] if ends else [0, 0]
-    share = (n[1] + 0.5) / (sum(n) + 2)
-    model = ToxicityModel(np.zeros(0, np.int64), np.zeros((0, 3), np.float32), None, 0.0, float(np.log(share / (1 - share))))
-    found = {r["order"]: r for r in found if r["t0"] and r["t1"]}
-    if not all(n) or not found:
-        return model
 
-    def evidence(r, both: tuple[Column, Column]) -> Column:
-        """e |e| with e = log P_toxic - log P_ordinary of an expression with these counts, in the order that `r` has the totals of."""
-        total = [r["t0"], r["t1"]]
-        strength = min(total)
-        shared = (both[0] + both[1] + 1.0) / (sum(total) + r["types"])
+def _facts(pairs: DataFrame) -> DataFrame:
+    """One row for each pair in the model, (v, w, o, t), and for each word, (v, null): its continuation counts o and t in both
+    classes, `pool` counts after it, of which those of pairs in the model are c0 and c1 (`kept` pairs), and ones and twos of
+    pairs that 1 and 2 documents hold. The row without a word has the documents of either class."""
+    pool, zero = F.col("o") + F.col("t"), F.lit(0).cast("long")
+    kept = pool >= MIN_PAIR
+    none = F.lit(None).cast("long")
+
+    def number(condition: Column) -> Column:
+        return F.when(condition, F.lit(1)).otherwise(0).cast("long")
+
+    names = ["v", "w", "o", "t", "pool", "c0", "c1", "kept", "ones", "twos"]
+
+    def row(*columns: Column) -> Column:
+        return F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)])
 
-        def log_p(k: int) -> Column:
-            d = _discounts(*(r[f"{classes[k]}{i}"] for i in (1, 2, 3, 4)))
-            freed = sum(x * r[f"{classes[k]}{i + 1}"] for i, x in enumerate(d[:2])) + d[2] * r[f"m{k}"]
-            c = both[k]
-            kept = c - F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-            return F.log((kept + (strength + freed) * shared) / (total[k] + strength))
+    after = row(F.col("v"), none, zero, zero, pool, F.when(kept, F.col("o")).otherwise(0), F.when(kept, F.col("t")).otherwise(0), number(kept), number(pool == 1), number(pool == 2))
+    before = row(F.col("w"), none, number(F.col("o") > 0), number(F.col("t") > 0), *[zero] * 6)
+    itself = row(*(F.col(c) for c in "vwot"), *[zero] * 6)
+    rows = F.when(F.col("w").isNull(), F.array(itself)).when(kept, F.array(after, before, itself)).otherwise(F.array(after, before))
+    return pairs.select(F.explode(rows).alias("x")).select("x.*").groupBy("v", "w").agg(*[F.sum(n).alias(n) for n in names[2:]])
 
-        e = log_p(1) - log_p(0)
-        return e * F.abs(e)
 
-    o, t = F.col("ordinary"), F.col("toxic")
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones else 0.5
 
-    def of_order(both: tuple[Column, Column]) -> Column:
-        out = F.lit(0.0)
-        for k, r in found.items():
-            out = F.when((order == k) & (both[0] >= 0) & (both[1] >= 0) & (both[0] + both[1] > 0), evidence(r, both)).otherwise(out)
-        return out.cast("float")
 
-    table = counts.where("expression is not null").select("expression", (o + t).alias("pooled"), of_order((o, t)).alias("e0"), of_order((o - 1, t)).alias("e1"), of_order((o, t - 1)).alias("e2"))
-    # the least count from which on at most HOT expressions are left; counts of one size class stay together
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Count all labelled training rows and fit the curve; see the module's description."""
+    rows = _training_rows(docs, labels)
+    facts = stored(_facts(_pair_counts(rows.where("_fold <> 1"))))
+    ends = facts.where("v is null").first()
+    n = [ends["o"] or 0, ends["t"] or 0] if ends else [0, 0]
+    share = (n[1] + 0.5) / (sum(n) + 2)
+    model = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0, None, 0.0, float(np.log(share / (1 - share))))
+    words = facts.where("v is not null and w is null")
+    counts = ("o", "t")
+    r = words.agg(
+        *[f(F.col(c)).alias(f"{c}_{name}") for c in counts for name, f in (("sum", F.sum), ("types", lambda x: F.count_if(x > 0)), ("ones", lambda x: F.count_if(x == 1)), ("twos", lambda x: F.count_if(x == 2)))],
+        F.count_if(F.col("o") + F.col("t") > 0).alias("types"),
+        F.sum("ones").alias("ones"),
+        F.sum("twos").alias("twos"),
+    ).first()
+    total = [r[f"{c}_sum"] or 0 for c in counts]
+    if not all(n) or not all(total):
+        return model
+    least, pair_discount = float(min(total)), _discount(r["ones"], r["twos"])
+    discounts = [_discount(r[f"{c}_ones"], r[f"{c}_twos"]) for c in counts]
+
+    def p_word(k: int, o: Column, t: Column) -> Column:
+        shared = (o + t + 1.0) / float(sum(total) + r["types"] + 1)
+        return (F.greatest((o, t)[k] - discounts[k], F.lit(0.0)) + shared * (discounts[k] * r[f"{counts[k]}_types"] + least)) / (total[k] + least)
+
+    def e_word(o: Column, t: Column) -> Column:
+        return F.log(p_word(1, o, t)) - F.log(p_word(0, o, t))
+
+    nothing = sum(total) + r["types"] + 1
+    unknown = [(discounts[k] * r[f"{counts[k]}_types"] + least) / nothing / (total[k] + least) for k in (0, 1)]
+    model.unknown = float(np.log(unknown[1]) - np.log(unknown[0]))
+
+    pairs = facts.where("w is not null").select("v", "w", "o", "t")
+    before = words.where("kept > 0").select(F.col("v").alias("_v"), "pool", "c0", "c1", F.col("c0") + F.col("c1") - F.col("kept") * pair_discount)
+    before = before.toDF("_v", "pool", "c0", "c1", "explicit")
+    last = words.select(F.col("v").alias("_w"), F.col("o").alias("n0"), F.col("t").alias("n1"))
+    joined = pairs.join(before, F.col("v") == F.col("_v")).join(last, F.col("w") == F.col("_w"))
+    share_of = (F.col("o") + F.col("t") - pair_discount) / F.col("explicit")
+
+    def p_pair(k: int) -> Column:
+        kept = F.col("explicit") / F.col("pool")
+        own = (F.col(counts[k]) + share_of * STRENGTH) / (F.col(f"c{k}") + STRENGTH)
+        return kept * own + (F.lit(1.0) - kept) * p_word(k, F.col("n0"), F.col("n1"))
+
+    @F.arrow_udf("long")
+    def pair_key(v: pa.Array, w: pa.Array) -> pa.Array:
+        return pa.array(_pair_keys(v.to_numpy().view(np.uint64), w.to_numpy().view(np.uint64)).view(np.int64))
+
+    pooled = F.col("o") + F.col("t")
+    of_words = words.where(pooled > 0).select(F.col("v").alias("key"), e_word(F.col("o"), F.col("t")).alias("e"), pooled.alias("pooled"))
+    of_pairs = joined.select("v", "w", (F.log(p_pair(1)) - F.log(p_pair(0))).alias("e"), pooled.alias("pooled"))
+    table = stored(of_words.unionByName(of_pairs.select(pair_key("v", "w").alias("key"), "e", "pooled")))
+    # the least count from which on at most HOT entries are left; counts of one size class stay together
     size = F.floor(F.log2(F.col("pooled").cast("double")) * 4).cast("int")
-    least, above, all_sizes = None, 0, table.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
-    for r in all_sizes:
-        if above + r["count"] > HOT:
+    least_size, above, all_sizes = None, 0, table.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
+    for x in all_sizes:
+        if above + x["count"] > HOT:
             break
-        above, least = above + r["count"], r["size"]
-    hot = table.where(size >= least) if least is not None else table.limit(0)
-    hot = hot.select("expression", "e0", "e1", "e2").toPandas().sort_values("expression")
-    model.keys, model.evidence = hot["expression"].to_numpy(np.int64), hot[["e0", "e1", "e2"]].to_numpy(np.float32)
-    if above < sum(r["count"] for r in all_sizes):
-        model.rest = stored((table.where(size < least) if least is not None else table).select("expression", "e0", "e1", "e2"))
-    _calibrate(model, rows)
+        above, least_size = above + x["count"], x["size"]
+    if least_size is not None:
+        hot = table.where(size >= least_size).select("key", "e").toArrow()
+        order = np.argsort(hot["key"].to_numpy())
+        model.keys, model.e = hot["key"].to_numpy()[order], hot["e"].to_numpy()[order]
+    if above < sum(x["count"] for x in all_sizes):
+        model.rest = (table.where(size < least_size) if least_size is not None else table).select("key", "e")
+    _calibrate(model, rows.where("_fold = 1"), share)
     return model
 
 
-def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
-    """Fit score = 1 / (1 + exp(-(slope * evidence + intercept))) to a histogram of all training rows' evidence."""
-    half = BINS // 2 / REACH
+def _calibrate(model: ToxicityModel, rows: DataFrame, share: float) -> None:
+    """Fit score = 1 / (1 + exp(-(slope * evidence + intercept))) to a histogram of the evidence of rows that weren't counted.
+
+    If those lack a class, the curve keeps a slope of 1 around the counted rows' share.
+    """
     if model.rest is None:
-        rows = rows.withColumn("_e", evidence_column(model, rows, "text", "_toxic"))
+        rows = rows.select(evidence_column(model, rows).alias("_e"), "_toxic", F.lit(1).alias("_n"))
     else:
-        rows = _joined_evidence(model, rows, "text", "_toxic").select("_e", F.col("_class").alias("_toxic"), F.col("_rows").alias("_n"))
-    times = F.col("_n") if "_n" in rows.columns else F.lit(1)
-    binned = rows.select(F.floor(F.least(F.greatest("_e", F.lit(-float(REACH))), F.lit(REACH - 1e-6)) * half).alias("bin"), "_toxic", times.alias("_n"))
+        rows = _joined_evidence(model, rows, ["_toxic"]).select("_e", "_toxic", F.col("_rows").alias("_n"))
+    half = BINS // 2 / REACH
+    binned = rows.select(F.floor(F.least(F.greatest("_e", F.lit(-float(REACH))), F.lit(REACH - 1e-6)) * half).alias("bin"), "_toxic", "_n")
     table = binned.groupBy("bin").agg(F.sum(F.when(F.col("_toxic") <= 0, F.col("_n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("_toxic") > 0, F.col("_n")).otherwise(0)).alias("n1")).toPandas()
-    x = (table["bin"].to_numpy() + 0.5) / half
+    x = (table["bin"].to_numpy(float) + 0.5) / half
     n0, n1 = table["n0"].to_numpy(float), table["n1"].to_numpy(float)
+    if not n0.sum() or not n1.sum():
+        model.slope = 1.0
+        return
     scale = max(float(np.sqrt(np.average(x * x, weights=n0 + n1))), 1e-9)
     design = np.stack([x / scale, np.ones(len(x))], 1)
     weights = np.zeros(2)
@@ -241,29 +293,24 @@ def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
     model.slope, model.intercept = max(float(weights[0]) / scale, 0.0), float(weights[1])
 
 
-def evidence_column(model: ToxicityModel, docs: DataFrame, text: str = "text", without: str | None = None) -> Column:
-    """The mean evidence of texts, if the model's expressions are all hot; `without` names the class of counted rows."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.evidence))
+def evidence_column(model: ToxicityModel, docs: DataFrame, text: str = "text") -> Column:
+    """The evidence of texts, if all the model's entries are hot."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.e))
+    unknown = model.unknown
 
-    def means(texts: pa.Array, classes: np.ndarray | None) -> pa.Array:
+    @F.arrow_udf("double")
+    def evidence(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for lo, hi, words, sums, _, _ in _summed(*shipped.value, texts, classes):
-            out[lo:hi] = sums / np.maximum(words, 1)
+        for lo, hi, data, offsets in text_chunks(texts):
+            v, w, row = _words(data, offsets)
+            e = _looked_up(*shipped.value, _pair_keys(v, w))
+            open_ = np.flatnonzero(np.isnan(e))
+            e[open_] = _looked_up(*shipped.value, w[open_])
+            e[np.isnan(e)] = unknown
+            out[lo:hi] = np.bincount(row, weights=e**3, minlength=hi - lo) / np.maximum(np.bincount(row, minlength=hi - lo), 1)
         return pa.array(out)
 
-    if without is None:
-
-        @F.arrow_udf("double")
-        def evidence(texts: pa.Array) -> pa.Array:
-            return means(texts, None)
-
-        return evidence(F.col(text))
-
-    @F.arrow_udf("double")
-    def evidence_without(texts: pa.Array, classes: pa.Array) -> pa.Array:
-        return means(texts, (classes.to_numpy(zero_copy_only=False) > 0).astype(np.int64))
-
-    return evidence_without(F.col(text), F.col(without))
+    return evidence(F.col(text))
 
 
 def _content(text: str) -> tuple[Column, Column]:
@@ -272,38 +319,46 @@ def _content(text: str) -> tuple[Column, Column]:
     return F.xxhash64(t), F.xxhash64(F.lit(1), t)
 
 
-def _joined_evidence(model: ToxicityModel, docs: DataFrame, text: str, without: str | None = None) -> DataFrame:
-    """(_k1, _k2, _class, _e, _rows): the mean evidence of each text (and class, if `without` names one) and how many rows have it.
+def _joined_evidence(model: ToxicityModel, docs: DataFrame, also: list[str], text: str = "text") -> DataFrame:
+    """(_k1, _k2, `also`, _e, _rows): the evidence of each text and how many rows have it.
 
-    A row of a text has its hot sum and words; it carries the text's hash as expression and a count of 0, so that these rows
-    don't meet at one key. Equal texts add the same to both sums, which leaves their mean.
+    A task settles what is hot. Every other pair of a text goes on with the hot e of its word, if there is one, and meets the rest
+    first as a pair, then as a word. A row of a text has its hot sum and words; it carries the text's hash as keys and a count of
+    0, so that these rows don't meet at one key. Equal texts add the same to both sums, which leaves their mean.
     """
     k1, k2 = _content(text)
-    docs = docs.select(k1.alias("k1"), k2.alias("k2"), (F.col(without) > 0 if without else F.lit(False)).cast("int").alias("c"), F.col(text).alias("t"))
-    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.evidence))
-    names = ["_k1", "_k2", "_class", "expression", "n", "hot", "words"]
+    docs = docs.select(k1.alias("_k1"), k2.alias("_k2"), *also, F.col(text).alias("t"))
+    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.e))
+    names = ["_k1", "_k2", *also, "pair", "word", "known", "n", "hot", "words"]
 
-    def rows(batches):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, cls = (column_of(batch, c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "c"))
-            for lo, hi, words, sums, row, cold in _summed(*shipped.value, column_of(batch, "t"), cls.astype(np.int64) if without else None):
-                order = np.lexsort((cold, row))
-                row, cold = row[order], cold[order]
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cold[1:] != cold[:-1])])) if len(row) else np.zeros(0, np.int64)
-                n = np.diff(np.concatenate([first, [len(row)]]))
-                at = np.concatenate([np.arange(lo, hi), row[first] + lo])
-                zeros = np.zeros(len(first))
-                columns = [one[at], two[at], cls[at].astype(np.int32), np.concatenate([one[lo:hi], cold[first]]), np.concatenate([np.zeros(hi - lo, np.int64), n]).astype(np.int32), np.concatenate([sums, zeros]), np.concatenate([words, zeros]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    terms = docs.mapInArrow(rows, "_k1 long, _k2 long, _class int, expression long, n int, hot double, words int")
-    if without:
-        e = F.when(F.col("_class") > 0, F.col("e2")).otherwise(F.col("e1"))
-    else:
-        e = F.col("e0")
-    terms = terms.join(model.rest, "expression", "left").withColumn("hot", F.col("hot") + F.col("n") * F.coalesce(e.cast("double"), F.lit(0.0)))
-    out = terms.groupBy("_k1", "_k2", "_class").agg(F.sum("hot").alias("h"), F.sum("words").alias("w"), F.count_if(F.col("n") == 0).alias("_rows"))
-    return out.select("_k1", "_k2", "_class", (F.col("h") / F.greatest("w", F.lit(1))).alias("_e"), "_rows")
+            one = column_of(batch, "_k1").to_numpy()
+            for lo, hi, data, offsets in text_chunks(column_of(batch, "t")):
+                v, w, row = _words(data, offsets)
+                pair = _pair_keys(v, w)
+                e = _looked_up(*shipped.value, pair)
+                open_ = np.flatnonzero(np.isnan(e))
+                sums = np.bincount(row, weights=np.nan_to_num(e) ** 3, minlength=hi - lo)
+                order = open_[np.lexsort((pair[open_], row[open_]))]
+                row_, pair_, word = row[order], pair[order], w[order]
+                first = np.flatnonzero(np.concatenate([[True], (row_[1:] != row_[:-1]) | (pair_[1:] != pair_[:-1])])) if len(order) else order
+                n = np.diff(np.concatenate([first, [len(order)]]))
+                row_, pair_, word = row_[first], pair_[first], word[first]
+                known = _looked_up(*shipped.value, word)
+                word = np.where(np.isnan(known), word, pair_)  # an odd key meets no word
+                at = pa.array(np.concatenate([np.arange(lo, hi), row_ + lo]))
+                own, none = one[lo:hi], np.full(hi - lo, np.nan)
+                columns = [np.concatenate(x) for x in ([own, pair_.view(np.int64)], [own | 1, word.view(np.int64)], [none, known], [np.zeros(hi - lo, np.int64), n], [sums, np.zeros(len(n))], [np.bincount(row, minlength=hi - lo), np.zeros(len(n), np.int64)])]
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c).take(at) for c in names[: 2 + len(also)]), *map(pa.array, columns)], names)
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)
+    terms = docs.mapInArrow(rows, f"_k1 long, _k2 long, {kinds + ', ' if also else ''}pair long, word long, known double, n long, hot double, words long")
+    terms = terms.join(model.rest.toDF("pair", "e_pair"), "pair", "left").join(model.rest.toDF("word", "e_word"), "word", "left")
+    e = F.coalesce("e_pair", F.nanvl("known", F.lit(None).cast("double")), "e_word", F.lit(model.unknown))
+    terms = terms.withColumn("hot", F.col("hot") + F.col("n") * e * e * e)
+    out = terms.groupBy("_k1", "_k2", *also).agg(F.sum("hot").alias("h"), F.sum("words").alias("w"), F.count_if(F.col("n") == 0).alias("_rows"))
+    return out.select("_k1", "_k2", *also, (F.col("h") / F.greatest("w", F.lit(1))).alias("_e"), "_rows")
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
@@ -315,7 +370,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
     if model.rest is None:
         return docs.withColumn(out, curve(evidence_column(model, docs, text)))
     k1, k2 = _content(text)
-    found = _joined_evidence(model, docs, text).select("_k1", "_k2", curve(F.col("_e")).alias(out))
+    found = _joined_evidence(model, docs, [], text).select("_k1", "_k2", curve(F.col("_e")).alias(out))
     kept = docs.columns
     keyed = docs.withColumns({"_d1": k1, "_d2": k2})
     return keyed.join(found, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).select(*kept, out)

@@ -37,6 +37,63 @@ def test_toxicity_on_held_out_labels(spark, docs, small):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def plain_evidence(rows, labels):
+    """The module's formulas over dicts: evidence of every text."""
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows if i is not None}
+    split = lambda t: re.findall(r"[a-z0-9'\x80-\xff]+", (t or "").encode().lower().decode("latin1"))
+    pairs = [Counter(), Counter()]
+    for i, t in rows:
+        if i in labels and fold[i] > 1:
+            words = split(t)
+            pairs[labels[i]].update(set(zip([None, *words], words, strict=False)))
+    pool = pairs[0] + pairs[1]
+    kept = {p: n for p, n in pool.items() if n >= 3}
+    discount = lambda counts: (lambda one, two: one / (one + 2 * two) if one else 0.5)(*[sum(x == k for x in counts) for k in (1, 2)])
+    n = [Counter(w for _, w in c) for c in pairs]
+    total, everything = [sum(x.values()) for x in n], n[0] + n[1]
+    d, least, shared_d = [discount(x.values()) for x in n], min(total), discount(pool.values())
+    after, explicit, own = Counter(), Counter(), [Counter(), Counter()]
+    for (v, w), x in pool.items():
+        after[v] += x
+        if (v, w) in kept:
+            explicit[v] += x - shared_d
+            for k in (0, 1):
+                own[k][v] += pairs[k][v, w]
+
+    def p(k, v, w):
+        word = (max(n[k][w] - d[k], 0) + (everything[w] + 1) / (sum(total) + len(everything) + 1) * (d[k] * len(n[k]) + least)) / (total[k] + least)
+        if (v, w) not in kept:
+            return word
+        part = explicit[v] / after[v]
+        return part * (pairs[k][v, w] + 50 * (kept[v, w] - shared_d) / explicit[v]) / (own[k][v] + 50) + (1 - part) * word
+
+    def evidence(t):
+        words = split(t)
+        return sum((math.log(p(1, v, w)) - math.log(p(0, v, w))) ** 3 for v, w in zip([None, *words], words, strict=False)) / max(len(words), 1)
+
+    return [evidence(t) for _, t in rows]
+
+
+def test_toxicity_evidence_is_what_plain_python_finds(spark, docs, small):
+    frame = spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.train(docs, frame)
+    labels = defaultdict(int)
+    for r in frame.where("toxic is not null").collect():
+        labels[r["doc_id"]] |= r["toxic"]
+    rows = docs.select("doc_id", "text", toxicity.evidence_column(model, docs).alias("e")).collect()
+    want = plain_evidence([(r["doc_id"], r["text"]) for r in rows], labels)
+    assert np.allclose([r["e"] for r in rows], want, rtol=1e-9, atol=1e-9) and max(want) > 0 > min(want)
+    scores = [r["score"] for r in toxicity.score(docs.select("doc_id", "text"), model).collect()]
+    assert np.allclose(scores, 1 / (1 + np.exp(-(model.slope * np.array(want) + model.intercept))))
+
+
+def test_toxicity_of_very_long_texts(spark, docs, small):
+    model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 3_000_000), (3, "word")], "doc_id long, text string")
+    a, b, c = (r["score"] for r in toxicity.score(rows, model).orderBy("doc_id").collect())
+    assert 0 <= min(a, b, c) and max(a, b, c) <= 1
+
+
 def test_toxicity_of_odd_tables(spark, odd, none, texts):
     labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts if i] + [(None, 1, 1), (3, 0, None), (3, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(odd, labels).count() == len(texts)
