@@ -1,15 +1,19 @@
 """Secret scanning in DataFrame functions only: fixed patterns, and the entropy of sliding windows over candidate strings.
 
-Candidates are runs of 20 or more of the characters that keys and tokens are made of. A window of 20 characters slides over
-a candidate; its Shannon entropy follows from S = sum of f(count) over its characters, f(c) = c log2 c, as
-H = log2(20) - S / 20, and S changes by f(c+1) - f(c) for the character that enters and f(c-1) - f(c) for the one that leaves.
-Windows that meet a span of a fixed pattern, eight equal characters in a row or a placeholder word are left out, which parts a
-candidate into pieces; whatever else a candidate holds is looked at. The limit depends on the piece's character class:
-hexadecimal (3.0 bits), or letters with digits (3.7 bits). A piece without letters or without digits is none, and UUIDs, paths
-and words joined by signs are none either. A span runs from the first to the end of the last window over the limit of a piece.
+Every character that a fixed pattern's span covers is shifted into a private range, where later steps still know it but don't take it
+for a plain one; characters of allow-listed stretches (eight or more equal ones, placeholder words) go to another such range. So one text
+holds all that was found, no step looks up spans, and the work grows with the text's length however many spans there are.
+
+Candidates are the runs of 20 or more plain characters of keys and tokens that are left. A window of 20 characters slides over
+a candidate. Its Shannon entropy follows from S = sum of f(count) over its characters, f(c) = c log2 c, as H = log2(20) - S / 20;
+the counts of all characters are carried along, one digit each, and change by one for the character that enters and the one that leaves.
+The limit depends on the candidate's character class: hexadecimal (3.0 bits), or letters with digits (3.7 bits). One without letters or
+without digits is none, and UUIDs, paths and words joined by signs are none either. A span runs from the first to the end of the
+last window over the limit.
 
 All spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; a text's rows are independent, so repeated rows,
-any order and an empty table need nothing special; other columns are ignored (`redact` keeps them).
+any order and an empty table need nothing special; very long texts, candidates and many spans take time in proportion (a task holds a
+few dozen bytes for each character of a candidate); other columns are ignored (`redact` keeps them).
 """
 
 from __future__ import annotations
@@ -22,128 +26,169 @@ from pyspark.sql import functions as F
 from loomwork.llm.shared import set_aside
 
 WINDOW = 20
+#: Private characters for those in spans and in allow-listed stretches; a text's own ones are taken out while it is scanned.
+_SPAN, _ALLOWED = 0xE000, 0xE100
+_PRIVATE, _NEUTRAL = "[\ue000-\ue1ff]", "\ufffd"
+_ASCII = "".join(map(chr, range(32, 127)))
+
+
+def _shifted(to: int) -> str:
+    return "".join(chr(to + ord(c)) for c in _ASCII)
+
+
+def _also_in_span(ranges: str) -> str:
+    """A character class that also takes these characters where a span covers them."""
+    return "[" + ranges + "".join(c if c == "-" else chr(_SPAN + ord(c)) for c in ranges) + "]"
+
+
 #: The fixed patterns, in the order in which kinds are listed: kind, pattern, group, least length of that group.
 PATTERNS = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
-    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("access", "".join(map(_also_in_span, "AKIA")) + _also_in_span("A-Z0-9") + "{16,}", 0, 20),
+    ("hex", _also_in_span("0-9a-f") + "{24,}", 0, 24),
 ]
 #: A cheap test for texts that can match a pattern at all.
 _MAY_MATCH = {"assign": r"(?i)passw|secret|token|api_?key"}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Candidates that are no secrets: UUIDs; words, numbers or path parts joined by signs; placeholders of one repeated character.
-ALLOWED = [
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?[+/_=-]*$",
-    r"(.)\1{7}",
-    r"(?i)example|placeholder|changeme",
-]
-#: Those that a whole piece has to match, and those that only clear the stretch they match, with its length.
-WHOLE = ALLOWED[:2]
-STRETCHES = [(ALLOWED[2], 8), *((f"(?i){word}", len(word)) for word in ALLOWED[3].removeprefix("(?i)").split("|"))]
+CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: Stretches that are cleared wherever they stand: one repeated character, placeholders.
+STRETCHES = r"([A-Za-z0-9+/_=-])\1{7,}|(?i:example|placeholder|changeme)"
+#: Candidates that are no secrets: UUIDs; those whose parts between signs are all words or short numbers.
+UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+SIGNS, WORD_PART = "[+/_=-]+", "^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?$"
 _HEX_BITS, _MIXED_BITS = 3.0, 3.7
+#: Running sums are taken inside blocks of so many numbers and over the blocks.
+_BLOCK = 256
 
 
-def _found(text: Column, pattern: str, may: str | None) -> Column:
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(text.rlike(may), matches).otherwise(F.array().cast("array<string>")) if may else matches
+def _with_ends(docs: DataFrame, numbers: str, out: str) -> DataFrame:
+    """`docs` with the running sums of a column of integers; null where it is null or empty.
 
+    An array that grows by one element at each step is copied each time, so it may only grow to a block. Arrays are zipped rather
+    than looked up by place: an expression that stands for an array inside a lambda would be computed anew for every element.
+    """
+
+    def running(x: Column, start: Column, last: bool) -> Column:
+        """The sums after each number, or (not last) before each."""
+        begin = F.struct(start.alias("p"), F.array().cast("array<int>").alias("a"))
+        return F.aggregate(x, begin, lambda acc, n: F.struct((acc["p"] + n).alias("p"), F.concat(acc["a"], F.array(acc["p"] + n if last else acc["p"])).alias("a")), lambda acc: acc["a"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
+    docs = docs.withColumn("_blocks", F.when(F.size(numbers) > 0, blocks))
+    before = running(F.transform("_blocks", lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)), F.lit(0), False)
+    return docs.withColumn(out, F.flatten(F.zip_with("_blocks", before, lambda x, start: running(x, start, True)))).drop("_blocks")
 
-def _with_spans(docs: DataFrame, text: str, name: str, pattern: str, group: int, may: str | None) -> DataFrame:
-    """A column `name`: array<struct<s:int, e:int, m:string, g:string>> of all matches, from what stands between them."""
-    t = F.col(text)
-    docs = docs.withColumn("_m", _found(t, pattern, may))
-    some = F.size("_m") > 0
-    docs = docs.withColumn("_gaps", F.when(some, F.transform(F.split(t, pattern), lambda x: F.length(x)))).withColumn("_g", F.when(some, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))))
-    # the running sum of gaps and matches before each match
-    places = F.aggregate(
-        F.sequence(F.lit(0), F.size("_m") - 1),
-        F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("a")),
-        lambda acc, i: F.struct((acc["p"] + F.get("_gaps", i) + F.length(F.get("_m", i))).alias("p"), F.concat(acc["a"], F.array(acc["p"] + F.get("_gaps", i))).alias("a")),
-        lambda acc: acc["a"],
-    )
-    docs = docs.withColumn("_at", F.when(some, places))
-    spans = F.transform(F.col("_m"), lambda m, i: F.struct(F.get("_at", i).alias("s"), (F.get("_at", i) + F.length(m)).alias("e"), m.alias("m"), F.get("_g", i).alias("g")))
-    return docs.withColumn(name, F.when(some, spans).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,g:string>>"))).drop("_m", "_gaps", "_g", "_at")
 
+def _with_matches(docs: DataFrame, pattern: str, group: int = 0, may: Column | None = None) -> DataFrame:
+    """`docs` with the matches of a pattern in `_text`: `_hits`, array<struct<m: match, g: group, e: its end>>, and the `_gaps` around them; null where there are none."""
+    t = F.col("_text")
+    matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    docs = docs.withColumn("_m", matches if may is None else F.when(may, matches))
+    some = F.size("_m") > 0
+    docs = docs.withColumn("_gaps", F.when(some, F.split(t, pattern)))
+    docs = docs.withColumn("_n", F.when(some, F.zip_with(F.slice("_gaps", F.lit(1), F.size("_m")), "_m", lambda gap, m: F.length(gap) + F.length(m))))
+    docs = _with_ends(docs, "_n", "_ends")
+    groups = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else F.col("_m")
+    hits = F.zip_with(F.zip_with("_m", groups, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), "_ends", lambda x, e: F.struct(x["m"].alias("m"), x["g"].alias("g"), e.alias("e")))
+    return docs.withColumn("_hits", F.when(some, hits)).drop("_m", "_n", "_ends")
 
-def _windows(candidate: Column) -> Column:
-    """struct<first:int, last:int>: the first and last character (from 1) of the windows over the limit; 0 if there is none."""
-    f = F.array(*[F.lit(0.0)] + [F.lit(c * log2(c)) for c in range(1, WINDOW + 2)])
-    limit = F.when(candidate.rlike("^[0-9A-Fa-f]+$"), _HEX_BITS).otherwise(_MIXED_BITS)
-    most = (F.log2(F.lit(float(WINDOW))) - limit) * WINDOW  # the largest S that is over the limit
 
-    def count(window: Column, character: Column) -> Column:
-        return F.length(window) - F.length(F.replace(window, character, F.lit("")))
+def _rejoined(new: Column) -> Column:
+    """`_text` with `new`, an array, in place of the matches."""
+    joined = F.array_join(F.zip_with("_gaps", new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+    return F.when(F.col("_gaps").isNotNull(), joined).otherwise(F.col("_text"))
 
-    def step(acc: Column, i: Column) -> Column:
-        leaves = F.substring(candidate, i - WINDOW, F.lit(1))
-        had = count(F.substring(candidate, i - WINDOW, F.lit(WINDOW)), leaves)
-        s = acc["s"] + F.when(i > WINDOW, F.get(f, had - 1) - F.get(f, had)).otherwise(0.0)
-        before = F.substring(candidate, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
-        has = count(before, F.substring(candidate, i, F.lit(1)))
-        s = s + F.get(f, has + 1) - F.get(f, has)
-        over = (i >= WINDOW) & (s <= most + 1e-9)
-        return F.struct(s.alias("s"), F.when((acc["first"] == 0) & over, i - WINDOW + 1).otherwise(acc["first"]).alias("first"), F.when(over, i).otherwise(acc["last"]).alias("last"))
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step)
+def _in_range(m: Column, to: int) -> Column:
+    return F.translate(m, _ASCII, _shifted(to))
 
 
-def _blanked(candidate: Column) -> Column:
-    """The candidate with a blank for every character of a base span or an allow-listed stretch."""
-    met = F.filter("_base", lambda b: (b["s"] < candidate["e"]) & (candidate["s"] < b["e"]))
+def _spans(kept: Column, order: int, kind: str) -> Column:
+    """The kept ones (struct s, e; others null) as spans of a kind."""
+    spans = F.transform(F.filter(kept, lambda x: x.isNotNull()), lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), F.lit(kind).alias("k")))
+    return F.coalesce(spans, F.array().cast("array<struct<s:int,o:int,e:int,k:string>>"))
 
-    def blank(m: Column, b: Column) -> Column:
-        lo, hi = F.greatest(b["s"] - candidate["s"], F.lit(0)), F.least(b["e"], candidate["e"]) - candidate["s"]
-        return F.concat(F.substring(m, F.lit(1), lo), F.repeat(F.lit(" "), hi - lo), F.substring(m, hi + 1, F.length(m)))
 
-    out = F.aggregate(met, candidate["m"], blank)
-    for pattern, length in STRETCHES:
-        out = F.regexp_replace(out, pattern, " " * length)
-    return out
+def _windows(events: Column, most: Column) -> Column:
+    """struct<first:int, last:int>: the first and last character (from 1) of the windows whose S is at most `most`; 0 if there is none.
 
+    An event is a character and how its count changes, one that leaves before the one that enters.
+    """
+    f = F.array(*[F.lit(0.0)] + [F.lit(c * log2(c)) for c in range(1, WINDOW + 1)])
 
-def _pieces(start: Column, masked: Column) -> Column:
-    """array<struct<s:int, m:string>>: the stretches of a window's length or more between blanks."""
-    empty = F.array().cast("array<struct<s:int,m:string>>")
+    def step(acc: Column, x: Column) -> Column:
+        had = F.ascii(F.substring(acc["counts"], F.ascii(x["c"]), F.lit(1))) - ord("0")
+        s = acc["s"] + F.get(f, had + x["d"]) - F.get(f, had)
+        at = acc["i"] + F.when(x["d"] > 0, 1).otherwise(0)
+        over = (x["d"] > 0) & (at >= WINDOW) & (s <= most)
+        counts = F.overlay(acc["counts"], F.char(had + x["d"] + ord("0")), F.ascii(x["c"]), F.lit(1))
+        return F.struct(s.alias("s"), at.alias("i"), counts.alias("counts"), F.when((acc["first"] == 0) & over, at - WINDOW + 1).otherwise(acc["first"]).alias("first"), F.when(over, at).otherwise(acc["last"]).alias("last"))
 
-    def step(acc: Column, m: Column) -> Column:
-        piece = F.when(F.length(m) >= WINDOW, F.array(F.struct(acc["p"].alias("s"), m.alias("m")))).otherwise(empty)
-        return F.struct((acc["p"] + F.length(m) + 1).alias("p"), F.concat(acc["a"], piece).alias("a"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit("0" * 127).alias("counts"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    return F.aggregate(events, start, step)
 
-    return F.aggregate(F.split(masked, " "), F.struct(start.alias("p"), empty.alias("a")), step, lambda acc: acc["a"])
 
+def _events(characters: Column) -> Column:
+    def of(c: Column, i: Column) -> Column:
+        enters = F.struct(c.alias("c"), F.lit(1).alias("d"))
+        leaves = F.struct(F.get(characters, i - WINDOW).alias("c"), F.lit(-1).alias("d"))
+        return F.when(i >= WINDOW, F.array(leaves, enters)).otherwise(F.array(enters))
 
-def _suppressed(piece: Column) -> Column:
-    out = ~(piece.rlike("[0-9]") & piece.rlike("[A-Za-z]"))
-    for pattern in WHOLE:
-        out = out | piece.rlike(pattern)
-    return out
+    return F.flatten(F.transform(characters, of))
 
 
-def _kept(column: str, order: int, kind: str, least: int) -> Column:
-    """The matches whose group is long enough, as spans of a kind."""
-    kept = F.filter(column, lambda x: F.length(x["g"]) >= least)
-    return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), F.lit(kind).alias("k")))
+def _suppressed(candidate: Column) -> Column:
+    plain = F.forall(F.split(candidate, SIGNS), lambda part: part.rlike(WORD_PART))
+    return ~(candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")) | candidate.rlike(UUID) | plain
 
 
 def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `secrets`: array<struct<s:int, o:int, e:int, k:string>>, all spans by start, then kind as listed (entropy last)."""
-    docs = docs.withColumn("_text", F.coalesce(text, F.lit("")))
+    """`docs` with `secrets`: array<struct<s:int, o:int, e:int, k:string>>, all spans by start, then kind as listed (entropy last);
+    and `_text`: the scanned text with the characters of spans and stretches shifted."""
+    t = F.coalesce(text, F.lit(""))
+    docs = docs.withColumn("_text", F.when(t.rlike(_PRIVATE), F.regexp_replace(t, _PRIVATE, _NEUTRAL)).otherwise(t))
     parts = []
     for order, (kind, pattern, group, least) in enumerate(PATTERNS):
-        docs = _with_spans(docs, "_text", f"_{kind}", pattern, group, _MAY_MATCH.get(kind))
-        parts.append(_kept(f"_{kind}", order, kind, least))
-    docs = docs.withColumn("_base", F.concat(*parts))
-    docs = _with_spans(docs, "_text", "_candidates", CANDIDATE, 0, None)
-    # base spans and allow-listed stretches are blanked, which keeps all places; what stands between them is slid over
-    docs = docs.withColumn("_masked", F.transform("_candidates", lambda c: F.struct(c["s"].alias("s"), _blanked(c).alias("m"))))
-    docs = docs.withColumn("_pieces", F.flatten(F.transform("_masked", lambda c: _pieces(c["s"], c["m"]))))
-    docs = docs.withColumn("_open", F.transform(F.filter("_pieces", lambda c: ~_suppressed(c["m"])), lambda c: F.struct(c["s"].alias("s"), c["m"].alias("m"), _windows(c["m"]).alias("w"))))
-    added = F.transform(F.filter("_open", lambda c: c["w"]["first"] > 0), lambda c: F.struct((c["s"] + c["w"]["first"] - 1).alias("s"), F.lit(len(PATTERNS)).alias("o"), (c["s"] + c["w"]["last"]).alias("e"), F.lit("entropy").alias("k")))
-    docs = docs.withColumn("secrets", F.sort_array(F.concat("_base", added)))
-    return docs.drop("_text", "_base", "_candidates", "_masked", "_pieces", "_open", *[f"_{k}" for k, *_ in PATTERNS])
+        docs = _with_matches(docs, pattern, group, F.col("_text").rlike(_MAY_MATCH[kind]) if kind in _MAY_MATCH else None)
+
+        def long(x: Column, least: int = least) -> Column:
+            return F.length(x["g"]) >= least
+
+        kept = F.transform("_hits", lambda x: F.when(long(x), F.struct((x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e"))))
+        new = F.transform("_hits", lambda x: F.when(long(x), _in_range(x["m"], _SPAN)).otherwise(x["m"]))
+        docs = docs.withColumn(f"_{kind}", _spans(kept, order, kind)).withColumn("_text", _rejoined(new))
+        parts.append(f"_{kind}")
+    docs = _with_matches(docs, STRETCHES, may=F.col("_text").rlike(CANDIDATE))
+    docs = docs.withColumn("_text", _rejoined(F.transform("_hits", lambda x: _in_range(x["m"], _ALLOWED))))
+
+    docs = _with_matches(docs, CANDIDATE)
+    limit = {kind: (log2(WINDOW) - bits) * WINDOW + 1e-9 for kind, bits in (("hex", _HEX_BITS), ("mixed", _MIXED_BITS))}
+
+    def opened(m: Column) -> Column:
+        return F.when(~_suppressed(m), F.struct(F.split(m, "").alias("c"), F.when(m.rlike("^[0-9A-Fa-f]+$"), limit["hex"]).otherwise(limit["mixed"]).alias("most")))
+
+    def each(make) -> Column:
+        return F.transform("_hits", lambda x: F.struct(x["m"].alias("m"), x["e"].alias("e"), make(x).alias("x")))
+
+    docs = docs.withColumn("_hits", each(lambda x: opened(x["m"])))
+    docs = docs.withColumn("_hits", each(lambda x: F.when(x["x"].isNotNull(), F.struct(_events(x["x"]["c"]).alias("events"), x["x"]["most"].alias("most")))))
+    docs = docs.withColumn("_hits", each(lambda x: F.when(x["x"].isNotNull(), _windows(x["x"]["events"], x["x"]["most"]))))
+
+    def over(x: Column) -> Column:
+        return F.coalesce(x["x"]["first"] > 0, F.lit(False))
+
+    def found(x: Column) -> Column:
+        begin = x["e"] - F.length(x["m"])
+        return F.when(over(x), F.struct((begin + x["x"]["first"] - 1).alias("s"), (begin + x["x"]["last"]).alias("e")))
+
+    def marked(x: Column) -> Column:
+        m, first, last = x["m"], x["x"]["first"], x["x"]["last"]
+        inner = _in_range(F.substring(m, first, last - first + 1), _SPAN)
+        return F.when(over(x), F.concat(F.substring(m, F.lit(1), first - 1), inner, F.substring(m, last + 1, F.length(m)))).otherwise(m)
+
+    docs = docs.withColumn("_entropy", _spans(F.transform("_hits", found), len(PATTERNS), "entropy"))
+    docs = docs.withColumn("_text", _rejoined(F.transform("_hits", marked)))
+    docs = docs.withColumn("secrets", F.sort_array(F.concat(*parts, "_entropy")))
+    return docs.drop("_gaps", "_hits", "_entropy", *parts)
 
 
 def _listed(spans: Column) -> Column:
@@ -165,13 +210,12 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     """`docs` with every span in `text` replaced by `mask`; spans that meet become one. Texts without spans stay as they are."""
     docs, restore = set_aside(docs, (text,))
     found = with_secrets(docs, text)
-    t = F.col(text)
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("x"))
+    t, own = F.col(text), f"{_PRIVATE[:-1]}{_NEUTRAL}]"
+    # what was taken out of the text comes back in its order; no span holds any of it
+    found = found.withColumn("_own", F.when(t.rlike(own), F.regexp_extract_all(t, F.lit(own), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
-    def step(acc: Column, span: Column) -> Column:
-        fresh = (span["s"] > acc["p"]) | (acc["x"] == "")
-        between = F.substring(t, acc["p"] + 1, span["s"] - acc["p"])
-        return F.struct(F.greatest(acc["p"], span["e"]).alias("p"), F.when(fresh, F.concat(acc["x"], between, F.lit(mask))).otherwise(acc["x"]).alias("x"))
+    def masked(part: Column) -> Column:
+        return F.translate(F.regexp_replace(part, f"[{_shifted(_SPAN)[0]}-{_shifted(_SPAN)[-1]}]+", mask.replace("\\", "\\\\").replace("$", "\\$")), _shifted(_ALLOWED), _ASCII)
 
-    masked = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["x"], F.substring(t, acc["p"] + 1, F.length(t))))
-    return restore(found.withColumn(text, F.when(F.size("secrets") > 0, masked).otherwise(t)))
+    parts = F.zip_with(F.split("_text", _NEUTRAL), "_own", lambda part, x: F.concat(masked(part), F.coalesce(x, F.lit(""))))
+    return restore(found.withColumn(text, F.when(F.size("secrets") > 0, F.array_join(parts, "")).otherwise(t)))
