@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import byte_values, checkpointed, column_of, ensure_checkpoint_dir, gram_hashes, mix, ranges, span_hashes, text_chunks, word_hashes
+from loomwork.llm.shared import byte_values, checkpointed, column_of, ensure_checkpoint_dir, gram_hashes, mix, ranges, span_hashes, text_chunks, word_bounds, word_hashes
 
 #: Contexts of one k-gram that one task holds at most (about 40 MB); the windows of more frequent ones are grouped one by one.
 TASK_CONTEXTS = 65_536
@@ -43,9 +43,26 @@ class Scheme:
             return hashes, hashes, first
         return data, byte_values(data), offsets
 
-    @property
-    def dtype(self) -> type:
-        return np.uint64 if self.words else np.uint8
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that contexts of a chunk are cut from, and where each symbol begins in them (one more at the end): words are followed by one space each."""
+        if not self.words:
+            return data, np.arange(len(data) + 1)
+        starts, ends, _ = word_bounds(data, offsets)
+        lengths = ends - starts + 1
+        upto = np.cumsum(lengths)
+        at = ranges(starts, lengths)
+        at[upto - 1] = 0
+        joined = data[at]
+        joined[upto - 1] = 32
+        return joined, np.concatenate([[0], upto])
+
+    def read(self, contexts: list[bytes]) -> list[np.ndarray]:
+        """The symbols of contexts."""
+        if not self.words:
+            return [np.frombuffer(c, np.uint8) for c in contexts]
+        ends = np.cumsum([0, *map(len, contexts)])
+        hashes, _, _, first = word_hashes(np.frombuffer(b"".join(contexts), np.uint8), ends)
+        return np.split(hashes, first[1:-1])
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -100,7 +117,8 @@ def _anchor_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """(gram, owners, symbols): equal contexts of a batch are one row; owners are int64 (h1, h2, order, first), one after the other."""
+    """(gram, owners, symbols): equal contexts of a batch are one row, as bytes of text, which pack better than hashes; owners are int64
+    (h1, h2, order, first), one after the other."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +128,12 @@ def _contexts(texts: DataFrame, scheme: Scheme) -> DataFrame:
             gram, start, n = (flat.field(c).to_numpy() for c in ("gram", "first", "n"))
             met: dict[tuple[int, bytes], list[int]] = {}
             for lo, hi, data, offsets in text_chunks(column_of(batch, "text")):
-                symbols, _, first = scheme.symbols(data, offsets)
+                _, _, first = scheme.symbols(data, offsets)
+                plain, at = scheme.plain(data, offsets)
                 for r in range(lo, hi):
-                    own = symbols[first[r - lo] : first[r - lo + 1]]
                     for a in range(ends[r], ends[r + 1]):
-                        key = int(gram[a]), own[start[a] : start[a] + n[a] - 1 + scheme.window].tobytes()
+                        begin = first[r - lo] + start[a]
+                        key = int(gram[a]), plain[at[begin] : at[begin + n[a] - 1 + scheme.window]].tobytes()
                         met.setdefault(key, []).extend((h1[r], h2[r], order[r], start[a]))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in met], pa.int64()), pa.array([np.array(v, np.int64).tobytes() for v in met.values()], pa.binary()), pa.array([k[1] for k in met], pa.binary())], ["gram", "owners", "symbols"])
 
@@ -151,7 +170,7 @@ def _solved(groups: DataFrame, scheme: Scheme, solve: Solver, across: bool) -> D
             own = [np.unique(np.frombuffer(b"".join(x), np.int64).reshape(-1, 4), axis=0) for x in met.values()]
             places = np.array([len(x) for x in own])
             least = np.array([x[:, 2].min() for x in own])
-            marks = solve([np.frombuffer(s, scheme.dtype) for _, s in met], places, least)
+            marks = solve(scheme.read([s for _, s in met]), places, least)
             out = []
             for who, mark in zip(own, marks, strict=True):
                 if across:  # the document that has a window first keeps it
@@ -207,7 +226,8 @@ def repeated_runs(docs: DataFrame, scheme: Scheme, solve: Solver, across: bool,
     # a table of its own, so that Spark may split what a very frequent k-gram has on the other side of the join
     again = stored(facts.where("a <> b" if across else "a <> b or c <> d").select("gram", (F.col("often") > task_contexts).alias("hot")))
     near = checkpointed(anchors.join(again, "gram").groupBy("h1", "h2", "hot").agg(F.collect_set(F.struct("gram", "first", "n")).alias("anchors")).join(same.withColumnRenamed("rep", "order").drop("copies"), ["h1", "h2"]))
-    texts = docs.select("h1", "h2", "order", "text").join(near, ["h1", "h2", "order"])
+    # texts are always joined by sorting, so that a plan that was measured on small tables is the one of large ones
+    texts = docs.select("h1", "h2", "order", "text").join(near.hint("merge"), ["h1", "h2", "order"])
     columns = ["h1", "h2", "order", "anchors", "text"]
     runs = _solved(_contexts(texts.where("not hot").select(columns), scheme), scheme, solve, across)
     if near.where("hot").limit(1).count():

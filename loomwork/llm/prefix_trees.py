@@ -57,7 +57,7 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
     docs = anchors.contents(docs)
     same, runs = anchors.repeated_runs(docs, scheme_of(window), least_documents(window), across=True)
     facts = same.where("copies > 1").select("h1", "h2", "rep").join(runs, ["h1", "h2"], "full_outer")
-    return docs.join(facts, ["h1", "h2"], "left").select("doc_id", "text", F.coalesce(F.col("order") > F.col("rep"), F.lit(False)).alias("whole"), "runs")
+    return docs.join(facts.hint("merge"), ["h1", "h2"], "left").select("doc_id", "text", F.coalesce(F.col("order") > F.col("rep"), F.lit(False)).alias("whole"), "runs")
 
 
 def _kept_words(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, bytes]]:
@@ -100,7 +100,7 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     same, runs = anchors.repeated_runs(plain, scheme_of(window), least_documents(window), across=True)
     facts = same.where("copies > 1").select("h1", "h2", "rep").join(runs, ["h1", "h2"], "full_outer").withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    marked = rows.join(facts, ["_h1", "_h2"], "left").withColumn("_whole", F.coalesce(order > F.col("rep"), F.lit(False))).drop("rep", "_h1", "_h2")
+    marked = rows.join(facts.hint("merge"), ["_h1", "_h2"], "left").withColumn("_whole", F.coalesce(order > F.col("rep"), F.lit(False))).drop("rep", "_h1", "_h2")
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, whole: pa.Array, found: pa.Array) -> pa.Array:

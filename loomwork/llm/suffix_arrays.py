@@ -210,7 +210,7 @@ def suffix_array_digests(docs: DataFrame, window: int = 400) -> DataFrame:
     scheme = anchors.Scheme(False, window, min(GRAM_BYTES, window))
     same, runs = anchors.repeated_runs(docs, scheme, repeat_counts(window), across=False)
     facts = same.where("copies > 1").select("h1", "h2", F.lit(True).alias("whole")).join(runs, ["h1", "h2"], "full_outer")
-    marked = docs.join(facts, ["h1", "h2"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    marked = docs.join(facts.hint("merge"), ["h1", "h2"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
