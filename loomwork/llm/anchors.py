@@ -24,6 +24,8 @@ from loomwork.llm.shared import byte_values, checkpointed, column_of, ensure_che
 
 #: Contexts of one k-gram that one task holds at most (about 40 MB); the windows of more frequent ones are grouped one by one.
 TASK_CONTEXTS = 65_536
+#: At most so many k-grams (8 MB) are told to all tasks as very frequent; if there are more, they have to be more frequent.
+HOT_GRAMS = 1 << 20
 #: Symbols' bytes that a solver takes at once, where the groups allow it.
 BATCH_BYTES = 1_500_000
 
@@ -188,50 +190,59 @@ def _solved(groups: DataFrame, scheme: Scheme, solve: Solver, across: bool) -> D
     return groups.repartition("gram").sortWithinPartitions("gram").mapInArrow(runs, "h1 long, h2 long, start long, n long")
 
 
-def _single_windows(texts: DataFrame, scheme: Scheme, across: bool) -> DataFrame:
-    """The same for very frequent k-grams: their windows are grouped one by one, by two hashes, with partial aggregation."""
+def _single_windows(docs: DataFrame, scheme: Scheme, across: bool, hot: np.ndarray, same: DataFrame) -> DataFrame:
+    """The same for very frequent k-grams (`hot`, sorted): their windows are grouped one by one, by two hashes, with partial aggregation.
+
+    Texts are read again rather than shuffled, so copies take part here; they change neither which texts have a window nor where.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2, order = (column_of(batch, c).to_numpy() for c in ("h1", "h2", "order"))
-            lists = column_of(batch, "anchors")
-            ends, flat = lists.offsets.to_numpy(), lists.values
-            start, n = (flat.field(c).to_numpy() for c in ("first", "n"))
-            for lo, hi, data, offsets in text_chunks(column_of(batch, "text")):
+            for lo, _, data, offsets in text_chunks(column_of(batch, "text")):
                 _, values, first = scheme.symbols(data, offsets)
-                row = np.repeat(np.arange(lo, hi), ends[lo + 1 : hi + 1] - ends[lo:hi])
-                part = slice(ends[lo], ends[hi])
-                at = ranges(start[part].astype(np.int64), n[part].astype(np.int64))
-                row = np.repeat(row, n[part])
-                begin = at + first[row - lo]
+                row, gram, begin, n = owners(values, first, scheme)
+                of_hot = np.isin(gram, shipped.value)
+                row = np.repeat(row[of_hot], n[of_hot])
+                begin = ranges(begin[of_hot], n[of_hot])
+                at, row = begin - first[row], row + lo
                 w1 = span_hashes(values, begin, begin + scheme.window)
                 w2 = span_hashes(mix(values + np.uint64(12345)), begin, begin + scheme.window)
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(h1[row]), pa.array(h2[row]), pa.array(order[row]), pa.array(at)], ["w1", "w2", "h1", "h2", "order", "start"])
 
-    windows = texts.mapInArrow(cut, "w1 long, w2 long, h1 long, h2 long, order long, start long")
+    windows = docs.select("h1", "h2", "order", "text").mapInArrow(cut, "w1 long, w2 long, h1 long, h2 long, order long, start long")
     facts = windows.groupBy("w1", "w2").agg(F.min("order").alias("low"), F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("start").alias("c"), F.max("start").alias("d"))
     again = stored(facts.where("a <> b or c <> d").select("w1", "w2", "low"))  # stored for the same reason as the repeated k-grams
-    hit = windows.join(again, ["w1", "w2"])
-    return (hit.where("order > low") if across else hit).select("h1", "h2", "start", F.lit(1).cast("long").alias("n"))
+    hit = windows.join(again, ["w1", "w2"]).select("h1", "h2", "start", "low").distinct()
+    hit = hit.join(same, ["h1", "h2"]).where("rep > low") if across else hit
+    return hit.select("h1", "h2", "start", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_runs(docs: DataFrame, scheme: Scheme, solve: Solver, across: bool, task_contexts: int = TASK_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, rep, copies) of every content, and (h1, h2, runs array<struct<start, n>>) of the windows to remove from it.
 
     across: windows that also start in a document of a smaller order, else windows that also start at another place.
+    Whatever grows with the input is joined by sorting, at every size, so that the plan which small tables are measured with is
+    the one of large tables.
     """
     anchors = stored(_anchor_rows(docs, scheme))
     same = docs.groupBy("h1", "h2").agg(F.min("order").alias("rep"), F.count("*").alias("copies"))
     facts = anchors.groupBy("gram").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("first").alias("c"), F.max("first").alias("d"), F.count("*").alias("often"))
-    # a table of its own, so that Spark may split what a very frequent k-gram has on the other side of the join
-    again = stored(facts.where("a <> b" if across else "a <> b or c <> d").select("gram", (F.col("often") > task_contexts).alias("hot")))
-    near = checkpointed(anchors.join(again, "gram").groupBy("h1", "h2", "hot").agg(F.collect_set(F.struct("gram", "first", "n")).alias("anchors")).join(same.withColumnRenamed("rep", "order").drop("copies"), ["h1", "h2"]))
-    # texts are always joined by sorting, so that a plan that was measured on small tables is the one of large ones
+    # a table of its own, so that Spark may split what a frequent k-gram has on the other side of the join
+    again = stored(facts.where("a <> b" if across else "a <> b or c <> d").select("gram", "often"))
+    hot = again.where(F.col("often") > task_contexts).select("gram")
+    while hot.count() > HOT_GRAMS:
+        task_contexts *= 2
+        hot = again.where(F.col("often") > task_contexts).select("gram")
+    cold = again.where(F.col("often") <= task_contexts).select("gram")
+    lists = anchors.join(cold.hint("merge"), "gram").groupBy("h1", "h2").agg(F.collect_set(F.struct("gram", "first", "n")).alias("anchors"))
+    near = checkpointed(lists.join(same.withColumnRenamed("rep", "order").drop("copies").hint("merge"), ["h1", "h2"]))
     texts = docs.select("h1", "h2", "order", "text").join(near.hint("merge"), ["h1", "h2", "order"])
-    columns = ["h1", "h2", "order", "anchors", "text"]
-    runs = _solved(_contexts(texts.where("not hot").select(columns), scheme), scheme, solve, across)
-    if near.where("hot").limit(1).count():
-        runs = runs.unionByName(_single_windows(texts.where("hot").select(columns), scheme, across))
+    runs = _solved(_contexts(texts.select("h1", "h2", "order", "anchors", "text"), scheme), scheme, solve, across)
+    grams = np.sort(hot.toArrow()["gram"].to_numpy().view(np.uint64))
+    if len(grams):
+        runs = runs.unionByName(_single_windows(docs, scheme, across, grams, same))
     return same, runs.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
