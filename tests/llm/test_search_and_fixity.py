@@ -83,3 +83,26 @@ def test_tree_is_the_hash_of_its_parts(spark):
         leaves = [hashlib.sha256("".join(leaves[i : i + 4]).encode()).hexdigest() for i in range(0, len(leaves), 4)]
     root = levels[-1].collect()
     assert len(root) == 1 and root[0]["hash"] == leaves[0] and (root[0]["begin"], root[0]["end"]) == (0, at)
+
+
+def test_voronoi_bounds_exclude_data_of_other_clusters(spark):
+    """Twenty tight clusters: a group of queries gets a small share of the data, and results are those of brute force."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(20, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = centres[draw.integers(0, 20, 3000)] + 0.01 * draw.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    usable = voronoi._usable(df, "vec_id", "embedding")
+    whole = np.floor(256 * vectors)
+    norm2 = float((whole**2).sum(1).max())
+    chosen = voronoi._lifted(whole[:60], norm2, False)
+    data, queries, groups = voronoi._parted(usable, F.col("vec_id") % 50 == 0, chosen, 16, norm2, 5, 4096, 8192)
+    copies = data.select(F.sum(F.size("wanted"))).first()[0]
+    assert len(groups) > 5 and copies / len(groups) < 0.3 * 3000
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in voronoi.voronoi_topk(df, F.col("vec_id") % 50 == 0).collect()}
+    scores = (whole @ whole.T).astype(np.int64)
+    want = {}
+    for q in range(0, 3000, 50):
+        order = sorted((i for i in range(3000) if i != q), key=lambda i: (-scores[q, i], i))[:5]
+        want |= {(q, r + 1): (i, int(scores[q, i])) for r, i in enumerate(order)}
+    assert got == want
