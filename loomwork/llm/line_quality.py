@@ -59,22 +59,22 @@ def with_repeated_window_words(docs: DataFrame, words: str, out: str) -> DataFra
     return docs.withColumn(out, F.when(n < 3, 0).otherwise(covered).cast("long")).drop("_bits", "_packed", "_pairs")
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def with_line_words(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """`docs` with the words of each line that has any: the text is cut into lines, and each line into words, once."""
+    lines = F.transform(F.split(text, "\n"), words_of)
+    return docs.withColumn(out, F.filter(lines, lambda w: F.size(w) > 0))
 
 
-def _line_keys(text: Column, host: Column) -> Column:
-    def key(line: Column) -> Column:
-        return F.xxhash64(host, F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
-
-    return F.transform(_lines(text), key)
+def _line_key(words: Column, host: Column) -> Column:
+    return F.xxhash64(host, F.lower(F.array_join(words, " ")))
 
 
 def line_frequency_quality(docs: DataFrame, min_docs: int = 10, host_share: float = 0.001, least_kept: float = 0.5) -> DataFrame:
     """One row per document with the base figures, base_failed, the words in frequent lines, and kept."""
     text, host = F.coalesce("text", F.lit("")), F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     docs = docs.select("doc_id", F.col("source"), text.alias("text"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.xxhash64(host).alias("_host"), F.array_distinct(_line_keys(F.col("text"), host)).alias("_keys"))
+    keys = F.transform("_line_words", lambda w: _line_key(w, host))
+    keyed = with_line_words(docs, "text", "_line_words").select("doc_id", F.xxhash64("text").alias("_t"), F.xxhash64(host).alias("_host"), F.array_distinct(keys).alias("_keys"))
     lines = checkpointed(keyed.select("doc_id", "_t", "_host", F.explode("_keys").alias("_key")))
     hosts = keyed.groupBy("_host").agg(F.count("*").alias("_docs"))
     often = lines.groupBy("_key").agg(F.count("*").alias("_n"), F.first("_host").alias("_host")).where(F.col("_n") > min_docs)
@@ -82,16 +82,18 @@ def line_frequency_quality(docs: DataFrame, min_docs: int = 10, host_share: floa
     # the frequent keys of a document; repeated rows of it have the same ones
     struck = lines.join(often, "_key", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_s")).agg(F.collect_set("_key").alias("_often"))
 
-    counted = with_repeated_window_words(docs.withColumn("_words", words_of(F.col("text"))), "_words", "n_repeat_words")
+    cut = docs.withColumn("_cut", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    cut = cut.withColumn("_line_words", F.transform("_cut", words_of)).withColumn("_words", F.flatten("_line_words"))
+    counted = with_repeated_window_words(cut, "_words", "n_repeat_words")
     figures = counted.select(
         "doc_id",
         F.xxhash64("text").alias("_t"),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("text", _BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(_lines(F.col("text"))) - F.size(F.array_distinct(_lines(F.col("text"))))).cast("long").alias("n_dup_lines"),
+        (F.size("_cut") - F.size(F.array_distinct("_cut"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.arrays_zip(_line_keys(F.col("text"), host).alias("k"), F.transform(_lines(F.col("text")), lambda x: F.size(words_of(x))).alias("n")).alias("_lines"),
+        F.transform("_line_words", lambda w: F.struct(_line_key(w, host).alias("k"), F.size(w).alias("n"))).alias("_lines"),
     )
     joined = figures.join(struck, figures["doc_id"].eqNullSafe(struck["_d"]) & (figures["_t"] == struck["_s"]), "left")
     frequent = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains("_often", x["k"]), x["n"]).otherwise(0))
