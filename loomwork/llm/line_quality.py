@@ -1,8 +1,8 @@
 """Quality rules over documents and over the lines that a host repeats across documents, in DataFrame functions only.
 
 Base rules look at one text each. The cross-document rule hashes normalised lines (lower case, white space squeezed), counts
-for each host the documents that hold a line, and takes a line as boilerplate if more than `min_docs` documents of its host and
-more than `host_share` of them hold it. Such lines are removed, and a document that keeps less than `least_kept` of its words
+for each host the documents that hold a line, and takes a line as boilerplate if more than `min_docs` documents of its host hold
+it, however large the host is. Such lines are removed, and a document that keeps less than `least_kept` of its words
 is depleted and rejected.
 
 Each line counts once for a document before anything is shuffled, and counts are pre-aggregated, so a line that very many
@@ -69,16 +69,14 @@ def _line_key(words: Column, host: Column) -> Column:
     return F.xxhash64(host, F.lower(F.array_join(words, " ")))
 
 
-def line_frequency_quality(docs: DataFrame, min_docs: int = 10, host_share: float = 0.001, least_kept: float = 0.5) -> DataFrame:
+def line_frequency_quality(docs: DataFrame, min_docs: int = 10, least_kept: float = 0.5) -> DataFrame:
     """One row per document with the base figures, base_failed, the words in frequent lines, and kept."""
     text, host = F.coalesce("text", F.lit("")), F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
     docs = docs.select("doc_id", F.col("source"), text.alias("text"))
     keys = F.transform("_line_words", lambda w: _line_key(w, host))
-    keyed = with_line_words(docs, "text", "_line_words").select("doc_id", F.xxhash64("text").alias("_t"), F.xxhash64(host).alias("_host"), F.array_distinct(keys).alias("_keys"))
-    lines = checkpointed(keyed.select("doc_id", "_t", "_host", F.explode("_keys").alias("_key")))
-    hosts = keyed.groupBy("_host").agg(F.count("*").alias("_docs"))
-    often = lines.groupBy("_key").agg(F.count("*").alias("_n"), F.first("_host").alias("_host")).where(F.col("_n") > min_docs)
-    often = often.join(hosts, "_host").where(F.col("_n") > F.col("_docs") * host_share).select("_key")
+    keyed = with_line_words(docs, "text", "_line_words").select("doc_id", F.xxhash64("text").alias("_t"), F.array_distinct(keys).alias("_keys"))
+    lines = checkpointed(keyed.select("doc_id", "_t", F.explode("_keys").alias("_key")))
+    often = lines.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > min_docs).select("_key")
     # the frequent keys of a document; repeated rows of it have the same ones
     struck = lines.join(often, "_key", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_s")).agg(F.collect_set("_key").alias("_often"))
 
@@ -113,8 +111,7 @@ cov as (select r, count(distinct i + k) as n from rep, (select unnest([0, 1, 2])
 l0 as (select r, h, hn, unnest(string_split(t, chr(10))) as line from d),
 l as (select r, h, hn, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) as norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l0 where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup as (select r, count(*) - count(distinct line) as n from l group by r),
-hosts as (select h, hn, count(*) as docs from d group by h, hn),
-often as (select l.h, l.hn, l.norm from l join hosts using (h, hn) group by l.h, l.hn, l.norm, docs having count(distinct r) > 10 and count(distinct r) > docs * 0.001),
+often as (select h, hn, norm from l group by h, hn, norm having count(distinct r) > 10),
 freq as (select r, sum(n) as n from l semi join often using (h, hn, norm) group by r),
 f as (select d.r, doc_id, len(ws)::bigint as n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars,
   (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words, coalesce(freq.n, 0)::bigint as n_frequent_words
