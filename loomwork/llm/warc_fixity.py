@@ -132,15 +132,35 @@ def audit(records: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
     return changed.drop("p", "q", "paired", "place").unionByName(added.drop("place"))
 
 
-def with_planted_faults(records: DataFrame, every: int = 97, rest: int = 13) -> DataFrame:
-    """A replica in which the closing line ends of every so many records are swapped, which keeps all lengths."""
-    n = F.length("block")
-    return records.withColumn("block", F.when(F.col("page_id") % every == rest, F.concat(F.col("block").substr(F.lit(1), n - 4), F.lit("\n\r\n\r"))).otherwise(F.col("block")))
+def with_planted_faults(records: DataFrame, changed: tuple[int, int] = (97, 13), cut: tuple[int, int] = (101, 5), lost: tuple[int, int] = (89, 7), added: tuple[int, int] = (83, 3)) -> DataFrame:
+    """A replica with faults all over, each where page_id leaves the second number when divided by the first: closing line ends
+    swapped (which keeps all lengths), records cut after 40 characters, records lost, and further records added beside a page's own."""
 
+    def hit(rule: tuple[int, int]) -> Column:
+        return F.coalesce(F.col("page_id") % rule[0] == rule[1], F.lit(False))
 
+    block, n = F.col("block"), F.length("block")
+    swapped = F.concat(block.substr(F.lit(1), n - 4), F.lit("\n\r\n\r"))
+    kept = records.where(~hit(lost)).withColumn("block", F.when(hit(changed), swapped).when(hit(cut), block.substr(1, 40)).otherwise(block))
+    extra = records.where(hit(added)).withColumn("block", F.concat(F.lit("WARC/1.1 extra record of page "), F.col("page_id").cast("string")))
+    return kept.unionByName(extra)
+
+
+#: The same in DuckDB: both replicas are built, laid out and compared record by record.
 ORACLE_SQL = r"""
-with r as (select page_id, strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
-  || strlen(coalesce(html, ''))::varchar || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(coalesce(html, '')) + 4 as octets from pages),
-o as (select page_id, row_number() over w - 1 as ordinal, sum(octets) over w - octets as "offset", octets from r window w as (order by page_id rows between unbounded preceding and current row))
-select page_id, ordinal::bigint as ordinal, "offset"::bigint as "offset", octets::bigint as octets, 'changed' as status from o where page_id % 97 = 13
+with r as (select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+  || strlen(coalesce(html, ''))::varchar || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as block from pages),
+s as (select page_id, case when page_id % 97 = 13 then left(block, length(block) - 4) || chr(10) || chr(13) || chr(10) || chr(13) when page_id % 101 = 5 then left(block, 40) else block end as block
+  from r where coalesce(page_id % 89 <> 7, true) union all select page_id, 'WARC/1.1 extra record of page ' || page_id::varchar from r where page_id % 83 = 3),
+a as (select page_id, strlen(block) as octets, sha256(block) as digest, row_number() over w - 1 as ordinal, sum(strlen(block)) over w - strlen(block) as "offset" from r
+  window w as (order by page_id nulls first, sha256(block) rows between unbounded preceding and current row)),
+b as (select page_id, strlen(block) as octets, sha256(block) as digest, row_number() over w - 1 as ordinal, sum(strlen(block)) over w - strlen(block) as "offset" from s
+  window w as (order by page_id nulls first, sha256(block) rows between unbounded preceding and current row)),
+an as (select *, row_number() over (partition by page_id, digest order by ordinal) as copy from a),
+bn as (select *, row_number() over (partition by page_id, digest order by ordinal) as copy from b),
+gone as (select *, row_number() over (partition by page_id order by ordinal) as place from an anti join bn using (page_id, digest, copy)),
+come as (select *, row_number() over (partition by page_id order by ordinal) as place from bn anti join an using (page_id, digest, copy))
+select gone.page_id, gone.ordinal::bigint as ordinal, gone."offset"::bigint as "offset", gone.octets::bigint as octets, case when come.place is null then 'missing' else 'changed' end as status
+  from gone left join come on gone.page_id = come.page_id and gone.place = come.place
+union all select page_id, ordinal::bigint, "offset"::bigint, octets::bigint, 'added' from come anti join gone using (page_id, place)
 """
