@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -44,16 +45,17 @@ def sign_hash(vec: Column, bits: int = 64) -> Column:
 
 
 def bands(value: Column, distance: int, bits: int = 64) -> Column:
-    """distance + 1 slices of a hash: array<struct<band, part>>. Two hashes within the distance have at least one in common."""
-    n = distance + 1
-    out, at = [], 0
-    for i in range(n):
-        width = bits // n + (i < bits % n)
-        mask = (1 << width) - 1
-        part = F.shiftrightunsigned(value, at).bitwiseAND(F.lit(mask).cast("long")) if width < 64 else value
-        out.append(F.struct(F.lit(i).alias("band"), part.alias("part")))
-        at += width
-    return F.array(*out)
+    """What a hash holds in every choice of three (fewer for few bits) of distance + 3 slices: array<struct<band, part>>.
+
+    Hashes within the distance have at least three clean slices, so they agree in at least one choice. With 64 bits and a
+    distance of 5 there are 56 choices of 24 bits; the 6 single slices that would do as well have 10 or 11 bits, which a large
+    table fills.
+    """
+    n = max(min(distance + 3, bits), 1)
+    ends = [bits * i // n for i in range(n + 1)]
+    masks = [sum((1 << ends[i + 1]) - (1 << ends[i]) for i in chosen) for chosen in combinations(range(n), max(n - distance, 0))]
+    choices = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for i, m in enumerate(masks)])
+    return F.transform(choices, lambda c: F.struct(c["band"].alias("band"), value.bitwiseAND(c["mask"]).alias("part")))
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column: str = "hash", bits: int = 64) -> DataFrame:
@@ -86,19 +88,19 @@ def greedy_clusters(items: DataFrame, key: str, hashes: list[str], order: list[C
     representative, one with an earlier representative neighbour a duplicate. Items with equal hashes are one node.
     """
     ranked = items.select(key, *hashes, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k")).alias("_o"))
-    nodes = _checkpointed(ranked.groupBy(*hashes).agg(F.min("_o").alias("_o")).withColumn("node", F.col("_o")["k"]))
+    nodes = checkpointed(ranked.groupBy(*hashes).agg(F.min("_o").alias("_o")).withColumn("node", F.col("_o")["k"]))
     found = []
     for h in hashes:
         pairs = hamming_pairs(nodes, nodes, distance, h)
         a, b = nodes.select(F.col(h).alias("left_hash"), F.col("node").alias("late"), F.col("_o").alias("lo")), nodes.select(F.col(h).alias("right_hash"), F.col("node").alias("early"), F.col("_o").alias("eo"))
         found.append(pairs.join(a, "left_hash").join(b, "right_hash").where("eo < lo").select("late", "early", "eo"))
-    edges = _checkpointed(reduce(DataFrame.unionByName, found).distinct())
-    state = _checkpointed(nodes.select("node", F.lit(None).cast("boolean").alias("rep")))
+    edges = checkpointed(reduce(DataFrame.unionByName, found).distinct())
+    state = checkpointed(nodes.select("node", F.lit(None).cast("boolean").alias("rep")))
     for _ in range(rounds):
         near = edges.join(state.select(F.col("node").alias("early"), "rep"), "early").groupBy(F.col("late").alias("node"))
         facts = near.agg(F.bool_or(F.coalesce("rep", F.lit(False))).alias("by_rep"), F.bool_or(F.col("rep").isNull()).alias("open"))
         decided = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.coalesce("by_rep", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = _checkpointed(state.join(facts, "node", "left").select("node", decided.alias("rep")))
+        state = checkpointed(state.join(facts, "node", "left").select("node", decided.alias("rep")))
         if not state.where("rep is null").limit(1).count():
             break
     else:

@@ -9,15 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.dedup import checkpointed
+
 
 def draw(seed: str, *keys: str | Column) -> Column:
     """The random order of rows under a seed."""
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
 
 
-def ranked_by_draw(rows: DataFrame, by: list[str], seed: str, key: str, out: str = "rank", prefix: int = 3) -> DataFrame:
-    """`rows` with a random rank (from 1) inside each group, counted by hash prefix first, so a huge group is many tasks' work."""
-    rows = rows.withColumn("_draw", draw(seed, key)).withColumn("_part", F.substring("_draw", 1, prefix))
+def ranked_by_draw(rows: DataFrame, by: list[str], seed: str, key: str, out: str = "rank", prefix: int = 3, drawn: Column | None = None) -> DataFrame:
+    """`rows` with a random rank (from 1) inside each group, counted by hash prefix first, so a huge group is many tasks' work.
+
+    `drawn` is the hash to order by where it isn't that of seed and key.
+    """
+    rows = rows.withColumn("_draw", draw(seed, key) if drawn is None else drawn).withColumn("_part", F.substring("_draw", 1, prefix))
     parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -26,14 +31,28 @@ def ranked_by_draw(rows: DataFrame, by: list[str], seed: str, key: str, out: str
     return ranked.withColumn(out, F.col("_before") + F.col("_r")).drop("_draw", "_part", "_before", "_r")
 
 
+def ranked_in_order(rows: DataFrame, by: str, order: list[Column], out: str = "rank") -> DataFrame:
+    """`rows` with their rank (from 1) in an order inside each group: ranges of (group, order) are counted, then ranked inside, so no
+    task orders a whole group. Where a row's range is has to be stored, as a range partition's ends are drawn anew each time. Rows without a group are one of their own."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    ranges = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(by, *keys)
+    placed = checkpointed(ranges.withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(by, "_part").agg(F.count("*").alias("_n")).select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*keys)))
+    ranked = ranked.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return ranked.withColumn(out, F.col("_before") + F.col("_r")).drop("_part", "_p", "_by", "_before", "_r", *keys)
+
+
 def pick_per_group(rows: DataFrame, by: list[str], key: str, n: int | str, seed: str) -> DataFrame:
     """At most `n` rows (a number, or a column with each group's own) of each group, drawn without replacement.
 
-    With a number, Spark keeps only the best of each group before it shuffles.
+    With a number, Spark keeps only the best of each group before it shuffles; with a column ranks are counted in two steps.
     """
+    if isinstance(n, str):
+        return ranked_by_draw(rows, by, seed, key, "_rank").where(F.col("_rank") <= F.col(n)).drop("_rank")
     order = Window.partitionBy(*by).orderBy(draw(seed, key), key)
-    most = F.col(n) if isinstance(n, str) else F.lit(n)
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def distinct_paths(rows: DataFrame, path: str = "path", fold_case: bool = True) -> DataFrame:
@@ -65,8 +84,8 @@ def cross_quotas(sizes: DataFrame, divisor: int = 1) -> DataFrame:
 def cross_negatives(items: DataFrame, quotas: DataFrame, key: str, seed: str = "cross") -> DataFrame:
     """(target, source, key): for each pair as many different items of the source as its quota says (all, if it has fewer)."""
     offered = items.select(F.col("cls").alias("source"), key).join(F.broadcast(quotas), "source")
-    order = Window.partitionBy("target", "source").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("target").cast("string"), F.col(key).cast("string"))), key)
-    return offered.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("quota")).select("target", "source", key)
+    ranked = ranked_by_draw(offered, ["target", "source"], seed, key, "_r", drawn=draw(seed, "target", key))
+    return ranked.where(F.col("_r") <= F.col("quota")).select("target", "source", key)
 
 
 def top_up(items: DataFrame, quotas: DataFrame, sizes: DataFrame, key: str, seed: str = "topup") -> DataFrame:
@@ -101,8 +120,7 @@ def balanced_subset(pool: DataFrame, by: list[str], key: str, total: int, seed:
     if (sizes.agg(F.sum("_n")).first()[0] or 0) <= total:
         return pool
     quotas = even_quotas(sizes.select(*by), F.lit(total), draw(seed, *by), "_quota")
-    order = Window.partitionBy(*by).orderBy(draw(seed, key), key)
-    return pool.join(F.broadcast(quotas), by).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_quota")).drop("_quota", "_r")
+    return pick_per_group(pool.join(F.broadcast(quotas), by), by, key, "_quota", seed).drop("_quota")
 
 
 def ratio_counts(total: int, ratios: tuple[float, ...] = (0.4, 0.4, 0.2)) -> list[int]:
@@ -130,6 +148,6 @@ def conversation(identity: Column, image: Column, question: Column, answer: Colu
 
 def sequential_names(files: DataFrame, folder: str, name: str, ending: Column, order: Column, start: str | None = None) -> DataFrame:
     """`files` with `new_name`: folder + number + ending; numbers follow the order, from 1 or after the column `start`."""
-    ranked = files.withColumn("_i", F.row_number().over(Window.partitionBy(folder).orderBy(order, name)))
+    ranked = ranked_in_order(files, folder, [order, F.col(name)], "_i")
     number = F.col("_i") + (F.col(start) if start else F.lit(0))
     return ranked.withColumn("new_name", F.concat(F.col(folder), number.cast("string"), F.lit("."), ending)).drop("_i")

@@ -54,8 +54,9 @@ def perceptual_hashes(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _hashed(spark, sf_dir):
+    """Stored, as both sides of a join are made of them."""
     rows = files(spark, sf_dir)
-    return rows.drop("content").join(perceptual_hashes(rows, "doc_id", "content"), "doc_id")
+    return dedup.checkpointed(rows.drop("content").join(perceptual_hashes(rows, "doc_id", "content"), "doc_id"))
 
 
 def perceptual_hash(spark, sf_dir):

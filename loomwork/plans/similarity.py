@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.vectors import micro
-from loomwork.operators import ensemble, metrics, prototypes, scoring, sweep
+from loomwork.operators import dedup, ensemble, metrics, prototypes, scoring, sweep
 from loomwork.plans.tables import SHOTS, TARGETS, figures_sql, micro_sql, scores_sql, table, targets, vectors
 
 K = (1, 3, 5)
@@ -197,9 +197,12 @@ def cache_logits(spark, sf_dir):
 def grid_search(spark, sf_dir):
     """The best beta and alpha by the mean of the target classes' best F1 over their overlap; affinities are computed once."""
     grid = sweep.hyper_grid(spark, GRID_SCALE, GRID_STEPS)
-    rows = _with_cache(spark, sf_dir).crossJoin(F.broadcast(grid))
+    # cache logits depend on beta alone; they are stored for the target classes, and every alpha is a sum over them
+    rows = _with_cache(spark, sf_dir).withColumn("scores", F.filter("scores", lambda s: s["cls"] < TARGETS))
+    rows = rows.crossJoin(F.broadcast(grid.select("bi", "beta").distinct()))
     rows = rows.withColumn("cached", scoring.cache_logits(F.transform("scores", lambda s: s["cls"]), F.col("beta")))
-    logits = rows.select("bi", "ai", "label", F.inline(scoring.combined_logits(F.col("alpha"), F.col("cached")))).where(F.col("cls") < TARGETS)
+    rows = dedup.checkpointed(rows.select("bi", "label", "scores", "cached")).crossJoin(F.broadcast(grid.select("ai", "alpha").distinct()))
+    logits = rows.select("bi", "ai", "label", F.inline(scoring.combined_logits(F.col("alpha"), F.col("cached"))))
     by = ["bi", "ai", "cls"]
     groups = grid.select("bi", "ai").crossJoin(F.broadcast(targets(spark)))
     best = sweep.best_or_zero(sweep.overlap_sweep(logits, by, _positive()), by, groups)
