@@ -47,8 +47,8 @@ PATTERNS = [
     ("access", "".join(map(_also_in_span, "AKIA")) + _also_in_span("A-Z0-9") + "{16,}", 0, 20),
     ("hex", _also_in_span("0-9a-f") + "{24,}", 0, 24),
 ]
-#: A cheap test for texts that can match a pattern at all.
-_MAY_MATCH = {"assign": r"(?i)passw|secret|token|api_?key"}
+#: A cheap test for texts that can match a pattern at all; it looks at the text before anything is shifted.
+_MAY_MATCH = {"assign": r"(?i)passw|secret|token|api_?key", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Stretches that are cleared wherever they stand: one repeated character, placeholders.
 STRETCHES = r"([A-Za-z0-9+/_=-])\1{7,}|(?i:example|placeholder|changeme)"
@@ -145,10 +145,10 @@ def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `secrets`: array<struct<s:int, o:int, e:int, k:string>>, all spans by start, then kind as listed (entropy last);
     and `_text`: the scanned text with the characters of spans and stretches shifted."""
     t = F.coalesce(text, F.lit(""))
-    docs = docs.withColumn("_text", F.when(t.rlike(_PRIVATE), F.regexp_replace(t, _PRIVATE, _NEUTRAL)).otherwise(t))
+    docs = docs.withColumn("_plain", F.when(t.rlike(_PRIVATE), F.regexp_replace(t, _PRIVATE, _NEUTRAL)).otherwise(t)).withColumn("_text", F.col("_plain"))
     parts = []
     for order, (kind, pattern, group, least) in enumerate(PATTERNS):
-        docs = _with_matches(docs, pattern, group, F.col("_text").rlike(_MAY_MATCH[kind]) if kind in _MAY_MATCH else None)
+        docs = _with_matches(docs, pattern, group, F.col("_plain").rlike(_MAY_MATCH[kind]))
 
         def long(x: Column, least: int = least) -> Column:
             return F.length(x["g"]) >= least
@@ -157,7 +157,7 @@ def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         new = F.transform("_hits", lambda x: F.when(long(x), _in_range(x["m"], _SPAN)).otherwise(x["m"]))
         docs = docs.withColumn(f"_{kind}", _spans(kept, order, kind)).withColumn("_text", _rejoined(new))
         parts.append(f"_{kind}")
-    docs = _with_matches(docs, STRETCHES, may=F.col("_text").rlike(CANDIDATE))
+    docs = _with_matches(docs, STRETCHES, may=F.col("_plain").rlike(CANDIDATE))
     docs = docs.withColumn("_text", _rejoined(F.transform("_hits", lambda x: _in_range(x["m"], _ALLOWED))))
 
     docs = _with_matches(docs, CANDIDATE)
@@ -188,7 +188,7 @@ def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumn("_entropy", _spans(F.transform("_hits", found), len(PATTERNS), "entropy"))
     docs = docs.withColumn("_text", _rejoined(F.transform("_hits", marked)))
     docs = docs.withColumn("secrets", F.sort_array(F.concat(*parts, "_entropy")))
-    return docs.drop("_gaps", "_hits", "_entropy", *parts)
+    return docs.drop("_plain", "_gaps", "_hits", "_entropy", *parts)
 
 
 def _listed(spans: Column) -> Column:
