@@ -78,3 +78,22 @@ def asked_after(text: Column, phrase: str = "contain a ") -> Column:
 
 def pass_mark(score: Column, threshold: Column) -> Column:
     return F.when(score.isNotNull() & (score >= threshold), "yes").otherwise("no")
+
+
+def easy_negative(path: Column, mark: str = "ez_negative") -> Column:
+    """Whether a path bears the mark of an easy negative."""
+    return path.contains(mark)
+
+
+def relabelled(label: Column, targets: list[str], rest: str = "others") -> Column:
+    """Labels as they are spelled in questions; those that aren't targets are all `rest`."""
+    known = normal_label(label)
+    return F.when(known.isin(*targets), known).otherwise(F.lit(rest))
+
+
+def class_question(label: Column, templates: dict[str, str]) -> Column:
+    """Each class's own question; a class without one is an error, no label has none."""
+    out = F.when(label.isNull(), F.lit(None).cast("string"))
+    for name, text in templates.items():
+        out = out.when(label == name, F.lit(text))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no question for class "), label)).cast("string"))

@@ -59,3 +59,9 @@ def cascade(rows: DataFrame, key: str, cheap: Column, verdict: Callable[[DataFra
     judged = verdict(marked.where("first")).select(F.col(key).alias("_k"), "yes")
     final = F.col("first") & F.coalesce("yes", F.lit(False))
     return marked.join(judged, F.col(key) == F.col("_k"), "left").withColumn("final", final).drop("_k", "yes")
+
+
+def cascade_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seen, first, confirmed, demoted) of a cascade's rows: how many passed the cheap test, and what the costly one made of them."""
+    counts = {"seen": F.count("*"), "first": F.count_if("first"), "confirmed": F.count_if("final"), "demoted": F.count_if(F.col("first") & ~F.col("final"))}
+    return rows.groupBy(*by).agg(*[c.alias(name) for name, c in counts.items()])

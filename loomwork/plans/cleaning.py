@@ -10,11 +10,15 @@ from loomwork.operators import dedup, sampling
 from loomwork.operators.contamination import contained
 from loomwork.plans.tables import ENDINGS, FILES_SQL, files, table
 from loomwork.sources.images import class_index as index_of
+from loomwork.sources.images import first_listed as listed_of
+from loomwork.sources.images import paired_folders as pairs_of
+from loomwork.sources.images import unmapped_folders as unmapped_of
 from loomwork.sources.sinks import rename_manifest as manifest
 
 #: The beginning of the names of the files (by source) that all others are compared with.
 REFERENCE = "src1"
 DISTANCE = 5
+FOLDER_MAP = [("en", "src1"), ("fr", "src2"), ("de", "nowhere"), ("xx", "src3")]
 #: Each hash compares the counts of words in 64 pairs of buckets; the buckets come from two hexadecimal digits of the words' md5.
 HASHES = {"phash": 1, "dhash": 3, "whash": 5}
 
@@ -105,6 +109,35 @@ def class_index(spark, sf_dir):
     return index_of(table(spark, sf_dir, "documents"), "source")
 
 
+def _folder_map(spark):
+    """Folders and the folders that they go to; some of either side don't exist."""
+    return spark.createDataFrame(FOLDER_MAP, "folder string, target string")
+
+
+def paired_folders(spark, sf_dir):
+    """The pairs of the folder map whose both sides have files: languages on the left, sources on the right."""
+    return pairs_of(_folder_map(spark), files(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("source").alias("label")))
+
+
+def unmapped_folders(spark, sf_dir):
+    return unmapped_of(files(spark, sf_dir), _folder_map(spark))
+
+
+def first_listed(spark, sf_dir):
+    """Every file with the first class in whose list it stands: long files are listed under "long", those of some folders under the folder too."""
+    rows = files(spark, sf_dir)
+    long = rows.where(F.col("size") >= 2000).select(F.lit(0).alias("turn"), F.lit("long").alias("category"), F.col("path").alias("listed"))
+    own = rows.where(F.col("label").isin("en", "fr")).select(F.lit(1).alias("turn"), F.col("label").alias("category"), F.col("path").alias("listed"))
+    return listed_of(rows.select("path", paths.easy_negative(F.col("path"), "_1").alias("easy")), long.unionByName(own))
+
+
+def relabelled(spark, sf_dir):
+    """Files by the labels that count, all others together, with the question of each."""
+    label = paths.relabelled(F.col("label"), ["en", "de"])
+    question = paths.class_question(F.col("label"), {"en": "Is it English?", "de": "Is it German?", "others": "Is it anything else?"})
+    return files(spark, sf_dir).select(label.alias("label")).groupBy("label").agg(F.count("*").alias("files")).withColumn("question", question)
+
+
 def url_files(spark, sf_dir):
     """Base name, ending and folder of the pages' addresses, and whether they look like pages."""
     bare = F.regexp_replace("url", r"[?#].*$", "")
@@ -116,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dup_delete, exact_dup_keep, perceptual_hash, hamming_semi_join, greedy_near_dup, contamination, ext_filter_manifest, rename_manifest,
-        merge_rename, class_index, url_files,
+        merge_rename, class_index, paired_folders, unmapped_folders, first_listed, relabelled, url_files,
     )
 }
 
@@ -146,6 +179,11 @@ select *, count(*) over (partition by new_path) > 1 as collides from m""",
 select *, count(*) over (partition by new_path) > 1 as collides from m""",
     "merge_rename": f"""with {FILES_SQL}, l as (select label, max(regexp_extract(name, '^src([0-9]+)_', 1)::int) as last from f group by label)
 select path, label || (row_number() over (partition by label order by name) + last) || '.jpg' as new_name from f join l using (label)""",
+    "paired_folders": f"""with {FILES_SQL} select * from (values {", ".join(map(str, FOLDER_MAP))}) m(folder, target) where folder in (select label from f) and target in (select source from documents)""",
+    "unmapped_folders": f"with {FILES_SQL} select label, count(*) as files from f where label not in ({', '.join(repr(a) for a, _ in FOLDER_MAP)}) group by label",
+    "first_listed": f"""with {FILES_SQL} select path, contains(path, '_1') as easy, case when size >= 2000 then 'long' when label in ('en', 'fr') then label end as category from f""",
+    "relabelled": f"""with {FILES_SQL}, r as (select case when label in ('en', 'de') then label else 'others' end as label from f)
+select label, count(*) as files, case label when 'en' then 'Is it English?' when 'de' then 'Is it German?' else 'Is it anything else?' end as question from r group by label""",
     "class_index": "select source, (row_number() over (order by source) - 1)::int as idx from (select distinct source from documents where source is not null)",
     "url_files": r"""with p as (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages), e as (select *, regexp_extract(p, '([^/]*)$', 1) as name from p)
 select page_id, name, lower(regexp_extract(name, '\.([^.]+)$', 1)) as ending, regexp_extract(p, '([^/]+)/[^/]+$', 1) as folder, lower(regexp_extract(name, '\.([^.]+)$', 1)) in ('html', 'htm') as is_page from e""",

@@ -164,6 +164,11 @@ def cascade_filter(spark, sf_dir):
     return ensemble.cascade(docs, "doc_id", F.col("n_chars") >= 500, verdict).select("doc_id", "first", "final")
 
 
+def cascade_counts(spark, sf_dir):
+    """The cascade's counts over all documents, in one row."""
+    return ensemble.cascade_counts(cascade_filter(spark, sf_dir), [])
+
+
 def fewshot_sample(spark, sf_dir):
     return prototypes.few_shot(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", SHOTS)
 
@@ -224,7 +229,7 @@ QUERIES = {
     for f in (
         cosine_scores, zero_shot_argmax, softmax_probs, topk_accuracy, ovr_confusion, confusion_matrix, macro_f1_eps, classification_report,
         binary_confusion, threshold_curve, threshold_sweep_best, threshold_summary, linspace_sweep_best, overlap_sweep_best, union_ensemble_metrics,
-        union_sample_counts, union_export, or_predictions, cascade_filter, fewshot_sample, prototype_centroid, image_text_mean, outlier_trim,
+        union_sample_counts, union_export, or_predictions, cascade_filter, cascade_counts, fewshot_sample, prototype_centroid, image_text_mean, outlier_trim,
         cache_logits, grid_search, kmeans_prototype, silhouette,
     )
 }
@@ -314,6 +319,9 @@ select cls, {", ".join(f"{micro_sql(c)} as {c}" for c in ("threshold", "f1", "pr
     "or_predictions": f"with {_pairs_sql('en')}, {_pairs_sql('cn')} select vec_id, a.label, cls, case when a.sim >= 0.5 or b.sim >= 0.5 then 0 else 1 end::int as pred from q_en a join q_cn b using (vec_id, cls)",
     "cascade_filter": """with l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id)
 select doc_id, n_chars >= 500 as "first", n_chars >= 500 and coalesce(q = 1 and t = 0, false) as "final" from documents left join l using (doc_id)""",
+    "cascade_counts": """with l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id),
+c as (select n_chars >= 500 as a, n_chars >= 500 and coalesce(q = 1 and t = 0, false) as b from documents left join l using (doc_id))
+select count(*) as seen, count(*) filter (where a) as "first", count(*) filter (where b) as confirmed, count(*) filter (where a and not b) as demoted from c""",
     "fewshot_sample": f"select vec_id, label from (select *, row_number() over (partition by label order by md5('shots:' || vec_id), vec_id) as k from embeddings) where k <= {SHOTS}",
     "prototype_centroid": f"with {_S} select cls, (j - 1)::int as i, {micro_sql('pv[j]')} as x_micro from p_all, range(1, 65) t(j)",
     "image_text_mean": f"""with {scores_sql("en")}, {scores_sql("cn")}, h as (select a.label as cls, list_transform(list_zip(a.v, b.v), lambda q: (q[1] + q[2]) / 2) as v from i_en a join i_cn b using (vec_id))

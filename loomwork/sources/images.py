@@ -57,6 +57,32 @@ def mapped(files: DataFrame, class_map: DataFrame, allow_empty: bool = False) ->
     return found
 
 
+def split_files(spark: SparkSession, dataset: str, split: str, **options) -> DataFrame:
+    """The image files of a dataset's split, from its images/train or images/val; "test" is "val"."""
+    folders = {"train": "train", "val": "val", "test": "val"}
+    if split not in folders:
+        raise ValueError(f"unknown split {split}; there are {sorted(folders)}")
+    return image_files(spark, f"{dataset.rstrip('/')}/images/{folders[split]}", **options)
+
+
+def paired_folders(class_map: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(folder, target) of the map whose folder has files on the left and whose target has files on the right; other pairs are skipped."""
+    pairs = class_map.select("folder", "target").distinct()
+    pairs = pairs.join(left.select(F.col("label").alias("folder")).distinct(), "folder", "left_semi")
+    return pairs.join(right.select(F.col("label").alias("target")).distinct(), "target", "left_semi").select("folder", "target")
+
+
+def unmapped_folders(files: DataFrame, class_map: DataFrame) -> DataFrame:
+    """(label, files): the folders that the map doesn't know, with their number of files."""
+    return files.join(F.broadcast(class_map.select(F.col("folder").alias("label")).distinct()), "label", "left_anti").groupBy("label").agg(F.count("*").alias("files"))
+
+
+def first_listed(files: DataFrame, lists: DataFrame, path: str = "path") -> DataFrame:
+    """`files` with `category`: the first class (by its place `turn`) in whose list the path stands; null if it is in none. lists: (turn, category, listed)."""
+    first = lists.groupBy(F.col("listed").alias("_l")).agg(F.min_by("category", "turn").alias("category"))
+    return files.join(first, F.col(path) == F.col("_l"), "left").drop("_l")
+
+
 def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The table at `path`; if there is none, it is computed and written first."""
     if not _exists(spark, path):

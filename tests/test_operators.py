@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import paths, vectors
 from loomwork.operators import adapter, balance, bounded, dedup, ensemble, metrics, prototypes, sampling, scoring, sweep
+from loomwork.sources import images
 
 
 def test_argmax_and_topk_ties_go_to_the_lower_class(spark):
@@ -136,3 +137,23 @@ def test_adapter_lowers_its_loss(spark):
 def test_large_tables_are_not_taken_as_small(spark):
     with pytest.raises(ValueError):
         bounded.bounded(spark.range(11), 10)
+
+
+def test_split_files_read_train_and_val(spark, tmp_path):
+    for name in ("images/train/cat/a.jpg", "images/train/cat/b.PNG", "images/train/dog/c.jpeg", "images/train/dog/notes.txt", "images/val/cat/d.jpg"):
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"x" * len(name))
+    found = {split: sorted((r["label"], r["path"].rsplit("/", 1)[1]) for r in images.split_files(spark, str(tmp_path), split).collect()) for split in ("train", "val", "test")}
+    assert found["train"] == [("cat", "a.jpg"), ("cat", "b.PNG"), ("dog", "c.jpeg")] and found["val"] == found["test"] == [("cat", "d.jpg")]
+    assert images.split_files(spark, str(tmp_path / "none"), "train").count() == 0
+    with pytest.raises(ValueError):
+        images.split_files(spark, str(tmp_path), "other")
+
+
+def test_class_questions_of_unknown_classes_are_errors(spark):
+    rows = spark.createDataFrame([("a",), (None,), ("b",)], "label string")
+    asked = paths.class_question(F.col("label"), {"a": "Is it A?", "b": "Is it B?"})
+    assert [r[0] for r in rows.select(asked).collect()] == ["Is it A?", None, "Is it B?"]
+    with pytest.raises(Exception, match="no question for class c"):
+        spark.createDataFrame([("c",)], "label string").select(asked).collect()
