@@ -191,13 +191,18 @@ def with_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.drop("_plain", "_gaps", "_hits", "_entropy", *parts)
 
 
+def _settled(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column as a generator's output: a later filter on it isn't pushed down, where it would repeat all that the column stands for."""
+    return docs.withColumn("_settled", F.explode(F.array(name))).withColumn(name, F.col("_settled")).drop("_settled")
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the fixed kinds, the digest of their spans, and all spans as text."""
-    found = with_secrets(docs.select("doc_id", "text"))
+    found = _settled(with_secrets(docs.select("doc_id", "text")), "secrets")
 
     def number(kind: str) -> Column:
         return F.size(F.filter("secrets", lambda x: x["k"] == kind)).cast("long").alias(f"n_{kind}")
@@ -218,4 +223,5 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         return F.translate(F.regexp_replace(part, f"[{_shifted(_SPAN)[0]}-{_shifted(_SPAN)[-1]}]+", mask.replace("\\", "\\\\").replace("$", "\\$")), _shifted(_ALLOWED), _ASCII)
 
     parts = F.zip_with(F.split("_text", _NEUTRAL), "_own", lambda part, x: F.concat(masked(part), F.coalesce(x, F.lit(""))))
-    return restore(found.withColumn(text, F.when(F.size("secrets") > 0, F.array_join(parts, "")).otherwise(t)))
+    found = found.withColumn(text, F.when(F.size("secrets") > 0, F.array_join(parts, "")).otherwise(t))
+    return restore(_settled(found, text))
