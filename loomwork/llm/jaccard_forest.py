@@ -4,9 +4,10 @@ Texts become sets of five-word shingles (a text of one to four words has one shi
 content, with a number of copies. A forest has `trees` prefix tries over MinHash signatures of `longest` values each. Two
 sets of similarity s share a prefix of length k in one tree with probability s**k, so matched prefixes are shortened from
 `longest` until 1 - (1 - threshold**k)**trees reaches the target recall (0.9999: k = 6 of 8 with 32 trees); nodes of shorter
-prefixes contain those of longer ones, so only the nodes of the last length have to be formed. A node links its contents to
-its smallest one, which takes as many rows as it has contents, whatever its size. Linked contents form a block, and all
-pairs of a block are compared exactly: in one task if it is small, else in pairs of chunks of bounded size, where products of
+prefixes contain those of longer ones, so only the nodes of the last length have to be formed. Contents
+of a node are linked if enough of all their MinHash values agree, so that a chain of texts that are alike to about a half doesn't
+become one block. A node's contents are held against its smallest one first, which takes as many rows as it has contents,
+whatever its size; only what is left is compared further. Linked contents form a block, and all pairs of a block are compared exactly: in one task if it is small, else in pairs of chunks of bounded size, where products of
 0/1 matrices count common shingles. Only sums and spanning links leave a task, never the pairs.
 
 Defined cases: a null text counts as empty; a text without words is similar to nothing, not even to its copies, and is a class of
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -55,34 +57,111 @@ def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _forest_keys(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(doc_id, h1, h2, words, keys): the node of every tree that a text belongs to; none for a text without words."""
+    """(doc_id, h1, h2, words, keys, signature): the node of every tree that a text belongs to (none for a text without words), and one byte of every MinHash value."""
     draw = np.random.default_rng(7)
     factors = draw.integers(1, 1 << 62, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = draw.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, sizes, values = [], [np.zeros(1, np.int64)], []
+            words, sizes, values, signatures = [], [np.zeros(1, np.int64)], [], []
             for _, _, data, offsets in text_chunks(column_of(batch, "text")):
                 shingles, first, counts = _shingles(data, offsets)
                 rows = np.flatnonzero(np.diff(first))
                 node = np.zeros((len(rows), trees), np.uint64)
+                signature = np.zeros((len(counts), trees * depth), np.uint8)
                 work = np.empty_like(shingles)
                 for i, (factor, shift) in enumerate(zip(factors, shifts, strict=True)):
                     if len(rows):
                         np.multiply(shingles, factor, out=work)
                         np.add(work, shift, out=work)
                         low = np.minimum.reduceat(work, first[rows])
+                        signature[rows, i] = mix(low.copy()).astype(np.uint8)
                         node[:, i // depth] = mix(node[:, i // depth] * np.uint64(31) + low + np.uint64(i // depth))
                 words.append(counts)
                 sizes.append(np.where(np.diff(first) > 0, trees, 0))
                 values.append(node.ravel())
+                signatures += [x.tobytes() for x in signature]
             if words:
                 ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("doc_id", "h1", "h2")), pa.array(np.concatenate(words)), lists], ["doc_id", "h1", "h2", "words", "keys"])
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("doc_id", "h1", "h2")), pa.array(np.concatenate(words)), lists, pa.array(signatures, pa.binary())], ["doc_id", "h1", "h2", "words", "keys", "signature"])
 
-    return docs.mapInArrow(keys, "doc_id long, h1 long, h2 long, words long, keys array<long>")
+    return docs.mapInArrow(keys, "doc_id long, h1 long, h2 long, words long, keys array<long>, signature binary")
+
+
+def least_agreement(values: int, threshold: float) -> int:
+    """So many of `values` MinHash values of a pair at the threshold agree, but for one pair in some millions (five standard deviations)."""
+    return floor(values * threshold - 5 * sqrt(values * threshold * (1 - threshold)))
+
+
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def _least_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For rows 0 to n-1 the least row that each can reach by links between `left` and `right`."""
+    label = np.arange(n)
+    while True:
+        low_left = np.minimum(label[left], np.where(linked, label[right][None], n).min(1, initial=n))
+        low_right = np.minimum(label[right], np.where(linked, low_left[:, None], n).min(0, initial=n))
+        new = label.copy()
+        np.minimum.at(new, left, low_left)
+        np.minimum.at(new, right, low_right)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _agreeing(least: int):
+    """Spanning links (a, b) of the signatures that agree between two chunks of a node."""
+
+    def links(table: pa.Table) -> pa.Table:
+        cid, chunk = table["cid"].to_numpy(), table["chunk"].to_numpy()
+        signature = _signatures(table["signature"])
+        left, right = np.flatnonzero(chunk == table["p"][0].as_py()), np.flatnonzero(chunk == table["q"][0].as_py())
+        other = signature[right]
+        linked = np.zeros((len(left), len(right)), bool)
+        for i, x in enumerate(left):
+            linked[i] = (other == signature[x]).sum(1) >= least
+        label = _least_labels(linked, left, right, len(cid))
+        some = label != np.arange(len(cid))
+        return pa.table({"a": cid[some], "b": cid[label[some]]})
+
+    return links
+
+
+def _likely_links(contents: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b) that span the contents which share a node and whose signatures agree in `least` values.
+
+    Each content of a node is held against the node's smallest one. Those that agree are linked, here or through others, so only
+    nodes that still hold several components are looked at further: their other contents are held against all of the node,
+    in pairs of chunks. Neither a pair within the smallest one's component nor an unlikely pair leads to an edge.
+    """
+    signatures = contents.select("cid", "signature")
+    nodes = contents.select("cid", F.explode("keys").alias("key"))
+    stars = nodes.groupBy("key").agg(F.min("cid").alias("b"), F.count("*").alias("n")).where("n > 1")
+    pairs = nodes.join(stars, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    pairs = pairs.join(signatures.toDF("a", "s"), "a").join(signatures.toDF("b", "t"), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_signatures(column_of(batch, "s")) == _signatures(column_of(batch, "t"))).sum(1) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(same))
+
+    first = checkpointed(linked_components(pairs.mapInArrow(near, "a long, b long")).select(F.col("node").alias("cid"), F.col("component").alias("c")))
+    placed = nodes.join(stars.where("n > 2").select("key", "b"), "key").join(first, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+    placed = placed.join(first.toDF("b", "d"), "b", "left").withColumn("rest", (F.col("c") != F.coalesce("d", "b")).cast("int")).select("key", "cid", "rest")
+    sizes = placed.groupBy("key").agg(F.sum("rest").alias("r"), F.count("*").alias("n")).where("r > 1 or (r = 1 and n > 2)")
+    sizes = sizes.select("key", F.ceil((F.col("n") - F.col("r")) / CHUNK_CONTENTS).cast("int").alias("before"), F.ceil(F.col("r") / CHUNK_CONTENTS).cast("int").alias("after"))
+    near_chunk, rest_chunk = F.pmod(F.xxhash64("cid"), F.col("before")).cast("int"), F.pmod(F.xxhash64("cid"), F.col("after")).cast("int") + F.col("before")
+    placed = placed.join(sizes, "key").withColumn("chunk", F.when(F.col("rest") == 1, rest_chunk).otherwise(near_chunk)).join(signatures, "cid")
+    partners = F.sequence(F.when(F.col("rest") == 1, F.lit(0)).otherwise(F.col("before")), F.col("before") + F.col("after") - 1)
+    met = placed.withColumn("o", F.explode(partners)).select("key", F.least("o", "chunk").alias("p"), F.greatest("o", "chunk").alias("q"), "cid", "chunk", "signature")
+    more = met.groupBy("key", "p", "q").applyInArrow(_agreeing(least), "a long, b long")
+    return first.select(F.col("cid").alias("a"), F.col("c").alias("b")).unionByName(more.distinct())
 
 
 def _verify(threshold: Fraction):
@@ -122,17 +201,7 @@ def _verify(threshold: Fraction):
         if p != q:
             total[right] += linked.T @ copies[left]
         # spanning links: every content takes the least label that it can reach here
-        label = np.arange(len(cid))
-        none = len(cid)
-        while True:
-            low_left = np.minimum(label[left], np.where(linked, label[right][None], none).min(1))
-            low_right = np.minimum(label[right], np.where(linked, low_left[:, None], none).min(0))
-            new = label.copy()
-            new[left] = np.minimum(new[left], low_left)
-            new[right] = np.minimum(new[right], low_right)
-            if (new == label).all():
-                break
-            label = new
+        label = _least_labels(linked, left, right, len(cid))
         some = total > 0
         return pa.table({"cid": cid[some], "root": cid[label[some]], "links": total[some]})
 
@@ -149,14 +218,13 @@ def _placed(docs: DataFrame, threshold: float, trees: int = 32, longest: int = 8
     text = F.coalesce("text", F.lit(""))
     h1, h2 = _content(F.col("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
-    ids = checkpointed(_forest_keys(docs, trees, forest_depth(trees, longest, threshold, recall)))
-    contents = ids.where("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+    depth = forest_depth(trees, longest, threshold, recall)
+    ids = checkpointed(_forest_keys(docs, trees, depth))
+    contents = ids.where("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
     # the checkpoint's files fix the order of rows, so this number names a content for good
     contents = checkpointed(contents).withColumn("cid", F.monotonically_increasing_id())
 
-    nodes = contents.select("cid", F.explode("keys").alias("key"))
-    stars = nodes.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("m")).where("b <> m").select("key", "b")
-    edges = nodes.join(stars, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    edges = _likely_links(contents, least_agreement(trees * depth, threshold))
     blocks = checkpointed(linked_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("block")))
 
     members = contents.select("cid", "h1", "h2", "rep", "copies", "words").join(blocks, "cid")

@@ -81,6 +81,22 @@ def test_jaccard_in_many_chunks(odd, texts, monkeypatch):
     assert rows_of(jaccard_forest.jaccard_classes(odd), "doc_id", "class_id", "n_links") == brute_classes(texts)
 
 
+def test_a_chain_of_half_alike_texts_forms_no_block(spark, monkeypatch):
+    """Each text is alike to 0.5 to 19 others (80 of 160 shingles); among them are three pairs of near copies."""
+    draw = np.random.default_rng(5)
+    common = [[f"c{i}_{j}" for j in range(84)] for i in range(10)]
+    rows = [(20 * i + k, " ".join(common[i] + [f"o{i}_{k}_{j}" for j in range(40)])) for i in range(10) for k in range(20)]
+    rows += [(1000 + i, rows[i][1].replace(rows[i][1].split()[int(draw.integers(95, 115))], "changed")) for i in (3, 77, 150)]
+    monkeypatch.setattr(jaccard_forest, "CHUNK_CONTENTS", 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard_forest.jaccard_classes(df), "doc_id", "class_id", "n_links") == brute_classes(rows)
+    contents = jaccard_forest._forest_keys(df.selectExpr("doc_id", "1L as h1", "2L as h2", "text"), 32, 6).selectExpr("doc_id as cid", "keys", "signature")
+    keys = contents.selectExpr("cid", "explode(keys) as key")
+    met = keys.alias("x").join(keys.alias("y"), "key").where("x.cid < y.cid").selectExpr("x.cid as a", "y.cid as b").distinct().count()
+    linked = {(min(e), max(e)) for e in jaccard_forest._likely_links(contents, jaccard_forest.least_agreement(192, 0.8)).collect() if e[0] != e[1]}
+    assert met > 500 and {(3, 1003), (77, 1077), (150, 1150)} <= linked and len(linked) < 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (101, 102), (103, 102), (None, 5)] + [(200, 201 + i) for i in range(50)]
     got = dict(linked_components(spark.createDataFrame(edges, "a long, b long")).collect())
