@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import jaccard_forest, line_quality, packing, pieces, prefix_trees, secret_scan, suffix_arrays, toxicity, voronoi, warc_fixity
+from loomwork.llm import jaccard_forest, line_quality, packing, periodic_runs, pieces, prefix_trees, secret_scan, suffix_arrays, toxicity, voronoi, warc_fixity
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,6 +63,10 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.voronoi_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_suffix_tree_dedup": op8_prefix_suffix_tree_dedup,
     "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
     "op10_voronoi_topk": op10_voronoi_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
