@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import jaccard_forest, line_quality, packing, periodic_runs, pieces, prefix_trees, secret_scan, suffix_arrays, toxicity, voronoi, warc_fixity
+from loomwork.llm import jaccard_forest, line_quality, mixing, packing, periodic_runs, phrases, pieces, prefix_trees, secret_scan, suffix_arrays, toxicity, voronoi, warc_fixity
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,6 +63,14 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.voronoi_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(_read(spark, sf_dir, "documents"))
 
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_suffix_tree_dedup": op8_prefix_suffix_tree_dedup,
     "op9_sentencepiece_offsets": op9_sentencepiece_offsets,
     "op10_voronoi_topk": op10_voronoi_topk,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_mix_to_weights": op12_mix_to_weights,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -85,4 +95,6 @@ ORACLES: dict[str, str] = {
     "op3_warc_merkle_audit": warc_fixity.ORACLE_SQL,
     "op5_line_frequency_quality": line_quality.ORACLE_SQL,
     "op10_voronoi_topk": voronoi.ORACLE_SQL,
+    "op11_phrase_collocations": phrases.ORACLE_SQL,
+    "op12_mix_to_weights": mixing.ORACLE_SQL,
 }

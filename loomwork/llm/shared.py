@@ -98,13 +98,13 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and the first word of each row (one more at the end)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (bytes that aren't `apart`, by default `[^\\x20\\x09-\\x0D]+`), and the first word of each row (one more at the end)."""
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~_SEPARATOR[data]
+    inside = ~apart[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]

@@ -5,10 +5,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from loomwork.llm import periodic_runs
+from loomwork.llm import mixing, periodic_runs, phrases
 from tests.llm.conftest import frame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,3 +120,179 @@ def test_equal_hashes_of_different_words(spark, monkeypatch):
 def test_fewer_than_four_periods_are_refused(docs):
     with pytest.raises(ValueError):
         periodic_runs.with_runs(docs, exponent=3)
+
+
+# ---- mixing
+
+
+def as_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken int, budget string")
+
+
+def mixed_rows():
+    """A hot source, one that is all copies of one row, tiny ones, none, empty texts, a very long text, ids that are missing or stand twice."""
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.randrange(0, 60), "hot" if i % 3 else f"s{i % 7}", 1, 1, "x") for i in range(600)]
+    rows += [(None, "same words here", "copies", 1, 1, "x")] * 90 + [(5, "a b", None, 1, 1, "x"), (5, "a b c", None, 1, 1, "x"), (None, None, "void", 1, 1, "x"), (9, "", "void", 1, 1, "x")]
+    return rows + [(1000, "long " * 200_000, "s1", 1, 1, "x"), (1001, "one", "Ä", 1, 1, "x"), (1002, "one two", "é", 1, 1, "x"), (1003, "x " * 40, "\U0001f600", 1, 1, "x"), (1004, "x", "￮", 1, 1, "x")]
+
+
+def level_of(sizes, weights, total):
+    """Targets by sharing the excess again and again."""
+    aim = {s: 0.0 for s in sizes}
+    left, open_ = total, set(sizes)
+    while left > 1e-9 and open_:
+        w = sum(weights[s] for s in open_)
+        for s in open_:
+            aim[s] += left * weights[s] / w
+        left = sum(max(0, aim[s] - 3 * sizes[s]) for s in sizes)
+        for s in sizes:
+            if aim[s] >= 3 * sizes[s]:
+                aim[s] = 3 * sizes[s]
+                open_.discard(s)
+    return aim
+
+
+@pytest.mark.parametrize("which", ["made", "table"])
+def test_mix_follows_targets(spark, docs, which):
+    from collections import defaultdict
+
+    table = as_table(spark, mixed_rows()) if which == "made" else docs
+    rows = table.collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
+    aim = level_of(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(ordered)}, sum(sizes.values()))
+    got = mixing.mix_to_weights(table).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(r["doc_id"]), len(WORD.findall(r["text"] or ""))) for r in rows)
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(aim[r["source"]], rel=1e-9, abs=1e-9) and r["taken"] in {k * r["size"] for k in range(4)}
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - aim[s]) <= largest[s]
+    if which == "table":
+        for s in sizes:
+            assert abs(taken[s] - aim[s]) <= max(0.5 * largest[s], 1e-9)
+    again = mixing.mix_to_weights(table.repartition(5, "text")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_mix_equals_sql(spark, docs):
+    for table in (docs, as_table(spark, mixed_rows())):
+        con = duckdb.connect()
+        documents = table.toArrow()  # noqa: F841
+        want = con.execute(f"select * from ({mixing.ORACLE_SQL})").fetchall()
+        assert sorted(map(tuple, mixing.mixture(table).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_budgets_are_nested(spark):
+    rows = mixing.mix_to_weights(as_table(spark, mixed_rows()), budgets=(0.1, 0.5, 1.0, 4.0)).where("doc_id is not null").collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r["doc_id"], r["size"], r["source"]), []).append((r["budget"], r["taken"]))
+    for taken in by.values():
+        counts = [t for _, t in sorted(taken)]
+        assert counts == sorted(counts) and len(counts) == 4
+    assert all(r["taken"] == 3 * r["size"] for r in rows if r["budget"] == 4.0)
+
+
+def test_mix_of_nothing(spark, none):
+    assert mixing.mixture(none).count() == 0
+
+
+def test_boundary_goes_down_to_one_row(spark):
+    """Draws that agree in all but their last bits: every level is gone through."""
+    rows = [(i, "s", 1, 7, 7, i) for i in range(100)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long, _d0 long, _d1 long, _d2 long")
+    aims = spark.createDataFrame([("s", 100, 1.0, 130.0)], "source string, source_size long, budget double, target double")
+    got = mixing.mix(sizes, aims).collect()
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: 2 if i < 30 else 1 for i in range(100)}
+
+
+# ---- phrases
+
+
+def plain_collocations(rows, min_count=30, longest=4, best=2000):
+    from collections import Counter, defaultdict
+
+    counts, totals = defaultdict(Counter), Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for k in range(1, longest + 1):
+                counts[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, of in counts.items():
+        often = {p: n for p, n in of.items() if n >= min_count}
+        scored = []
+        for p, a in often.items():
+            if len(p) == 1:
+                continue
+            if any(len(q) > len(p) and 100 * n >= 80 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, n in often.items()):
+                continue
+            score, _, left, right = min((2_000_000 * a // (often[p[:c]] + often[p[c:]]), c, often[p[:c]], often[p[c:]]) for c in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(scored)[:best], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def spoken(spark, rows):
+    return spark.createDataFrame([(x, t, 1, "n", 2) for x, t in rows], "lang string, text string, n int, phrase string, k int")
+
+
+def phrase_rows():
+    draw = random.Random(8)
+    vocabulary = ["the", "of", "New", "york", "City", "É", "é", "ﬀ", "a b", "x'y", "in", "at"]
+    rows = [(draw.choice(("en", "en", "en", "de", None, "")), draw.choice(" \t\n.,") .join(" ".join(draw.choice(vocabulary) for _ in range(draw.randrange(1, 9))) for _ in range(12))) for _ in range(150)]
+    rows += [("en", "es es es " * 40), ("es", "en en en " * 40)]  # names of languages as words
+    rows += [("en", "new york city hall " * 60), ("en", "word! word? word; word: " * 40), ("en", None), ("fr", ""), ("en", " \n "), ("de", "aa aa aa aa aa aa " * 30), ("en", "z" * 5000 + " once more, " + "z" * 5000)]
+    return rows + [("en", "copied line of words here\r\n" * 2)] * 40
+
+
+@pytest.mark.parametrize("table_bits", [phrases.TABLE_BITS, 1024])
+def test_phrases_equal_brute_force(spark, docs, monkeypatch, table_bits):
+    """Also with tables too small to tell frequent phrases apart, which may only cost time."""
+    monkeypatch.setattr(phrases.frequent_phrases, "__defaults__", (30, 4, table_bits))
+    rows = phrase_rows()
+    got = sorted(map(tuple, phrases.collocations(spoken(spark, rows)).collect()))
+    assert got == plain_collocations(rows) and len(got) > 30
+    if table_bits > 1024:
+        plain = [(r["lang"], r["text"]) for r in docs.collect()]
+        assert sorted(map(tuple, phrases.collocations(docs).collect())) == plain_collocations(plain)
+
+
+def test_phrases_equal_sql(spark, docs):
+    for table in (docs, spoken(spark, phrase_rows())):
+        con = duckdb.connect()
+        documents = table.toArrow()  # noqa: F841
+        assert sorted(map(tuple, phrases.collocations(table).collect())) == sorted(con.execute(f"select * from ({phrases.ORACLE_SQL})").fetchall())
+
+
+def test_ranks_stop_at_the_limit(spark):
+    rows = [("en", f"w{i} v{i}") for i in range(40) for _ in range(30 + i % 3)]
+    got = sorted(map(tuple, phrases.collocations(spoken(spark, rows), best=7).collect()))
+    assert got == plain_collocations(rows, best=7) and len(got) == 7
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 9 * 10**15
+    levels = spark.createDataFrame([("en", 1, "a", 3 * big), ("en", 1, "b", 2 * big), ("en", 2, "a b", big)], "lang string, k int, phrase string, n long")
+    assert [tuple(r) for r in phrases.scored_phrases(levels).collect()] == [("en", "a b", 2, big, 3 * big, 2 * big, 400_000)]
+
+
+def test_equal_hashes_of_different_phrases():
+    """Places are joined by hash and check, so phrases that share a hash are still counted apart."""
+    hashes, checks = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    at, n = phrases._counted(hashes, checks)
+    assert sorted(zip(hashes[at].tolist(), checks[at].tolist(), n.tolist(), strict=True)) == [(5, 1, 2), (5, 2, 2), (7, 1, 1)]
+
+
+def test_phrases_of_nothing(spark, none):
+    assert phrases.collocations(none).count() == 0
