@@ -3,9 +3,10 @@
 A phrase of k words can only be frequent if both phrases of k-1 words in it are. So words are counted first, and each further level
 only counts phrases whose two overlapping parts were frequent on the level before. What a level finds goes out to all tasks
 as a bit table (two bits for each frequent phrase, at most `TABLE_BITS` in all, 32 MB): a phrase that isn't frequent may slip
-through it, a frequent one can't be lost, and if more are frequent than the table can tell apart it only prunes less. Levels are counted by
-64-bit hashes; then one more reading takes the words themselves of what passed all tables, and counts are grouped by them, so
-every count is exact and infrequent phrases that slipped through are dropped by their counts.
+through it and is dropped by its own count, a frequent one can't be lost, and if more are frequent than the table can tell apart it only
+prunes less. Words are counted by themselves, and in the same shuffle it is seen whether two of them share a 64-bit hash; if so they are counted again
+under another hash. From then on a word is its hash and a phrase is an array of them, so counts are exact, and only the phrases that can be
+among the best get their words back.
 
 A task joins equal phrases of 1 MB of text, and these again in groups of `HELD` rows, before anything is shuffled.
 
@@ -16,11 +17,12 @@ scores are broken by count and words, so ranks are unique; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.anchors import stored
@@ -29,7 +31,7 @@ from loomwork.llm.shared import byte_values, column_of, mix, ranges, span_hashes
 #: Bits of the largest table of frequent phrases that is sent to all tasks (32 MB).
 TABLE_BITS = 1 << 28
 #: Rows of counts that a task gathers before it joins equal ones and gives them out.
-HELD = 1 << 21
+HELD = 1 << 20
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,43 +42,64 @@ _APART = _BREAK.copy()
 _APART[[0x20, 0x09]] = True
 
 
+def _turned(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Hashes with their bits turned by 21 places for each word before this one."""
+    left = np.uint64(21 * word % 64)
+    return (hashes << left) | (hashes >> (np.uint64(64) - left)) if word else hashes
+
+
+def _turned_column(words: Column, word: int) -> Column:
+    value, left = F.get(words, F.lit(word)), 21 * word % 64
+    return F.shiftleft(value, left).bitwiseOR(F.shiftrightunsigned(value, 64 - left)) if word else value
+
+
 class Words:
-    """The words of a chunk of texts: where they are, which of them follow each other in a piece, and hashes of phrases."""
+    """The words of a chunk of texts: where they are, which of them follow each other in a piece, and their hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, seed: int = 0):
         self.data = _LOWER[data]
         self.starts, self.ends, self.first = word_bounds(self.data, offsets, _APART)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         breaks = np.concatenate([[0], np.cumsum(_BREAK[self.data])])
         self.piece = breaks[self.starts] + self.row  # doesn't fall, and rises with every break and row
         values = span_hashes(byte_values(self.data), self.starts, self.ends)
-        self.values = [values, mix(values + np.uint64(977))]
-        self.langs = langs[self.row] if len(self.row) else np.zeros(0, np.uint64)
-        self.hashes = [[mix(v + self.langs * np.uint64(0xC2B2AE3D27D4EB4F))] for v in self.values]  # a word's and a language's parts can't be exchanged
-
-    def phrases(self, k: int, which: int = 0) -> np.ndarray:
-        """Hashes of the k words from each word on, whether a break lies between them or not."""
-        known = self.hashes[which]
-        while len(known) < k:
-            n = len(known)
-            known.append(mix(known[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + self.values[which][n:]))
-        return known[k - 1]
+        # a word's and a language's parts can't be exchanged
+        self.hashes = mix(values + langs[self.row] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed)) if len(self.row) else values
+
+    def keys(self, k: int) -> np.ndarray:
+        """A key of the k words from each word on, whether a break lies between them or not; others may share it."""
+        n = len(self.hashes) - k + 1
+        return reduce(np.bitwise_xor, [_turned(self.hashes[i : i + n], i) for i in range(k)]) if n > 0 else self.hashes[:0]
 
     def whole(self, k: int) -> np.ndarray:
         """The words from which k words lie in one piece."""
-        return np.flatnonzero(self.piece[k - 1 :] == self.piece[: len(self.piece) - k + 1])
-
-    def texts(self, at: np.ndarray, k: int) -> pa.Array:
-        """The k words from each of the places on, with one space between them."""
-        size = self.ends - self.starts + 1
-        upto = np.concatenate([[0], np.cumsum(size)])
-        source = ranges(self.starts, size)
-        source[upto[1:] - 1] = 0
-        joined = self.data[source] if len(source) else self.data
-        joined[upto[1:] - 1] = 0x20
-        begin, length = upto[at], upto[at + k] - upto[at] - 1
+        return np.flatnonzero(self.piece[k - 1 :] == self.piece[: max(len(self.piece) - k + 1, 0)])
+
+    def counted(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places `at`, the first of each different phrase of k words, and how many have it."""
+        keys = self.keys(k)[at]
+        order = np.argsort(keys, kind="stable")
+        words = [self.hashes[at + i] for i in range(k)]
+        new = _changes([keys[order]])
+        if k > 1 and (_changes([w[order] for w in words]) & ~new).any():  # two phrases share a key
+            order = np.lexsort(words)
+            new = _changes([w[order] for w in words])
+        begin = np.flatnonzero(new)
+        return at[order[begin]], np.diff(np.concatenate([begin, [len(order)]]))
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        begin, length = self.starts[at], self.ends[at] - self.starts[at]
         bounds = np.concatenate([[0], np.cumsum(length)])
-        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(joined[ranges(begin, length)].tobytes()))
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(self.data[ranges(begin, length)].tobytes()))
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Which rows differ from the one before; the first one does."""
+    changed = np.zeros(len(columns[0]), bool)
+    changed[:1] = True
+    for c in columns:
+        changed[1:] |= c[1:] != c[:-1]
+    return changed
 
 
 def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +114,13 @@ def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return has
 
 
-def _table(frequent: DataFrame, most_bits: int) -> Broadcast:
-    """The bit table of a level: bits are joined by byte in Spark, and at most `most_bits` / 8 bytes come to the driver."""
+def _table(frequent: DataFrame, k: int, most_bits: int) -> Broadcast:
+    """The bit table of a level: bits are joined by 64 in Spark, and at most `most_bits` / 8 bytes come to the driver."""
     n = frequent.count()
     bits = 1 << int(np.clip(np.ceil(np.log2(16 * n + 1)), 10, np.log2(most_bits)))
-    low, high = F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1))
-    at = frequent.select(F.explode(F.array(low, high)).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    key = reduce(lambda a, b: a.bitwiseXOR(b), [_turned_column(F.col("words"), i) for i in range(k)])
+    low, high = F.col("key").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1))
+    at = frequent.select(key.alias("key")).select(F.explode(F.array(low, high)).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     got = at.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(bits >> 6, np.int64)
     table[got["word"].to_numpy()] = got["bit"].to_numpy()
@@ -109,28 +133,13 @@ def _lang_values(langs: pa.Array) -> np.ndarray:
     return span_hashes(byte_values(data), offsets[:-1], offsets[1:])
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], Words]]:
+def _chunks(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[np.ndarray, list[str], Words]]:
     """(number of each row's language in the list, languages, words) of about 1 MB of text each."""
     coded = column_of(batch, "lang").dictionary_encode()
     codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
     values = _lang_values(coded.dictionary)
     for lo, hi, data, offsets in text_chunks(column_of(batch, "text")):
-        yield codes[lo:hi], names, Words(data, offsets, values[codes[lo:hi]])
-
-
-def _counted(hashes: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The first place and the number of each hash (or each pair of hash and check)."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.zeros(0, bool)
-    if checks is not None and len(order):
-        other = np.concatenate([[False], checks[order][1:] != checks[order][:-1]])
-        if (other & ~new).any():  # two phrases share a hash
-            order = np.lexsort((checks, hashes))
-            ranked, check = hashes[order], checks[order]
-            new = np.concatenate([[True], (ranked[1:] != ranked[:-1]) | (check[1:] != check[:-1])])
-    begin = np.flatnonzero(new)
-    return order[begin], np.diff(np.concatenate([begin, [len(order)]]))
+        yield codes[lo:hi], names, Words(data, offsets, values[codes[lo:hi]], seed)
 
 
 class _Held:
@@ -152,121 +161,100 @@ class _Held:
             yield from joined.select(self.schema.names).cast(self.schema).to_batches(1 << 16)
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, h, n) of every word."""
-    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+def _word_counts(texts: DataFrame, seed: int) -> DataFrame:
+    """(h, lang, word, n, shared) of every word; shared: another word has the same hash."""
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("word", pa.large_string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(["lang", "h"], schema)
+        held = _Held(["h", "lang", "word"], schema)
         for batch in batches:
-            for codes, names, words in _chunks(batch):
-                hashes = words.phrases(1)
-                at, n = _counted(hashes, words.phrases(1, 1))
-                yield from held.add([pa.array(names, pa.string()).take(pa.array(codes[words.row[at]])), pa.array(hashes[at].view(np.int64)), pa.array(n)])
+            for codes, names, words in _chunks(batch, seed):
+                at, n = words.counted(words.whole(1), 1)
+                yield from held.add([pa.array(words.hashes[at].view(np.int64)), pa.array(names, pa.string()).take(pa.array(codes[words.row[at]])), words.texts(at), pa.array(n)])
         yield from held.out()
 
-    return texts.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-
+    counts = texts.mapInArrow(count, "h long, lang string, word string, n long")
+    one = F.struct("lang", "word")
+    found = counts.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.sum("n").alias("n"))
+    return found.select("h", "a.lang", "a.word", "n", (F.col("a") != F.col("b")).alias("shared"))
 
-def _open(words: Words, k: int, table: np.ndarray) -> np.ndarray:
-    """The words from which k words lie in one piece and both parts of k - 1 words passed the level before."""
-    at = words.whole(k)
-    before = _marked(table, words.phrases(k - 1))
-    return at[before[at] & before[at + 1]]
 
-
-def _level_counts(texts: DataFrame, k: int, before: Broadcast) -> DataFrame:
-    """(h, n) of the phrases of k words whose parts were frequent."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+def _phrase_counts(texts: DataFrame, k: int, before: Broadcast, seed: int) -> DataFrame:
+    """(words, n) of the phrases of k words whose parts of k - 1 words passed the level before."""
+    names = [f"w{i}" for i in range(k)]
+    schema = pa.schema([*[(w, pa.int64()) for w in names], ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(["h"], schema)
+        held = _Held(names, schema)
         for batch in batches:
-            for _, _, words in _chunks(batch):
-                hashes = words.phrases(k)[_open(words, k, before.value)]
-                at, n = _counted(hashes)
-                yield from held.add([pa.array(hashes[at].view(np.int64)), pa.array(n)])
+            for _, _, words in _chunks(batch, seed):
+                at, part = words.whole(k), _marked(before.value, words.keys(k - 1))
+                first, n = words.counted(at[part[at] & part[at + 1]], k)
+                yield from held.add([*[pa.array(words.hashes[first + i].view(np.int64)) for i in range(k)], pa.array(n)])
         yield from held.out()
 
-    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _named(texts: DataFrame, tables: list[Broadcast]) -> DataFrame:
-    """(lang, k, phrase, n) of what passes the tables of its level and the one before, by the words themselves."""
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.large_string()), ("n", pa.int64())])
+    counts = texts.mapInArrow(count, ", ".join(f"{w} long" for w in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    return counts.select(F.array(*names).alias("words"), "n")
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(["lang", "k", "phrase"], schema)
-        for batch in batches:
-            for codes, names, words in _chunks(batch):
-                langs = pa.array(names, pa.string())
-                for k in range(1, len(tables) + 1):
-                    at = _open(words, k, tables[k - 2].value) if k > 1 else words.whole(1)
-                    at = at[_marked(tables[k - 1].value, words.phrases(k)[at])]
-                    first, n = _counted(words.phrases(k)[at], words.phrases(k, 1)[at])
-                    yield from held.add([langs.take(pa.array(codes[words.row[at[first]]])), pa.array(np.full(len(first), k, np.int32)), words.texts(at[first], k), pa.array(n)])
-        yield from held.out()
 
-    return texts.mapInArrow(name, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-
-
-def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, table_bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, k, phrase, n) of every phrase of 1 to `longest` words that occurs `min_count` times or more in its language, and
-    (lang, total) with each language's number of words; both stored."""
+def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, table_bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words array<long>, n) of every phrase of 1 to `longest` words that occurs `min_count` times or more in its language,
+    (h, lang, word) of the frequent words, whose hashes the phrases are made of, and (lang, total) with each language's number of words; all stored."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = stored(_word_counts(texts))
+    seed = 0
+    while (words := stored(_word_counts(texts, seed))).where("shared").limit(1).count():
+        seed += 1
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")))
-    tables = [_table(words.where(F.col("n") >= min_count).select("h"), table_bits)]
+    often = words.where(F.col("n") >= min_count)
+    levels = [often.select(F.array("h").alias("words"), "n")]
     for k in range(2, longest + 1):
-        tables.append(_table(stored(_level_counts(texts, k, tables[-1]).where(F.col("n") >= min_count).select("h")), table_bits))
-    levels = stored(_named(texts, tables).where(F.col("n") >= min_count))
-    for t in tables:
-        t.unpersist()
-    return levels, totals
-
-
-def _cuts(candidates: DataFrame) -> DataFrame:
-    """`candidates` once for each place where they can be cut, with both parts."""
-    words = F.split("phrase", " ")
-    cut = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda c: F.struct(c.alias("cut"), F.array_join(F.slice(words, F.lit(1), c), " ").alias("left"), F.array_join(F.slice(words, c + 1, F.col("k") - c), " ").alias("right")))
-    return candidates.select("lang", "phrase", "k", F.col("n").alias("a"), F.inline(cut))
+        before = _table(levels[-1].select("words"), k - 1, table_bits)
+        levels.append(stored(_phrase_counts(texts, k, before, seed).where(F.col("n") >= min_count)))
+        before.unpersist()
+    return reduce(DataFrame.unionByName, levels), often.select("h", "lang", "word"), totals
 
 
 def scored_phrases(levels: DataFrame, scale: int = 2_000_000) -> DataFrame:
-    """(lang, phrase, k, a, l, r, score) of every frequent phrase of two words or more: the lowest scale * a / (l + r) of its cuts, of equal
+    """(words, a, l, r, score) of every frequent phrase of two words or more: the lowest scale * a / (l + r) of its cuts, of equal
     ones the first, in whole numbers of up to 38 digits."""
-    candidates = levels.where("k > 1")
-    counts = levels.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), F.col("n"))
-    cuts = _cuts(candidates)
+    counts = levels.select(F.col("words").alias("_part"), F.col("n").alias("_n"))
+    k = F.size("words")
+    cut = F.transform(F.sequence(F.lit(1), k - 1), lambda c: F.struct(c.alias("cut"), F.slice("words", F.lit(1), c).alias("left"), F.slice("words", c + 1, k - c).alias("right")))
+    cuts = levels.where(k > 1).select("words", F.col("n").alias("a"), F.inline(cut))
     for part, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(counts, (F.col("lang") == F.col("_lang")) & (F.col(part) == F.col("_phrase"))).withColumnRenamed("n", name).drop("_lang", "_phrase", part)
+        cuts = cuts.join(counts, F.col(part) == F.col("_part")).withColumnRenamed("_n", name).drop("_part", part)
     wide = "decimal(38,0)"
     scored = cuts.withColumn("score", F.expr(f"cast(cast({scale} as {wide}) * cast(a as decimal(20,0)) as {wide}) div cast(cast(l as decimal(20,0)) + cast(r as decimal(20,0)) as {wide})"))
-    least = scored.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
-    return least.select("lang", "phrase", "k", "a", "c.l", "c.r", F.col("c.score").cast("long").alias("score"))
+    least = scored.groupBy("words", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
+    return least.select("words", "a", "c.l", "c.r", F.col("c.score").cast("long").alias("score"))
 
 
 def within_longer(levels: DataFrame, share: int = 80) -> DataFrame:
-    """(lang, phrase) of phrases that lie in a longer frequent one with at least `share` % of their count.
+    """(words) of phrases that lie in a longer frequent one with at least `share` % of their count.
 
     Only phrases of one word more are looked at: whatever is longer still isn't more frequent than the one of them that it holds.
     """
-    longer = levels.where("k > 2").withColumn("_words", F.split("phrase", " "))
-    shorter = F.array_distinct(F.array(F.array_join(F.slice("_words", F.lit(1), F.col("k") - 1), " "), F.array_join(F.slice("_words", F.lit(2), F.col("k") - 1), " ")))
-    most = longer.select("lang", F.explode(shorter).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("_most"))
+    k = F.size("words")
+    parts = F.array_distinct(F.array(F.slice("words", F.lit(1), k - 1), F.slice("words", F.lit(2), k - 1)))
+    most = levels.where(k > 2).select(F.explode(parts).alias("words"), "n").groupBy("words").agg(F.max("n").alias("_most"))
     wide = "cast({} as decimal(38,0))"
-    return levels.join(most, ["lang", "phrase"]).where(F.expr(f"100 * {wide.format('_most')} >= {share} * {wide.format('n')}")).select("lang", "phrase")
+    return levels.join(most, "words").where(F.expr(f"100 * {wide.format('_most')} >= {share} * {wide.format('n')}")).select("words")
 
 
-def collocations(docs: DataFrame, min_count: int = 30, longest: int = 4, best: int = 2000, share: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 30, longest: int = 4, best: int = 2000, share: int = 80, table_bits: int = TABLE_BITS) -> DataFrame:
     """The `best` phrases of each language by score: (lang, rank, phrase, a, l, r, n, score)."""
-    levels, totals = frequent_phrases(docs, min_count, longest)
-    kept = scored_phrases(levels).join(within_longer(levels, share), ["lang", "phrase"], "left_anti")
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # the best of each of many parts of a language first, so that no task ranks a whole language
-    kept = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_r") <= best)
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
+    levels, words, totals = frequent_phrases(docs, min_count, longest, table_bits)
+    kept = scored_phrases(levels).join(within_longer(levels, share), "words", "left_anti")
+    kept = kept.join(words.select("h", "lang"), F.get("words", F.lit(0)) == F.col("h")).drop("h")
+    # the best of each of many parts of a language first, so that no task ranks a whole language; ties stay until their words are known
+    order = [F.desc("score"), F.desc("a")]
+    kept = kept.withColumn("_part", F.pmod(F.xxhash64("words"), F.lit(64)))
+    for by in (["lang", "_part"], ["lang"]):
+        kept = kept.withColumn("_r", F.rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= best)
+    found = kept.select(*[c for c in kept.columns if c not in ("_part", "_r")], F.posexplode("words").alias("_i", "_h"))
+    spelled = found.join(words.select(F.col("h").alias("_h"), "word"), "_h").groupBy("lang", "words", "a", "l", "r", "score")
+    named = spelled.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda w: w["word"]), " ").alias("phrase"))
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase")))).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import mixing, periodic_runs, phrases
 from tests.llm.conftest import frame
@@ -256,16 +257,13 @@ def phrase_rows():
     return rows + [("en", "copied line of words here\r\n" * 2)] * 40
 
 
-@pytest.mark.parametrize("table_bits", [phrases.TABLE_BITS, 1024])
-def test_phrases_equal_brute_force(spark, docs, monkeypatch, table_bits):
-    """Also with tables too small to tell frequent phrases apart, which may only cost time."""
-    monkeypatch.setattr(phrases.frequent_phrases, "__defaults__", (30, 4, table_bits))
+def test_phrases_equal_brute_force(spark):
+    """Also with a table too small to tell frequent phrases apart, which may only cost time."""
     rows = phrase_rows()
-    got = sorted(map(tuple, phrases.collocations(spoken(spark, rows)).collect()))
-    assert got == plain_collocations(rows) and len(got) > 30
-    if table_bits > 1024:
-        plain = [(r["lang"], r["text"]) for r in docs.collect()]
-        assert sorted(map(tuple, phrases.collocations(docs).collect())) == plain_collocations(plain)
+    want = plain_collocations(rows)
+    for table_bits in (phrases.TABLE_BITS, 1024):
+        assert sorted(map(tuple, phrases.collocations(spoken(spark, rows), table_bits=table_bits).collect())) == want
+    assert len(want) > 30
 
 
 def test_phrases_equal_sql(spark, docs):
@@ -283,15 +281,32 @@ def test_ranks_stop_at_the_limit(spark):
 
 def test_scores_beyond_64_bits(spark):
     big = 9 * 10**15
-    levels = spark.createDataFrame([("en", 1, "a", 3 * big), ("en", 1, "b", 2 * big), ("en", 2, "a b", big)], "lang string, k int, phrase string, n long")
-    assert [tuple(r) for r in phrases.scored_phrases(levels).collect()] == [("en", "a b", 2, big, 3 * big, 2 * big, 400_000)]
+    levels = spark.createDataFrame([([1], 3 * big), ([2], 2 * big), ([1, 2], big)], "words array<long>, n long")
+    assert [tuple(r) for r in phrases.scored_phrases(levels).collect()] == [([1, 2], big, 3 * big, 2 * big, 400_000)]
 
 
-def test_equal_hashes_of_different_phrases():
-    """Places are joined by hash and check, so phrases that share a hash are still counted apart."""
-    hashes, checks = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
-    at, n = phrases._counted(hashes, checks)
-    assert sorted(zip(hashes[at].tolist(), checks[at].tolist(), n.tolist(), strict=True)) == [(5, 1, 2), (5, 2, 2), (7, 1, 1)]
+def test_words_that_share_a_hash_are_counted_again(spark, monkeypatch):
+    """Where any two words share a hash under a seed, the next one is taken."""
+    rows = phrase_rows()
+    monkeypatch.setattr(phrases, "_word_counts", lambda texts, seed, real=phrases._word_counts: real(texts, seed).withColumn("shared", F.lit(True)) if not seed else real(texts, seed))
+    assert sorted(map(tuple, phrases.collocations(spoken(spark, rows)).collect())) == plain_collocations(rows)
+
+
+def test_shared_hashes_are_seen(spark, monkeypatch):
+    texts = spark.createDataFrame([("en", "a b a"), ("de", "a")], "lang string, text string")
+    counts = lambda: sorted((r["n"], r["shared"]) for r in phrases._word_counts(texts, 0).collect())
+    assert counts() == [(1, False), (1, False), (2, False)]
+    rows = spark.createDataFrame([(7, "en", "a", 2), (7, "de", "a", 1), (8, "en", "b", 1)], "h long, lang string, word string, n long")
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, *a, **b: rows)
+    assert counts() == [(1, False), (3, True)]
+
+
+def test_phrases_that_share_a_key(monkeypatch):
+    """Places are joined by key, then by their words, so phrases with one key are still counted apart."""
+    monkeypatch.setattr(phrases, "_turned", lambda hashes, word: hashes & np.uint64(1))
+    words = phrases.Words(np.frombuffer(b"a b a b c d c d a b", np.uint8), np.array([0, 19]), np.zeros(1, np.uint64))
+    at, n = words.counted(words.whole(2), 2)
+    assert sorted(zip(at.tolist(), n.tolist(), strict=True)) == [(0, 3), (1, 1), (3, 1), (4, 2), (5, 1), (7, 1)]
 
 
 def test_phrases_of_nothing(spark, none):
