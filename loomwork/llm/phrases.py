@@ -4,11 +4,10 @@ A phrase of k words can only be frequent if both phrases of k-1 words in it are.
 only counts phrases whose two overlapping parts were frequent on the level before. What a level finds goes out to all tasks
 as a bit table (two bits for each frequent phrase, at most `TABLE_BITS` in all, 32 MB): a phrase that isn't frequent may slip
 through it and is dropped by its own count, a frequent one can't be lost, and if more are frequent than the table can tell apart it only
-prunes less. Words are counted by themselves, and in the same shuffle it is seen whether two of them share a 64-bit hash; if so they are counted again
-under another hash. From then on a word is its hash and a phrase is an array of them, so counts are exact, and only the phrases that can be
+prunes less. Words are counted by themselves. If two of them share a 64-bit hash, they are counted again under another one. From then on a word is its hash and a phrase is an array of them, so counts are exact, and only the phrases that can be
 among the best get their words back.
 
-A task joins equal phrases of 1 MB of text, and these again in groups of `HELD` rows, before anything is shuffled.
+A task joins equal phrases of 1 MB of text, and these again in groups of `HELD` or `HELD_PHRASES` rows, before anything is shuffled.
 
 Defined cases: a null text is empty; a null lang is `und`, an empty one stays; repeated rows count as often as they stand; ties of
 scores are broken by count and words, so ranks are unique; an empty table gives no rows; doc_id and other columns are ignored.
@@ -30,8 +29,8 @@ from loomwork.llm.shared import byte_values, column_of, mix, ranges, span_hashes
 
 #: Bits of the largest table of frequent phrases that is sent to all tasks (32 MB).
 TABLE_BITS = 1 << 28
-#: Rows of counts that a task gathers before it joins equal ones and gives them out.
-HELD = 1 << 20
+#: Rows of counts that a task gathers before it joins equal ones and gives them out: of words, and of phrases, few of which are equal.
+HELD, HELD_PHRASES = 1 << 20, 1 << 18
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,13 +144,13 @@ def _chunks(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[np.ndarray, list
 class _Held:
     """Counts of many chunks, joined where they are of the same phrase before they are given out."""
 
-    def __init__(self, keys: list[str], schema: pa.Schema):
-        self.keys, self.schema, self.tables, self.rows = keys, schema, [], 0
+    def __init__(self, keys: list[str], schema: pa.Schema, most: int):
+        self.keys, self.schema, self.most, self.tables, self.rows = keys, schema, most, [], 0
 
     def add(self, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         self.tables.append(pa.Table.from_arrays(columns, schema=self.schema))
         self.rows += len(columns[0])
-        if self.rows > HELD:
+        if self.rows > self.most:
             yield from self.out()
 
     def out(self) -> Iterator[pa.RecordBatch]:
@@ -162,21 +161,23 @@ class _Held:
 
 
 def _word_counts(texts: DataFrame, seed: int) -> DataFrame:
-    """(h, lang, word, n, shared) of every word; shared: another word has the same hash."""
+    """(h, lang, word, n) of every word."""
     schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("word", pa.large_string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(["h", "lang", "word"], schema)
+        held = _Held(["h", "lang", "word"], schema, HELD)
         for batch in batches:
             for codes, names, words in _chunks(batch, seed):
                 at, n = words.counted(words.whole(1), 1)
                 yield from held.add([pa.array(words.hashes[at].view(np.int64)), pa.array(names, pa.string()).take(pa.array(codes[words.row[at]])), words.texts(at), pa.array(n)])
         yield from held.out()
 
-    counts = texts.mapInArrow(count, "h long, lang string, word string, n long")
-    one = F.struct("lang", "word")
-    found = counts.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.sum("n").alias("n"))
-    return found.select("h", "a.lang", "a.word", "n", (F.col("a") != F.col("b")).alias("shared"))
+    return texts.mapInArrow(count, "h long, lang string, word string, n long").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _share_hashes(words: DataFrame) -> bool:
+    """Whether two words have the same hash."""
+    return words.groupBy("h").count().where(F.col("count") > 1).limit(1).count() > 0
 
 
 def _phrase_counts(texts: DataFrame, k: int, before: Broadcast, seed: int) -> DataFrame:
@@ -185,7 +186,7 @@ def _phrase_counts(texts: DataFrame, k: int, before: Broadcast, seed: int) -> Da
     schema = pa.schema([*[(w, pa.int64()) for w in names], ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(names, schema)
+        held = _Held(names, schema, HELD_PHRASES)
         for batch in batches:
             for _, _, words in _chunks(batch, seed):
                 at, part = words.whole(k), _marked(before.value, words.keys(k - 1))
@@ -202,7 +203,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, tab
     (h, lang, word) of the frequent words, whose hashes the phrases are made of, and (lang, total) with each language's number of words; all stored."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     seed = 0
-    while (words := stored(_word_counts(texts, seed))).where("shared").limit(1).count():
+    while _share_hashes(words := stored(_word_counts(texts, seed))):
         seed += 1
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")))
     often = words.where(F.col("n") >= min_count)

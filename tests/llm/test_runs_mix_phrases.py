@@ -8,7 +8,6 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from loomwork.llm import mixing, periodic_runs, phrases
 from tests.llm.conftest import frame
@@ -286,21 +285,15 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_words_that_share_a_hash_are_counted_again(spark, monkeypatch):
-    """Where any two words share a hash under a seed, the next one is taken."""
-    rows = phrase_rows()
-    monkeypatch.setattr(phrases, "_word_counts", lambda texts, seed, real=phrases._word_counts: real(texts, seed).withColumn("shared", F.lit(True)) if not seed else real(texts, seed))
+    """Where two words share a hash under a seed, the next one is taken."""
+    words = "h long, lang string, word string, n long"
+    assert phrases._share_hashes(spark.createDataFrame([(7, "en", "a", 2), (7, "de", "a", 1), (8, "en", "b", 1)], words))
+    assert not phrases._share_hashes(spark.createDataFrame([(7, "en", "a", 2), (8, "de", "a", 1)], words))
+    rows, found = phrase_rows(), iter([True, True, False])
+    monkeypatch.setattr(phrases, "_share_hashes", lambda words: next(found))
     assert sorted(map(tuple, phrases.collocations(spoken(spark, rows)).collect())) == plain_collocations(rows)
 
 
-def test_shared_hashes_are_seen(spark, monkeypatch):
-    texts = spark.createDataFrame([("en", "a b a"), ("de", "a")], "lang string, text string")
-    counts = lambda: sorted((r["n"], r["shared"]) for r in phrases._word_counts(texts, 0).collect())
-    assert counts() == [(1, False), (1, False), (2, False)]
-    rows = spark.createDataFrame([(7, "en", "a", 2), (7, "de", "a", 1), (8, "en", "b", 1)], "h long, lang string, word string, n long")
-    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, *a, **b: rows)
-    assert counts() == [(1, False), (3, True)]
-
-
 def test_phrases_that_share_a_key(monkeypatch):
     """Places are joined by key, then by their words, so phrases with one key are still counted apart."""
     monkeypatch.setattr(phrases, "_turned", lambda hashes, word: hashes & np.uint64(1))
