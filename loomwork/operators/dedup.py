@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomwork-ckpt-"))
-    return df.checkpoint(eager=True)
+from loomwork.storage import checkpointed
 
 
 def content_duplicates(candidates: DataFrame, reference: DataFrame, content: str, path: str, order: str) -> DataFrame:
@@ -85,9 +78,12 @@ def greedy_clusters(items: DataFrame, key: str, hashes: list[str], order: list[C
     """(key, duplicate_of): walk the items in order; one near an earlier representative (by any hash) is its duplicate, else a representative.
 
     The walk is done in rounds over the graph of near hashes: an item without undecided or representative earlier neighbours is a
-    representative, one with an earlier representative neighbour a duplicate. Items with equal hashes are one node.
+    representative, one with an earlier representative neighbour a duplicate. Items with equal hashes are one node. An item that lacks a
+    hash is a duplicate of nothing.
     """
-    ranked = items.select(key, *hashes, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k")).alias("_o"))
+    whole = reduce(lambda x, y: x & y, [F.col(h).isNotNull() for h in hashes])
+    without = items.where(~whole).select(key, F.lit(None).cast(items.schema[key].dataType).alias("duplicate_of"))
+    ranked = items.where(whole).select(key, *hashes, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k")).alias("_o"))
     nodes = checkpointed(ranked.groupBy(*hashes).agg(F.min("_o").alias("_o")).withColumn("node", F.col("_o")["k"]))
     found = []
     for h in hashes:
@@ -109,7 +105,7 @@ def greedy_clusters(items: DataFrame, key: str, hashes: list[str], order: list[C
     named = state.join(firsts, "node", "left").select("node", F.when(F.col("rep"), F.lit(None)).otherwise(F.col("first")).alias("first"))
     same = ranked.join(nodes.select("node", *hashes), reduce(lambda x, y: x & y, [ranked[h].eqNullSafe(nodes[h]) for h in hashes]))
     own = F.when(F.col("first").isNotNull(), F.col("first")).when(F.col(key) != F.col("node"), F.col("node"))
-    return same.join(named, "node").select(key, own.alias("duplicate_of"))
+    return same.join(named, "node").select(key, own.alias("duplicate_of")).unionByName(without)
 
 
 def delete_manifest(duplicates: DataFrame, path: str, reason: str, duplicate_of: Column) -> DataFrame:

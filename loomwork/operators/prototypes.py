@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.vectors import dot, mean_vectors, midpoint, unit
 from loomwork.operators.bounded import bounded
+from loomwork.operators.quantiles import exact_percentiles
 from loomwork.operators.sampling import pick_per_group
+from loomwork.storage import stored
 
 
 def few_shot(items: DataFrame, label: str, key: str, shots: int, seed: str = "shots", complete: bool = False) -> DataFrame:
@@ -47,10 +49,11 @@ def pair_mean(pairs: DataFrame, label: str, image: str, text: str) -> DataFrame:
 
 
 def trimmed(items: DataFrame, label: str, vec: str = "vec", share: float = 0.95) -> DataFrame:
-    """`items` with `distance` (1 - cosine to the class's mean), `edge` (its exact percentile) and `kept`."""
+    """`items` with `distance` (1 - cosine to the class's mean), `edge` (its exact percentile) and `kept`; no task orders a class."""
     means = bounded(mean_vectors(items.select(F.col(label).alias("_c"), vec), ["_c"], vec, "_mean"))
     far = items.join(means, F.col(label) == F.col("_c")).withColumn("distance", F.lit(1.0) - dot(F.col(vec), F.col("_mean"))).drop("_mean", "_c")
-    edges = bounded(far.groupBy(F.col(label).alias("_c")).agg(F.percentile("distance", F.lit(share)).alias("edge")))
+    # distances are stored for the passes that look for the percentile
+    edges = bounded(exact_percentiles(stored(far.select(F.col(label).alias("_c"), "distance")), "_c", "distance", share))
     return far.join(edges, F.col(label) == F.col("_c")).drop("_c").withColumn("kept", F.col("distance") <= F.col("edge") + 1e-12)
 
 

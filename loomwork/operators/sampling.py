@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators.dedup import checkpointed
+from loomwork.storage import checkpointed
 
 
 def draw(seed: str, *keys: str | Column) -> Column:

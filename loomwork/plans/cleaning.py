@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from loomwork.functions import paths
 from loomwork.operators import dedup, sampling
 from loomwork.operators.contamination import contained
-from loomwork.plans.tables import ENDINGS, FILES_SQL, files, table
+from loomwork.plans.tables import ENDINGS, FILES_SQL, files, table, texts
 from loomwork.sources.images import class_index as index_of
 from loomwork.sources.images import first_listed as listed_of
 from loomwork.sources.images import paired_folders as pairs_of
 from loomwork.sources.images import unmapped_folders as unmapped_of
 from loomwork.sources.sinks import rename_manifest as manifest
+from loomwork.storage import checkpointed
 
 #: The beginning of the names of the files (by source) that all others are compared with.
 REFERENCE = "src1"
@@ -44,23 +45,24 @@ def exact_dup_keep(spark, sf_dir):
 
 
 def perceptual_hashes(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, phash, dhash, whash): for each hash, bit i says that bucket i holds more words than bucket i + 64. Words are counted before they are shuffled."""
-    words = rows.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("w")).withColumn("m", F.md5("w"))
-    digits = "0123456789abcdef"
+    """(key, phash, dhash, whash): for each hash, bit i says that bucket i holds more words than bucket i + 64.
 
-    def bucket(place: int):
-        return (F.instr(F.lit(digits), F.col("m").substr(place, 1)) - 1) * 16 + F.instr(F.lit(digits), F.col("m").substr(place + 1, 1)) - 1
-
-    spots = words.select(key, F.inline(F.array(*[F.struct(F.lit(h).alias("h"), (bucket(p) % 128).alias("b")) for h, p in HASHES.items()])))
-    counts = spots.groupBy(key, "h", (F.col("b") % 64).alias("b")).agg(F.count_if(F.col("b") < 64).alias("a"), F.count_if(F.col("b") >= 64).alias("z"))
-    bit = F.when(F.col("a") > F.col("z"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).otherwise(F.lit(0).cast("long"))
-    return counts.groupBy(key).agg(*[F.bit_or(F.when(F.col("h") == h, bit).otherwise(F.lit(0).cast("long"))).alias(h) for h in HASHES])
+    A word's three buckets come from one number of its md5, and words are counted by it before they are parted by hash.
+    """
+    words = rows.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("w"))
+    counts = words.select(key, F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("int").alias("m")).groupBy(key, "m").agg(F.count("*").alias("n"))
+    buckets = F.array(*[F.shiftright("m", 16 - 4 * (place - 1)).bitwiseAND(127) for place in HASHES.values()])
+    spots = counts.select(key, "n", F.posexplode(buckets).alias("h", "b"))
+    lead = F.sum(F.when(F.col("b") < 64, F.col("n")).otherwise(-F.col("n")))
+    leads = spots.groupBy(key, "h", (F.col("b") % 64).alias("b")).agg(lead.alias("d"))
+    bit = F.when(F.col("d") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).otherwise(F.lit(0).cast("long"))
+    return leads.groupBy(key).agg(*[F.bit_or(F.when(F.col("h") == i, bit).otherwise(F.lit(0).cast("long"))).alias(h) for i, h in enumerate(HASHES)])
 
 
 def _hashed(spark, sf_dir):
     """Stored, as both sides of a join are made of them."""
     rows = files(spark, sf_dir)
-    return dedup.checkpointed(rows.drop("content").join(perceptual_hashes(rows, "doc_id", "content"), "doc_id"))
+    return checkpointed(rows.drop("content").join(perceptual_hashes(rows, "doc_id", "content"), "doc_id"))
 
 
 def perceptual_hash(spark, sf_dir):
@@ -81,7 +83,7 @@ def greedy_near_dup(spark, sf_dir):
 
 def contamination(spark, sf_dir):
     """Pairs of a document and a benchmark item that it contains."""
-    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return contained(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 def ext_filter_manifest(spark, sf_dir):

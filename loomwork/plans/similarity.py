@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.vectors import micro
-from loomwork.operators import dedup, ensemble, metrics, prototypes, scoring, sweep
+from loomwork.operators import adapter, dedup, ensemble, metrics, prototypes, scoring, sweep
 from loomwork.plans.tables import SHOTS, TARGETS, figures_sql, micro_sql, scores_sql, table, targets, vectors
+from loomwork.storage import checkpointed
 
 K = (1, 3, 5)
 #: The class whose rows don't count in top-k accuracy.
@@ -206,7 +207,7 @@ def grid_search(spark, sf_dir):
     rows = _with_cache(spark, sf_dir).withColumn("scores", F.filter("scores", lambda s: s["cls"] < TARGETS))
     rows = rows.crossJoin(F.broadcast(grid.select("bi", "beta").distinct()))
     rows = rows.withColumn("cached", scoring.cache_logits(F.transform("scores", lambda s: s["cls"]), F.col("beta")))
-    rows = dedup.checkpointed(rows.select("bi", "label", "scores", "cached")).crossJoin(F.broadcast(grid.select("ai", "alpha").distinct()))
+    rows = checkpointed(rows.select("bi", "label", "scores", "cached")).crossJoin(F.broadcast(grid.select("ai", "alpha").distinct()))
     logits = rows.select("bi", "ai", "label", F.inline(scoring.combined_logits(F.col("alpha"), F.col("cached"))))
     by = ["bi", "ai", "cls"]
     groups = grid.select("bi", "ai").crossJoin(F.broadcast(targets(spark)))
@@ -215,6 +216,26 @@ def grid_search(spark, sf_dir):
     return sweep.best_setting(means).select("bi", "ai", F.floor(F.col("f1") + 0.5).alias("f1_micro"))
 
 
+#: A rate that moves the few keys of the tables within a few epochs.
+TRAINING = adapter.Training(alpha=ALPHA, beta=BETA, rate=0.02, epochs=4, steps=4)
+
+
+def adapter_epochs(spark, sf_dir):
+    """The epochs of an adapter that is trained on the reference items and scored on the others: (epoch, loss, f1, best), in whole millionths."""
+    shots, rest = _split(spark, sf_dir, "all")
+    shots, rest = checkpointed(shots), checkpointed(rest)
+    protos, classes = checkpointed(prototypes.centroids(shots, "label")), targets(spark)
+
+    def score(model: adapter.Adapter) -> float:
+        return adapter.mean_best_f1(rest, protos, model.as_table(spark), TRAINING, classes)
+
+    cache = shots.select(F.col("vec_id").alias("key_id"), "vec", "label")
+    _, history = adapter.train_adapter(shots, "vec_id", cache, protos, score, TRAINING)
+    epochs = spark.createDataFrame([(h["epoch"], h["loss"], h["f1"]) for h in history], "epoch int, loss double, f1 double")
+    best = epochs.agg(F.max_by("epoch", F.struct("f1", -F.col("epoch"))).alias("_best"))
+    return epochs.crossJoin(F.broadcast(best)).select("epoch", micro(F.col("loss")).alias("loss_micro"), micro(F.col("f1")).alias("f1_micro"), (F.col("epoch") == F.col("_best")).alias("best"))
+
+
 def kmeans_prototype(spark, sf_dir):
     near, _ = prototypes.clustered_prototype(vectors(spark, sf_dir), "vec_id", SHOTS)
     return near.select("vec_id", "label", micro(F.col("distance")).alias("distance_micro"))
@@ -230,7 +251,7 @@ QUERIES = {
         cosine_scores, zero_shot_argmax, softmax_probs, topk_accuracy, ovr_confusion, confusion_matrix, macro_f1_eps, classification_report,
         binary_confusion, threshold_curve, threshold_sweep_best, threshold_summary, linspace_sweep_best, overlap_sweep_best, union_ensemble_metrics,
         union_sample_counts, union_export, or_predictions, cascade_filter, cascade_counts, fewshot_sample, prototype_centroid, image_text_mean, outlier_trim,
-        cache_logits, grid_search, kmeans_prototype, silhouette,
+        cache_logits, grid_search, adapter_epochs, kmeans_prototype, silhouette,
     )
 }
 

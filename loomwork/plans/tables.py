@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A table in fewer parts than there are cores is dealt out first, or a few tasks would cut all its texts into
+    words; a larger one is read as it is, without a shuffle."""
+    rows = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def vectors(spark: SparkSession, sf_dir: str, view: str = "all") -> DataFrame:
     """(vec_id, label, vec): unit vectors of one encoder."""
     first, n = VIEWS[view]
@@ -40,7 +48,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, label, name, size, doc_id, content): every document as a file in the folder of its class (its language)."""
     ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), hex_digit(F.col("doc_id").cast("string")) % len(ENDINGS) + 1)
     name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), ending)
-    docs = table(spark, sf_dir, "documents").withColumn("name", name)
+    docs = texts(spark, sf_dir).withColumn("name", name)
     return docs.select(F.concat(F.lit("corpus/"), "lang", F.lit("/"), "name").alias("path"), F.col("lang").alias("label"), "name", F.col("n_chars").alias("size"), "doc_id", F.col("text").alias("content"))
 
 

@@ -11,19 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.paths import IMAGE_ENDINGS, ending, folder
+from loomwork.storage import exists
 
 FILE_SCHEMA = "path string, length long, label string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def image_files(spark: SparkSession, root: str, endings: tuple[str, ...] = IMAGE_ENDINGS, recursive: bool = True, content: bool = False) -> DataFrame:
     """(path, length, label[, content]) of the image files below a folder; none if it doesn't exist. Contents are only read if asked for."""
     extra = ", content binary" if content else ""
-    if not _exists(spark, root):
+    if not exists(spark, root):
         return spark.createDataFrame([], FILE_SCHEMA + extra)
     reader = spark.read.format("binaryFile")
     found = reader.option("recursiveFileLookup", True).load(root) if recursive else reader.load(f"{root}/*/*")
@@ -85,7 +81,7 @@ def first_listed(files: DataFrame, lists: DataFrame, path: str = "path") -> Data
 
 def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The table at `path`; if there is none, it is computed and written first."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         compute().write.parquet(path)
     return spark.read.parquet(path)
 

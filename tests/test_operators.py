@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import paths, vectors
-from loomwork.operators import adapter, balance, bounded, dedup, ensemble, metrics, prototypes, sampling, scoring, sweep
+from loomwork.operators import balance, bounded, dedup, ensemble, metrics, prototypes, sampling, scoring, sweep
 from loomwork.sources import images
 
 
@@ -125,15 +125,6 @@ def test_report_of_absent_classes(spark):
     assert report["0"] == 0.75 and report["2"] == 0 and report["accuracy"] == 0.75
 
 
-def test_adapter_lowers_its_loss(spark):
-    rows = [([1.0, 0.1 * i], 0) for i in range(5)] + [([0.1 * i, 1.0], 1) for i in range(5)]
-    data = spark.createDataFrame(rows, "vec array<double>, label int")
-    cache = spark.createDataFrame([(0, [0.6, 0.8], 0), (1, [0.8, 0.6], 1)], "key_id int, vec array<double>, label int")
-    protos = spark.createDataFrame([(0, [0.7, 0.7]), (1, [0.7, 0.7])], "cls int, vec array<double>")
-    _, losses = adapter.train_adapter(data, cache, protos, rate=0.05, epochs=5)
-    assert losses[-1] < losses[0]
-
-
 def test_large_tables_are_not_taken_as_small(spark):
     with pytest.raises(ValueError):
         bounded.bounded(spark.range(11), 10)

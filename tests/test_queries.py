@@ -30,7 +30,7 @@ def test_same_rows_as_sql(spark, small, oracle, name):
 
 
 def test_queries_without_sql(spark, small):
-    assert set(QUERIES) - set(ORACLES) == {"kmeans_prototype", "silhouette", "greedy_near_dup"}
+    assert set(QUERIES) - set(ORACLES) == {"kmeans_prototype", "silhouette", "greedy_near_dup", "picture_near_dup", "adapter_epochs"}
     assert QUERIES["kmeans_prototype"](spark, small).count() == 16
 
 
