@@ -30,7 +30,7 @@ from loomwork.llm.shared import byte_values, column_of, mix, ranges, span_hashes
 #: Bits of the largest table of frequent phrases that is sent to all tasks (32 MB).
 TABLE_BITS = 1 << 28
 #: Rows of counts that a task gathers before it joins equal ones and gives them out: of words, and of phrases, few of which are equal.
-HELD, HELD_PHRASES = 1 << 20, 1 << 18
+HELD, HELD_PHRASES = 1 << 19, 1 << 17
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -157,7 +157,9 @@ class _Held:
         if self.tables:
             joined = pa.concat_tables(self.tables).group_by(self.keys).aggregate([("n", "sum")]).rename_columns([*self.keys, "n"])
             self.tables, self.rows = [], 0
-            yield from joined.select(self.schema.names).cast(self.schema).to_batches(1 << 16)
+            yield from joined.select(self.schema.names).cast(self.schema).to_batches(1 << 14)
+            del joined
+            pa.default_memory_pool().release_unused()
 
 
 def _word_counts(texts: DataFrame, seed: int) -> DataFrame:
@@ -194,8 +196,9 @@ def _phrase_counts(texts: DataFrame, k: int, before: Broadcast, seed: int) -> Da
                 yield from held.add([*[pa.array(words.hashes[first + i].view(np.int64)) for i in range(k)], pa.array(n)])
         yield from held.out()
 
-    counts = texts.mapInArrow(count, ", ".join(f"{w} long" for w in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
-    return counts.select(F.array(*names).alias("words"), "n")
+    counts = texts.mapInArrow(count, ", ".join(f"{w} long" for w in names) + ", n long")
+    # dealt by words first: tasks have joined what they can, so a second hash table before the shuffle would only take memory
+    return counts.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n")).select(F.array(*names).alias("words"), "n")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, table_bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
