@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # fixed values: file endings by use
 IMAGE_ENDINGS = ("jpg", "jpeg", "png", "bmp", "gif", "tiff")
+CLASS_ENDINGS = ("png", "jpg", "jpeg", "bmp", "webp")
 CONVERTED_ENDINGS = ("png", "bmp", "gif", "tiff", "webp")
 KEPT_ENDINGS = ("jpg", "jpeg")
 

@@ -7,23 +7,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.paths import IMAGE_ENDINGS, ending, folder
+from loomwork.functions.paths import CLASS_ENDINGS, IMAGE_ENDINGS, ending, folder
+from loomwork.operators.lookups import every_group
 from loomwork.storage import exists
 
 FILE_SCHEMA = "path string, length long, label string"
 
 
-def image_files(spark: SparkSession, root: str, endings: tuple[str, ...] = IMAGE_ENDINGS, recursive: bool = True, content: bool = False) -> DataFrame:
-    """(path, length, label[, content]) of the image files below a folder; none if it doesn't exist. Contents are only read if asked for."""
+def image_files(
+    spark: SparkSession, root: str, endings: tuple[str, ...] | None = None, recursive: bool = True, content: bool = False, is_valid_file: Column | None = None
+) -> DataFrame:
+    """(path, length, label[, content]) of the image files below a folder; none if it doesn't exist. Contents are only read if asked for.
+
+    Which files count is said by their endings (by default those of images, of class folders that aren't searched further) or by a condition on path and length, not by both.
+    """
+    if endings is not None and is_valid_file is not None:
+        raise ValueError("either endings or is_valid_file")
     extra = ", content binary" if content else ""
     if not exists(spark, root):
         return spark.createDataFrame([], FILE_SCHEMA + extra)
     reader = spark.read.format("binaryFile")
     found = reader.option("recursiveFileLookup", True).load(root) if recursive else reader.load(f"{root}/*/*")
-    found = found.where(ending(F.col("path")).isin(*endings))
+    found = found.where(ending(F.col("path")).isin(*(endings or (IMAGE_ENDINGS if recursive else CLASS_ENDINGS))) if is_valid_file is None else is_valid_file)
+    if not recursive:  # the pattern also lists what lies in folders of the second level
+        found = found.where(F.col("path").rlike("\\Q" + root.rstrip("/").split(":", 1)[-1] + "\\E/[^/]+/[^/]+$"))
     return found.select("path", "length", folder(F.col("path")).alias("label"), *(["content"] if content else []))
 
 
@@ -43,14 +53,9 @@ def class_index(labels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def mapped(files: DataFrame, class_map: DataFrame, allow_empty: bool = False) -> DataFrame:
-    """`files` with the `target` classes of their folders (class_map: target, folder). A target without files is an error unless allowed."""
+    """`files` with the `target` classes of their folders (class_map: target, folder). Unless allowed, a target without files is an error when the result is read."""
     found = files.join(F.broadcast(class_map), files["label"] == class_map["folder"]).drop("folder")
-    if not allow_empty:
-        missing = [r[0] for r in class_map.join(files.select("label").distinct(), F.col("folder") == F.col("label"), "left_anti").select("target").distinct().collect()]
-        full = [r[0] for r in found.select("target").distinct().collect()]
-        if lacking := sorted(set(missing) - set(full)):
-            raise FileNotFoundError(f"no files for {lacking}")
-    return found
+    return found if allow_empty else every_group(found, class_map, "target", "files")
 
 
 def split_files(spark: SparkSession, dataset: str, split: str, **options) -> DataFrame:
