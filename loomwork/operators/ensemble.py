@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loomwork.operators.metrics import with_figures
 
@@ -61,7 +65,52 @@ def cascade(rows: DataFrame, key: str, cheap: Column, verdict: Callable[[DataFra
     return marked.join(judged, F.col(key) == F.col("_k"), "left").withColumn("final", final).drop("_k", "yes")
 
 
+def _counts() -> dict[str, Column]:
+    return {"seen": F.count("*"), "first": F.count_if("first"), "confirmed": F.count_if("final"), "demoted": F.count_if(F.col("first") & ~F.col("final"))}
+
+
 def cascade_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, seen, first, confirmed, demoted) of a cascade's rows: how many passed the cheap test, and what the costly one made of them."""
-    counts = {"seen": F.count("*"), "first": F.count_if("first"), "confirmed": F.count_if("final"), "demoted": F.count_if(F.col("first") & ~F.col("final"))}
-    return rows.groupBy(*by).agg(*[c.alias(name) for name, c in counts.items()])
+    return rows.groupBy(*by).agg(*[c.alias(name) for name, c in _counts().items()])
+
+
+def observed_cascade(
+    rows: DataFrame, key: str, cheap: Callable[[pd.DataFrame], np.ndarray], costly: Callable[[pd.DataFrame], np.ndarray], inputs: list[str], name: str = "cascade"
+) -> tuple[DataFrame, Observation]:
+    """(key, first, final) of a cascade of two functions of a batch of `inputs`, and an observation: once the result has been written or read
+    in full, it has the cascade's counts and the seconds that either stage took, summed over all tasks. All come from that very run.
+
+    The costly function gets only the rows of a batch that pass the cheap one. A missing answer is a no.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for batch in batches:
+            at = [time.perf_counter()]
+            first = np.asarray(pd.Series(cheap(batch[inputs])).fillna(False), bool)
+            at.append(time.perf_counter())
+            final = np.zeros(len(batch), bool)
+            if first.any():
+                final[first] = np.asarray(pd.Series(costly(batch.loc[first, inputs])).fillna(False), bool)
+            at.append(time.perf_counter())
+            each = {f"_{n}": (b - a) / max(len(batch), 1) for n, a, b in zip(("first", "second"), at[:-1], at[1:], strict=True)}
+            yield pd.DataFrame({key: batch[key], "first": first, "final": final, **each})
+
+    observation = Observation(name)
+    columns = list(dict.fromkeys([key, *inputs]))
+    judged = rows.select(*columns).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, first boolean, final boolean, _first double, _second double")
+    seconds = {"first_seconds": F.sum("_first"), "second_seconds": F.sum("_second")}
+    observed = judged.observe(observation, *[c.alias(n) for n, c in (_counts() | seconds).items()])
+    return observed.select(key, "first", "final"), observation
+
+
+def model_verdict(load: Callable[[], Callable[..., np.ndarray]], inputs: list[str], key: str, batch_size: int = 64, shapes: list[list[int] | None] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A cascade's verdict by a pluggable model: `load` is called once in each worker and gives a function from arrays of the inputs to one
+    number for each row (above 0.5: yes)."""
+
+    def verdict(rows: DataFrame) -> DataFrame:
+        predict = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=shapes)
+        return rows.select(F.col(key), (predict(*[F.col(c) for c in inputs]) > 0.5).alias("yes"))
+
+    return verdict

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from loomwork.sources.images import class_index as index_of
 from loomwork.sources.images import first_listed as listed_of
 from loomwork.sources.images import paired_folders as pairs_of
 from loomwork.sources.images import unmapped_folders as unmapped_of
+from loomwork.sources.ingest import feature_table, ingest
 from loomwork.sources.sinks import rename_manifest as manifest
-from loomwork.storage import checkpointed
+from loomwork.storage import checkpointed, shared_folder
 
 #: The beginning of the names of the files (by source) that all others are compared with.
 REFERENCE = "src1"
@@ -147,11 +150,21 @@ def url_files(spark, sf_dir):
     return rows.select("page_id", paths.basename(F.col("p")).alias("name"), paths.ending(F.col("p")).alias("ending"), paths.folder(F.col("p")).alias("folder"), paths.is_image(F.col("p"), ("html", "htm")).alias("is_page"))
 
 
+def ingested_contents(spark, sf_dir):
+    """The different contents of the documents, as a stream of their files brings them into a feature table."""
+    source = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(source).schema
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    # as a pattern, which may be one file or a folder of them
+    ingest(spark, f"{source}*", schema, f"{base}/table", f"{base}/checkpoint", F.col("text"), "doc_id")
+    return feature_table(spark, f"{base}/table", schema).select("content_hash", F.length("text").cast("long").alias("chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         exact_dup_delete, exact_dup_keep, perceptual_hash, hamming_semi_join, greedy_near_dup, contamination, ext_filter_manifest, rename_manifest,
-        merge_rename, class_index, paired_folders, unmapped_folders, first_listed, relabelled, url_files,
+        merge_rename, ingested_contents, class_index, paired_folders, unmapped_folders, first_listed, relabelled, url_files,
     )
 }
 
@@ -168,6 +181,7 @@ pw as (select i as b, case when i = 63 then (-9223372036854775808)::bigint else
 hashed as (select f.*, phash, dhash, whash from f join phash using (doc_id) join dhash using (doc_id) join whash using (doc_id))"""
 
 ORACLES = {
+    "ingested_contents": "select distinct md5(text) as content_hash, length(text)::bigint as chars from documents where text is not null",
     "exact_dup_delete": f"with {FILES_SQL} select path, 'same content' as reason, matched as duplicate_of from f join {_REF} r using (content) where name not like 'src1%'",
     "exact_dup_keep": f"with {FILES_SQL} select path, md5(content) as md5 from f where name not like 'src1%' and (content is null or content not in (select content from f where name like 'src1%' and content is not null))",
     "perceptual_hash": f"with {_HASHED} select doc_id, phash, dhash, whash from hashed",
