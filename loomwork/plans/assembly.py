@@ -52,6 +52,13 @@ def simple_negatives(spark, sf_dir):
     return sampling.dealt(requests, pool, [], "page_id", "simple").select("cls", "page_id")
 
 
+def shuffled_simple_negatives(spark, sf_dir):
+    """The same with the classes' requests served in a random order."""
+    requests = _sizes(_items(spark, sf_dir)).select("cls", F.expr("n div 4").alias("quota")).withColumn("turn", sampling.draw("serve", "cls"))
+    pool = table(spark, sf_dir, "pages").select("page_id")
+    return sampling.dealt(requests, pool, [], "page_id", "simple").select("cls", "page_id")
+
+
 def hard_negatives(spark, sf_dir):
     """Vectors of the class that a target is confused with, half as many as the target has."""
     items = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -62,7 +69,9 @@ def hard_negatives(spark, sf_dir):
 
 def balanced_positives(spark, sf_dir):
     items = _items(spark, sf_dir)
-    return sampling.pick_per_group(items, ["cls"], "path", balance.smallest_class(_sizes(items)), "balance")
+    # as a column, so that ranks are counted in two steps: the smallest class may be large too
+    least = F.lit(balance.smallest_class(_sizes(items)))
+    return sampling.pick_per_group(items.withColumn("_least", least), ["cls"], "path", "_least", "balance").drop("_least")
 
 
 def unique_cross_negatives(spark, sf_dir):
@@ -138,7 +147,7 @@ def distinct_paths(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        positives_nested, cross_negatives, cross_negatives_topup, simple_negatives, hard_negatives, balanced_positives, unique_cross_negatives,
+        positives_nested, cross_negatives, cross_negatives_topup, simple_negatives, shuffled_simple_negatives, hard_negatives, balanced_positives, unique_cross_negatives,
         balanced_subset, mixed_dataset, balance_check, source_balance_check, negative_distribution, repeated_negatives, question_category, conversation_pairs, distinct_paths,
     )
 }
@@ -173,6 +182,7 @@ ORACLES = {
     "cross_negatives": f"with {_CROSS} select * from cr",
     "cross_negatives_topup": f"with {_TOPUP} select * from tu",
     "simple_negatives": f"with {_ITEMS}, {_SIMPLE} select * from si",
+    "shuffled_simple_negatives": f"with {_ITEMS}, {_SIMPLE.replace('order by cls', 'order by md5($$serve:$$ || cls)')} select * from si",
     "hard_negatives": f"with {_HARD} select * from ha",
     "balanced_positives": f"with {_ITEMS} select cls, path from (select *, row_number() over (partition by cls order by md5('balance:' || path), path) as r from it) where r <= (select min(n) from sz)",
     "unique_cross_negatives": f"with {_UNIQUE} select * from uc",

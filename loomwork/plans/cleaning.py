@@ -13,6 +13,7 @@ from loomwork.operators.contamination import contained
 from loomwork.plans.tables import ENDINGS, FILES_SQL, files, table, texts
 from loomwork.sources.images import class_index as index_of
 from loomwork.sources.images import first_listed as listed_of
+from loomwork.sources.images import mapped
 from loomwork.sources.images import paired_folders as pairs_of
 from loomwork.sources.images import unmapped_folders as unmapped_of
 from loomwork.sources.ingest import feature_table, ingest
@@ -119,6 +120,12 @@ def _folder_map(spark):
     return spark.createDataFrame(FOLDER_MAP, "folder string, target string")
 
 
+def mapped_classes(spark, sf_dir):
+    """How many files the targets of a class map have, which stands for its folders: one language against all others."""
+    classes = spark.createDataFrame([("positive", "en"), *[("rest", x) for x in ("fr", "de", "es")]], "target string, folder string")
+    return mapped(files(spark, sf_dir).select("label"), classes).groupBy("target").agg(F.count("*").alias("files"))
+
+
 def paired_folders(spark, sf_dir):
     """The pairs of the folder map whose both sides have files: languages on the left, sources on the right."""
     return pairs_of(_folder_map(spark), files(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("source").alias("label")))
@@ -164,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_dup_delete, exact_dup_keep, perceptual_hash, hamming_semi_join, greedy_near_dup, contamination, ext_filter_manifest, rename_manifest,
-        merge_rename, ingested_contents, class_index, paired_folders, unmapped_folders, first_listed, relabelled, url_files,
+        merge_rename, ingested_contents, class_index, mapped_classes, paired_folders, unmapped_folders, first_listed, relabelled, url_files,
     )
 }
 
@@ -195,6 +202,7 @@ select *, count(*) over (partition by new_path) > 1 as collides from m""",
 select *, count(*) over (partition by new_path) > 1 as collides from m""",
     "merge_rename": f"""with {FILES_SQL}, l as (select label, max(regexp_extract(name, '^src([0-9]+)_', 1)::int) as last from f group by label)
 select path, label || (row_number() over (partition by label order by name) + last) || '.jpg' as new_name from f join l using (label)""",
+    "mapped_classes": f"with {FILES_SQL} select case when label = 'en' then 'positive' else 'rest' end as target, count(*) as files from f group by target",
     "paired_folders": f"""with {FILES_SQL} select * from (values {", ".join(map(str, FOLDER_MAP))}) m(folder, target) where folder in (select label from f) and target in (select source from documents)""",
     "unmapped_folders": f"with {FILES_SQL} select label, count(*) as files from f where label not in ({', '.join(repr(a) for a, _ in FOLDER_MAP)}) group by label",
     "first_listed": f"""with {FILES_SQL} select path, contains(path, '_1') as easy, case when size >= 2000 then 'long' when label in ('en', 'fr') then label end as category from f""",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions import paths, ratios
 from loomwork.functions.vectors import micro
-from loomwork.operators import adapter, dedup, ensemble, metrics, prototypes, scoring, sweep
-from loomwork.plans.tables import SHOTS, TARGETS, figures_sql, micro_sql, scores_sql, table, targets, vectors
-from loomwork.storage import checkpointed
+from loomwork.operators import adapter, ensemble, lookups, metrics, prototypes, scoring, sweep
+from loomwork.plans.tables import SHOTS, TARGETS, figures_sql, micro_sql, scores_sql, table, targets, unit_sql, vectors
+from loomwork.storage import checkpointed, stored
 
 K = (1, 3, 5)
 #: The class whose rows don't count in top-k accuracy.
@@ -86,6 +87,13 @@ def classification_report(spark, sf_dir):
     return report.select("name", *[micro(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+def class_metrics(spark, sf_dir):
+    """Each class's figures and their average."""
+    figures = metrics.with_figures(metrics.one_vs_rest(_matrix(spark, sf_dir), _all_classes(spark, sf_dir))).withColumn("accuracy", ratios.accuracy())
+    columns = ["precision", "recall", "f1", "accuracy"]
+    return metrics.with_average(figures, "cls", columns).select("cls", *[micro(F.col(c)).alias(c) for c in columns])
+
+
 def binary_confusion(spark, sf_dir):
     """Each target class against its confuser by the larger similarity; a row for each figure."""
     scored = _scored(spark, sf_dir).select("vec_id", "label", F.map_from_entries("scores").alias("s"))
@@ -132,7 +140,8 @@ def _passes(spark, sf_dir, view, rows):
 
 
 def _union(spark, sf_dir):
-    one, two = (_passes(spark, sf_dir, v, _pairs(spark, sf_dir, v)) for v in ("en", "cn"))
+    # stored, as thresholds are found from the scores and then compared with them
+    one, two = (_passes(spark, sf_dir, v, stored(_pairs(spark, sf_dir, v))) for v in ("en", "cn"))
     return ensemble.union_of(one, two, ["cls", "label", "name"])
 
 
@@ -149,6 +158,15 @@ def union_export(spark, sf_dir):
     return kept.select("cls", "name", micro(F.col("en_sim")).alias("en_sim"), micro(F.col("cn_sim")).alias("cn_sim"), "en_pass", "cn_pass", "source_path")
 
 
+def union_marks(spark, sf_dir):
+    """Every file of either model with what the two say of it, as their report shows it."""
+    marked = [paths.pass_mark(F.col(f"{m}_sim"), F.lit(0.5)).alias(f"{m}_mark") for m in ("en", "cn")]
+    shown = [F.coalesce(micro(F.col(f"{m}_sim")).cast("string"), F.lit("N/A")).alias(f"{m}_text") for m in ("en", "cn")]
+    one, two = (_pairs(spark, sf_dir, v).select("cls", "label", "vec_id", F.col("sim").alias(f"{v}_sim")) for v in ("en", "cn"))
+    # the second model hasn't seen every seventh file
+    return one.join(two.where(F.col("vec_id") % 7 != 0), ["cls", "label", "vec_id"], "full_outer").select("cls", "vec_id", *marked, *shown)
+
+
 def or_predictions(spark, sf_dir):
     limit = F.lit(0.5)
     return ensemble.or_predictions(_pairs(spark, sf_dir, "en"), _pairs(spark, sf_dir, "cn"), ["vec_id", "label", "cls"], (limit, limit))
@@ -179,6 +197,19 @@ def prototype_centroid(spark, sf_dir):
     return prototypes.centroids(shots, "label").select("cls", F.posexplode("vec").alias("i", "x")).select("cls", "i", micro(F.col("x")).alias("x_micro"))
 
 
+def cache_key_means(spark, sf_dir):
+    """Cache keys of items that are seen twice, by either encoder: the mean of both vectors, a unit vector again."""
+    seen = [vectors(spark, sf_dir, v).withColumn("epoch", F.lit(i)) for i, v in enumerate(("en", "cn"))]
+    keys = prototypes.cache_keys(seen[0].unionByName(seen[1]), "vec_id", "label")
+    return keys.select("key_id", "label", F.posexplode("vec").alias("i", "x")).select("key_id", "label", "i", micro(F.col("x")).alias("x_micro"))
+
+
+def looked_up(spark, sf_dir):
+    """The reference items with their vectors' first component, each of which has to be there."""
+    features = vectors(spark, sf_dir).select("vec_id", F.get("vec", F.lit(0)).alias("x"))
+    return lookups.complete_lookup(fewshot_sample(spark, sf_dir), features, "vec_id", ["x"]).select("vec_id", "label", micro(F.col("x")).alias("x_micro"))
+
+
 def image_text_mean(spark, sf_dir):
     both = vectors(spark, sf_dir, "en").withColumnRenamed("vec", "a").join(vectors(spark, sf_dir, "cn").select("vec_id", F.col("vec").alias("b")), "vec_id")
     return prototypes.pair_mean(both, "label", "a", "b").select("cls", F.posexplode("vec").alias("i", "x")).select("cls", "i", micro(F.col("x")).alias("x_micro"))
@@ -188,6 +219,12 @@ def outlier_trim(spark, sf_dir):
     return prototypes.trimmed(vectors(spark, sf_dir), "label").select("vec_id", "label", "kept")
 
 
+def trimmed_prototype(spark, sf_dir):
+    """The mean of each class's items without the farthest 5 %."""
+    means = prototypes.trimmed_mean(vectors(spark, sf_dir), "label")
+    return means.select("cls", F.posexplode("vec").alias("i", "x")).select("cls", "i", micro(F.col("x")).alias("x_micro"))
+
+
 def _with_cache(spark, sf_dir):
     shots, rest = _split(spark, sf_dir, "all")
     scored = scoring.class_scores(rest, prototypes.centroids(shots, "label"))
@@ -248,9 +285,9 @@ def silhouette(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_scores, zero_shot_argmax, softmax_probs, topk_accuracy, ovr_confusion, confusion_matrix, macro_f1_eps, classification_report,
+        cosine_scores, zero_shot_argmax, softmax_probs, topk_accuracy, ovr_confusion, confusion_matrix, macro_f1_eps, classification_report, class_metrics,
         binary_confusion, threshold_curve, threshold_sweep_best, threshold_summary, linspace_sweep_best, overlap_sweep_best, union_ensemble_metrics,
-        union_sample_counts, union_export, or_predictions, cascade_filter, cascade_counts, fewshot_sample, prototype_centroid, image_text_mean, outlier_trim,
+        union_sample_counts, union_export, union_marks, or_predictions, cascade_filter, cascade_counts, fewshot_sample, prototype_centroid, cache_key_means, looked_up, image_text_mean, outlier_trim, trimmed_prototype,
         cache_logits, grid_search, adapter_epochs, kmeans_prototype, silhouette,
     )
 }
@@ -307,6 +344,10 @@ un as (select cls, label, name, en_sim, cn_sim, coalesce(en_pass, false) as en_p
 _CACHE = f"""{_S},
 k as (select s.vec_id, r.label as cls, list_sum(list_transform(list_zip(s.v, r.v), lambda q: q[1] * q[2])) as a, r.vec_id as key_id from (select * from i_all anti join r_all using (vec_id)) s cross join r_all r)"""
 
+_TRIM = """mm as (select label, list(m order by j) as m from (select label, j, sum(floor(v[j] * 1e6)::bigint)::double / 1e6 / count(*)::double as m from i_all, range(1, 65) t(j) group by label, j) group by label),
+far as (select vec_id, i.label, 1 - list_sum(list_transform(list_zip(v, m), lambda q: q[1] * q[2])) as d from i_all i join mm using (label)),
+edge as (select label, quantile_cont(d, 0.95) as e from far group by label)"""
+
 ORACLES = {
     "cosine_scores": f"with {_S} select vec_id, label, cls, {micro_sql('sim')} as sim_micro from s_all",
     "zero_shot_argmax": f"with {_ARGMAX} select * from a",
@@ -322,6 +363,9 @@ w as (select sum(tp)::double / sum(support) as acc, sum(support)::bigint as supp
 x as (select name, precision, recall, f1, support from g union all select 'accuracy', acc, acc, acc, support from w union all select 'macro avg', m_precision, m_recall, m_f1, support from w
   union all select 'weighted avg', w_precision, w_recall, w_f1, support from w)
 select name, {", ".join(f"{micro_sql(c)} as {c}" for c in ("precision", "recall", "f1"))}, support from x""",
+    "class_metrics": f"""with {_OVR}, g as (select cls::varchar as cls, {figures_sql()}, (tp + tn)::double / (tp + fp + fn + tn) as accuracy from c),
+x as (select * from g union all select 'Average', avg(precision), avg(recall), avg(f1), avg(accuracy) from g)
+select cls, {", ".join(f"{micro_sql(c)} as {c}" for c in ("precision", "recall", "f1", "accuracy"))} from x""",
     "binary_confusion": f"""with {_S}, z as (select a.vec_id, a.label, a.cls, a.label = a.cls as y, a.sim >= b.sim as p from s_all a join s_all b on a.vec_id = b.vec_id and b.cls = a.cls + {TARGETS} where a.cls < {TARGETS} and a.label in (a.cls, a.cls + {TARGETS})),
 c as (select cls, count(*) filter (where y and p) as tp, count(*) filter (where not y and p) as fp, count(*) filter (where y and not p) as fn, count(*) filter (where not y and not p) as tn from z group by cls),
 f as (select cls, tp::double as tp, fp::double as fp, fn::double as fn, tn::double as tn, {figures_sql()} from c)
@@ -337,6 +381,8 @@ select cls, {", ".join(f"{micro_sql(c)} as {c}" for c in ("threshold", "f1", "pr
     "union_sample_counts": f"""with {_UNION} select cls, count(en_sim) as en_total, count(cn_sim) as cn_total, count(*) filter (where en_pass) as en_correct, count(*) filter (where cn_pass) as cn_correct,
   count(*) filter (where en_pass and cn_pass) as both, count(*) filter (where en_pass or cn_pass) as union_total from un where label = cls group by cls""",
     "union_export": f"with {_UNION} select cls, name, {micro_sql('en_sim')} as en_sim, {micro_sql('cn_sim')} as cn_sim, en_pass, cn_pass, source_path from un where label = cls and (en_pass or cn_pass)",
+    "union_marks": f"""with {_pairs_sql('en')}, {_pairs_sql('cn')} select cls, vec_id, case when a.sim >= 0.5 then 'yes' else 'no' end as en_mark, coalesce({micro_sql('a.sim')}::varchar, 'N/A') as en_text,
+  case when b.sim >= 0.5 then 'yes' else 'no' end as cn_mark, coalesce({micro_sql('b.sim')}::varchar, 'N/A') as cn_text from q_en a full join (select * from q_cn where vec_id % 7 <> 0) b using (cls, vec_id)""",
     "or_predictions": f"with {_pairs_sql('en')}, {_pairs_sql('cn')} select vec_id, a.label, cls, case when a.sim >= 0.5 or b.sim >= 0.5 then 0 else 1 end::int as pred from q_en a join q_cn b using (vec_id, cls)",
     "cascade_filter": """with l as (select doc_id, max(quality) as q, max(toxic) as t from labels group by doc_id)
 select doc_id, n_chars >= 500 as "first", n_chars >= 500 and coalesce(q = 1 and t = 0, false) as "final" from documents left join l using (doc_id)""",
@@ -347,9 +393,13 @@ select count(*) as seen, count(*) filter (where a) as "first", count(*) filter (
     "prototype_centroid": f"with {_S} select cls, (j - 1)::int as i, {micro_sql('pv[j]')} as x_micro from p_all, range(1, 65) t(j)",
     "image_text_mean": f"""with {scores_sql("en")}, {scores_sql("cn")}, h as (select a.label as cls, list_transform(list_zip(a.v, b.v), lambda q: (q[1] + q[2]) / 2) as v from i_en a join i_cn b using (vec_id))
 select cls, (j - 1)::int as i, {micro_sql("sum(floor(v[j] * 1e6)::bigint)::double / 1e6 / count(*)::double")} as x_micro from h, range(1, 33) t(j) group by cls, j""",
-    "outlier_trim": f"""with {_S}, mm as (select label, list(m order by j) as m from (select label, j, sum(floor(v[j] * 1e6)::bigint)::double / 1e6 / count(*)::double as m from i_all, range(1, 65) t(j) group by label, j) group by label),
-far as (select vec_id, i.label, 1 - list_sum(list_transform(list_zip(v, m), lambda q: q[1] * q[2])) as d from i_all i join mm using (label)),
-edge as (select label, quantile_cont(d, 0.95) as e from far group by label) select vec_id, label, d <= e + 1e-12 as kept from far join edge using (label)""",
+    "cache_key_means": f"""with {scores_sql("en")}, {scores_sql("cn")}, b as (select vec_id, v from i_en union all select vec_id, v from i_cn),
+m as (select vec_id, list(m order by j) as m from (select vec_id, j, sum(floor(v[j] * 1e6)::bigint)::double / 1e6 / count(*)::double as m from b, range(1, 33) t(j) group by vec_id, j) group by vec_id),
+u as (select vec_id, {unit_sql("m")} as v from m) select u.vec_id as key_id, label, (j - 1)::int as i, {micro_sql("u.v[j]")} as x_micro from u join i_en using (vec_id), range(1, 33) t(j)""",
+    "looked_up": f"with {_S} select vec_id, label, {micro_sql('v[1]')} as x_micro from r_all",
+    "trimmed_prototype": f"""with {_S}, {_TRIM}, kept as (select i.label, v from i_all i join far using (vec_id) join edge on edge.label = i.label where d <= e + 1e-12)
+select label as cls, (j - 1)::int as i, {micro_sql("sum(floor(v[j] * 1e6)::bigint)::double / 1e6 / count(*)::double")} as x_micro from kept, range(1, 65) t(j) group by label, j""",
+    "outlier_trim": f"with {_S}, {_TRIM} select vec_id, label, d <= e + 1e-12 as kept from far join edge using (label)",
     "cache_logits": f"""with {_CACHE}, c as (select vec_id, cls, list_sum(list(exp(-({BETA}::double - {BETA}::double * a)) order by key_id)) * 10 as c from k group by vec_id, cls)
 select vec_id, cls, {micro_sql(f"(sim * 100 + {ALPHA}::double * coalesce(c, 0))")} as logit_micro from s_all left join c using (vec_id, cls)""",
     "grid_search": f"""with {_CACHE}, gr as (select b as bi, a as ai, b * {GRID_SCALE[0]}::double / {GRID_STEPS[0]} + 0.01::double as beta, a * {GRID_SCALE[1]}::double / {GRID_STEPS[1]} + 0.01::double as alpha from range(0, {GRID_STEPS[0]}) x(b), range(0, {GRID_STEPS[1]}) y(a)),
