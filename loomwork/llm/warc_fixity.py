@@ -4,12 +4,13 @@ Records are laid out in order, each with its ordinal and its byte range. `merkle
 node of each further level hashes the leaves or nodes of a fixed range of `fanout` numbers, and its byte range, which isn't
 hashed, spans theirs.
 
-The audit's leaves are numbered by page_id and hash the digests and lengths of the page's records, not their places. So a
-record that is cut, lost or added anywhere changes its own leaf and the nodes above it, and no others. Two replicas are compared
-from the top: only the children of nodes that differ are looked at on the next level, down to the pages, whose records are then
-matched by content. What is left of a page is changed as far as both replicas have records left, the rest is missing or added.
-A record without page_id has no place of its own: its leaf is numbered by its digest, in a tree beside the other one, and a
-changed one is a missing one and an added one.
+The audit's leaves are a page each, and hash the digests and lengths of the page's records, not their places. They are numbered by the
+original's manifest: a page has the ordinal of its first record there, in either replica. So numbers are dense whatever the page_ids
+are, every level has a `fanout`-th of the nodes of the one below, and a record that is cut, lost or added anywhere changes its own
+leaf and the nodes above it, and no others. Two replicas are compared from the top: only the children of nodes that differ are
+looked at on the next level, down to the pages, whose records are then matched by content. What is left of a page is changed as far as
+both replicas have records left, the rest is missing or added. Pages that the manifest hasn't have no number; they are added.
+A record without page_id is a page of its own by its digest; a changed one is a missing one and an added one.
 
 The order is found by a range partition whose place is stored; ordinals and offsets add up the partitions' sums, so no task sees
 all rows. Nodes have `fanout` children at most. Defined cases: null urls or pages count as empty; records are ordered by page_id
@@ -19,10 +20,12 @@ added ones the replica's; two empty replicas agree; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.anchors import stored
+from loomwork.storage import stored
 
 FANOUT = 64
 
@@ -50,43 +53,47 @@ def laid_out(records: DataFrame, partitions: int | None = None) -> DataFrame:
     return rows.select("page_id", (F.col("n0") + F.col("r") - 1).alias("ordinal"), offset.alias("offset"), "octets", "digest", F.sha2(F.concat_ws(":", offset.cast("string"), F.col("octets").cast("string"), F.col("digest")), 256).alias("leaf"))
 
 
+_KEY = ["page_id", "own"]
+
+
+def _keyed(laid: DataFrame) -> DataFrame:
+    """`laid` with `own`: the digest of a record without page_id, which stands for its page."""
+    return laid.withColumn("own", F.when(F.col("page_id").isNull(), F.col("digest")))
+
+
+def _same_page(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in _KEY])
+
+
 def page_leaves(laid: DataFrame) -> DataFrame:
-    """(tree, ordinal, leaf, offset, octets): a leaf of each page_id, and in a tree of its own one of each digest without page_id."""
-    numbered = F.col("page_id").isNotNull()
-    number = F.when(numbered, F.col("page_id").cast("long")).otherwise(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    """(page_id, own, first, leaf, offset, octets): a leaf of each page, and the ordinal of its first record."""
     # equal records first become one with a count, so that copies don't meet in one leaf's list
-    once = laid.groupBy((~numbered).cast("int").alias("tree"), number.alias("ordinal"), "digest", "octets").agg(F.count("*").alias("n"), F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("octets")).alias("end"))
+    once = _keyed(laid).groupBy(*_KEY, "digest", "octets").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("octets")).alias("end"))
     records = F.array_sort(F.collect_list(F.concat_ws(":", "digest", F.col("octets").cast("string"), F.col("n").cast("string"))))
-    leaves = once.groupBy("tree", "ordinal").agg(F.sha2(F.array_join(records, ","), 256).alias("leaf"), F.min("begin").alias("offset"), F.max("end").alias("end"))
-    return leaves.select("tree", "ordinal", "leaf", "offset", (F.col("end") - F.col("offset")).alias("octets"))
-
-
-def _parent(fanout: int) -> Column:
-    """The fixed range of numbers that a node is in; below 0 ranges are those of floor division."""
-    return F.expr(f"node div {fanout} - if(node % {fanout} < 0, 1, 0)")
+    leaves = once.groupBy(*_KEY).agg(F.min("first").alias("first"), F.sha2(F.array_join(records, ","), 256).alias("leaf"), F.min("begin").alias("offset"), F.max("end").alias("end"))
+    return leaves.select(*_KEY, "first", "leaf", "offset", (F.col("end") - F.col("offset")).alias("octets"))
 
 
 def merkle_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The tree's levels, leaves first and the top last: (tree, node, hash, begin, end). Numbers below 0 have a top node of their own."""
-    tree = F.col("tree") if "tree" in leaves.columns else F.lit(0).alias("tree")
-    leaves = stored(leaves.withColumn("tree", tree))
-    levels = [leaves.select("tree", F.col("ordinal").alias("node"), F.col("leaf").alias("hash"), F.col("offset").alias("begin"), (F.col("offset") + F.col("octets")).alias("end"))]
-    low, high = (x or 0 for x in leaves.agg(F.min("ordinal"), F.max("ordinal")).first())
-    while low < -1 or high > 0 or len(levels) == 1:
+    """The tree's levels over leaves (ordinal, leaf, offset, octets), leaves first and the top last: (node, hash, begin, end)."""
+    leaves = stored(leaves.select("ordinal", "leaf", "offset", "octets"))
+    levels = [leaves.select(F.col("ordinal").alias("node"), F.col("leaf").alias("hash"), F.col("offset").alias("begin"), (F.col("offset") + F.col("octets")).alias("end"))]
+    high = leaves.agg(F.max("ordinal")).first()[0] or 0
+    while high > 0 or len(levels) == 1:
         children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
-        up = levels[-1].groupBy("tree", _parent(fanout).alias("node")).agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+        up = levels[-1].groupBy(F.expr(f"node div {fanout}").alias("node")).agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.min("begin").alias("begin"), F.max("end").alias("end"))
         levels.append(stored(up))
-        low, high = low // fanout, high // fanout
+        high //= fanout
     return levels
 
 
 def differing(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(tree, ordinal) of the leaves that differ between two trees, or that only one of them has."""
+    """(ordinal) of the leaves that differ between two trees, or that only one of them has."""
 
     def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.select(F.col("tree").alias("tree_b"), F.col("node").alias("node_b"), F.col("hash").alias("hash_b"))
-        both = a.join(b, (a["tree"] == F.col("tree_b")) & (a["node"] == F.col("node_b")), "full_outer").where(~F.col("hash").eqNullSafe(F.col("hash_b")))
-        return both.select(F.coalesce("tree", "tree_b").alias("tree"), F.coalesce("node", "node_b").alias("node"))
+        b = b.select(F.col("node").alias("node_b"), F.col("hash").alias("hash_b"))
+        both = a.join(b, F.col("node") == F.col("node_b"), "full_outer").where(~F.col("hash").eqNullSafe(F.col("hash_b")))
+        return both.select(F.coalesce("node", "node_b").alias("node"))
 
     height = max(len(one), len(other))
     one, other = ([*levels, *[None] * (height - len(levels))] for levels in (one, other))
@@ -95,25 +102,26 @@ def differing(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT
         if a is None or b is None:  # one tree is higher: all of the next level has to be compared
             continue
         if found is not None:
-            wrong = found.select(F.col("tree").alias("above"), F.col("node").alias("parent"))
-            a, b = (x.join(wrong, (F.col("tree") == F.col("above")) & (_parent(fanout) == F.col("parent")), "left_semi") for x in (a, b))
+            wrong = found.select(F.col("node").alias("parent"))
+            a, b = (x.join(wrong, F.expr(f"node div {fanout}") == F.col("parent"), "left_semi") for x in (a, b))
         found = stored(compare(a, b))
-    return found.select("tree", F.col("node").alias("ordinal"))
+    return found.select(F.col("node").alias("ordinal"))
 
 
 def audit(records: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """page_id, ordinal, offset, octets and status of every record of either replica that differs."""
     a, b = stored(laid_out(records)), stored(laid_out(replica))
-    found = differing(merkle_levels(page_leaves(a), fanout), merkle_levels(page_leaves(b), fanout), fanout)
-    pages = found.where("tree = 0").select(F.col("ordinal").alias("page"))
-    facts = ["page_id", "ordinal", "offset", "octets", "digest"]
+    ours, theirs = stored(page_leaves(a)), page_leaves(b)
+    manifest = ours.select(F.col("page_id").alias("m_page_id"), F.col("own").alias("m_own"), F.col("first").alias("number"))
+    numbered = stored(theirs.join(manifest, _same_page("", "m_"), "left").drop("m_page_id", "m_own"))
+    known = numbered.where("number is not null").select(F.col("number").alias("ordinal"), "leaf", "offset", "octets")
+    found = differing(merkle_levels(ours.withColumnRenamed("first", "ordinal"), fanout), merkle_levels(known, fanout), fanout)
+    pages = ours.join(found, F.col("first") == found["ordinal"], "left_semi").select(*_KEY)
+    pages = stored(pages.unionByName(numbered.where("number is null").select(*_KEY)).toDF("w_page_id", "w_own"))
 
     def inside(laid: DataFrame) -> DataFrame:
-        """The records of leaves that differ, those without page_id by their digest's number; `r` counts equal ones."""
-        digests = found.where("tree = 1").select(F.col("ordinal").alias("page"))
-        number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-        rows = laid.select(facts).join(pages, laid["page_id"].cast("long") == F.col("page"), "left_semi")
-        rows = rows.unionByName(laid.select(facts).where("page_id is null").join(digests, number == F.col("page"), "left_semi"))
+        """The records of pages that differ; `r` counts equal ones."""
+        rows = _keyed(laid).join(pages, _same_page("", "w_"), "left_semi").select("page_id", "ordinal", "offset", "octets", "digest")
         return rows.withColumn("r", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("ordinal")))
 
     left, right = stored(inside(a)), stored(inside(b))

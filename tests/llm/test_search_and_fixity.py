@@ -71,6 +71,25 @@ def test_audit_locates_faults_that_move_what_follows(spark):
     assert warc_fixity.audit(a, a, 8).count() == 0
 
 
+def test_levels_shrink_by_the_fan_out_on_sparse_ids(spark):
+    """Random ids of 62 bits and records without any: numbers follow the manifest, so no level is nearly as large as the one below."""
+    draw = np.random.default_rng(7)
+    rows = [(int(i), f"block {i}") for i in np.unique(draw.integers(0, 1 << 62, 900))] + [(None, f"alone {i}") for i in range(100)]
+    records = spark.createDataFrame(rows, "page_id long, block string")
+    levels = warc_fixity.merkle_levels(warc_fixity.page_leaves(warc_fixity.laid_out(records)).withColumnRenamed("first", "ordinal"), 10)
+    assert [x.count() for x in levels] == [1000, 100, 10, 1]
+    hurt = [(p, "broken" if i == 500 else b) for i, (p, b) in enumerate(rows) if i not in (3, 950)] + [((1 << 62) + 5, "new"), (None, "new alone")]
+    got = sorted((str(r["page_id"]), r["status"]) for r in warc_fixity.audit(records, spark.createDataFrame(hurt, records.schema), 10).collect())
+    assert got == sorted([(str(rows[500][0]), "changed"), (str(rows[3][0]), "missing"), ("None", "missing"), (str((1 << 62) + 5), "added"), ("None", "added")])
+
+
+def test_a_page_with_very_many_records(spark):
+    rows = [(1, f"record {i % 700}") for i in range(3000)] + [(2, "other")]
+    records = spark.createDataFrame(rows, "page_id long, block string")
+    got = warc_fixity.audit(records, spark.createDataFrame(rows[1:], records.schema)).collect()
+    assert [(r["page_id"], r["status"]) for r in got] == [(1, "missing")]
+
+
 def test_tree_is_the_hash_of_its_parts(spark):
     records = spark.createDataFrame([(i, f"block {i}") for i in range(20)], "page_id long, block string")
     levels = warc_fixity.merkle_levels(warc_fixity.laid_out(records), 4)
