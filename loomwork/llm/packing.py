@@ -28,7 +28,8 @@ from loomwork.llm.shared import checkpointed
 END_ID = 1
 #: Words whose ids a task remembers (under 200 MB).
 REMEMBERED = 700_000
-SALTS = 256
+#: Pieces of one length that one task orders, about; the number of parts follows from it.
+PART = 1 << 16
 
 _WHITE = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
@@ -157,9 +158,12 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nd
     return {"key": (at[:, 0] << 48) + at[:, 1], "rank": at[:, 1], "count": at[:, 2], "base": at[:, 3], "offset": at[:, 4]}
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, part: int = PART) -> DataFrame:
     """`pieces` with sequence_id and offset."""
-    salted = checkpointed(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")))
+    kept = checkpointed(pieces.withColumn("_salt", F.xxhash64("doc_id", "start", "ids_crc32")))
+    # so many parts that even if all pieces had one length no task would order more than a few times `part` of them
+    salts = -(-kept.count() // part) + 1
+    salted = kept.withColumn("_salt", F.pmod("_salt", F.lit(salts)))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots = salted.sparkSession.sparkContext.broadcast(_slots(packing_patterns(histogram, capacity)))
