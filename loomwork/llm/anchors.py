@@ -11,7 +11,6 @@ A text that several rows share is one content (two 64-bit hashes), so exact copi
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import byte_values, checkpointed, column_of, ensure_checkpoint_dir, gram_hashes, mix, ranges, span_hashes, text_chunks, word_bounds, word_hashes
+from loomwork.llm.shared import byte_values, checkpointed, column_of, gram_hashes, mix, ranges, span_hashes, text_chunks, word_bounds, word_hashes
+from loomwork.storage import stored
 
 #: Contexts of one k-gram that one task holds at most (about 40 MB); the windows of more frequent ones are grouped one by one.
 TASK_CONTEXTS = 65_536
@@ -67,14 +67,6 @@ class Scheme:
         return np.split(hashes, first[1:-1])
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared checkpoint folder (smaller than a checkpoint's rows) and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def contents(docs: DataFrame) -> DataFrame:
     """(doc_id, order, h1, h2, text): order is doc_id, or the largest number for a null one; a null text is empty."""
     text = F.coalesce("text", F.lit(""))

@@ -156,6 +156,21 @@ def test_quality_of_odd_tables(odd, none, texts):
     assert line_quality.line_frequency_quality(none).count() == 0
 
 
+def test_repeated_windows_of_very_long_texts(spark):
+    """Beyond 65,536 words, and on both sides of the length from which places and hashes are kept apart: figures are those of plain counting."""
+    from collections import Counter
+
+    draw = np.random.default_rng(8)
+    rows = [(n, " ".join(f"w{x}" for x in draw.integers(0, 40, n))) for n in (70_001, line_quality._PACKED_WORDS, line_quality._PACKED_WORDS + 1)] + [(9, "same " * 66_000)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in line_quality.line_frequency_quality(df).collect()}
+    for i, text in rows:
+        words = text.split()
+        grams = list(zip(words, words[1:], words[2:], strict=False))
+        often = Counter(grams)
+        assert got[i] == len({k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(3)})
+
+
 # ---- secrets
 
 
@@ -285,6 +300,48 @@ def test_pieces_cover_their_texts(odd):
         assert all(a["end"] == b["begin"] for a, b in zip(spans[:-1], spans[1:], strict=True)) and spans[0]["begin"] == 0
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_pieces_with_a_compiled_character_map(tmp_path, texts, rule, squeeze):
+    """The public vocabulary under a normaliser with a map of thousands of replacements: ids, decoded texts and spans are the library's."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, spec = proto.ModelProto(), proto.NormalizerSpec()
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    assert len(spec.precompiled_charsmap) > 10_000
+    model.normalizer_spec.precompiled_charsmap, model.normalizer_spec.remove_extra_whitespaces = spec.precompiled_charsmap, squeeze
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library, codec, draw = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCodec(path), random.Random(12)
+    odd = ["\uff21\uff22\uff23", "\ufb00", "\u2460", "\u3000", "\u00a0", "e\u0301", "\u1e9b\u0323", "\u212b", "\u3350", "\uac00\u11a8", "\u0130", "\u00df", "\u200b", "\u00ad", "\ufeff", "\u2581", "\u32ff", "\ufdfa", "\t", "\r\n", " ", "  ", "word", "x", "\U0001f600", "\u6f22", "."]
+    made = ["".join(draw.choice(odd) for _ in range(draw.randrange(1, 12))) for _ in range(600)] + [t or "" for _, t in texts] + ["", " ", "\u200b", "\u3000\u3000"]
+    replaced = 0
+    for text, (ids, n, starts, stops, decoded) in zip(made, codec.encode(made), strict=True):
+        want = library.encode(text, add_eos=True)
+        assert (ids, n, decoded) == (" ".join(map(str, want)), len(want), library.decode(want)), text
+        theirs = library.encode(text, return_type="proto")
+        source, replaced = text.encode(), replaced + (library.normalize(text) != text)
+        assert len(theirs.pieces) == len(starts)
+        spans = [(p.begin, p.end) for p in theirs.pieces]
+        for i, (ours, piece) in enumerate(zip(zip(starts.tolist(), stops.tolist(), strict=True), theirs.pieces, strict=True)):
+            begin, end = spans[i]
+            if piece.piece.startswith("<0x"):  # a byte each here; the library gives a character's last byte all of it
+                end = next(e for b, e in spans[i:] if e > b)
+                assert begin <= ours[0] <= ours[1] <= end, (text, piece)
+            elif begin == end:  # begins inside one replacement: the whole span here
+                assert ours[0] <= begin <= ours[1], (text, piece)
+            else:
+                assert ours == (begin, end), (text, piece)
+            assert 0 <= ours[0] <= ours[1] <= len(source)
+    assert replaced > 300
+
+
 # ---- packing
 
 
