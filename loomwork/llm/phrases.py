@@ -259,7 +259,7 @@ def collocations(docs: DataFrame, min_count: int = 30, longest: int = 4, best: i
     spelled = found.join(words.select(F.col("h").alias("_h"), "word"), "_h").groupBy("lang", "words", "a", "l", "r", "score")
     named = spelled.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda w: w["word"]), " ").alias("phrase"))
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase")))).where(F.col("rank") <= best)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
 #: The same in DuckDB.
@@ -278,5 +278,5 @@ longer as (select lang, k, n, string_split(phrase, ' ') as ws from f where k > 2
 inner_ as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(n) as most from (select lang, ws, n, m, unnest(range(1, k - m + 2)) as i from (select *, m from longer, (select unnest([2, 3]) as m) where m < k)) group by all),
 kept as (select best.* from best left join inner_ on inner_.lang = best.lang and inner_.phrase = best.phrase where most is null or 100 * most::hugeint < 80 * a::hugeint),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
-select ranked.lang, rank::int as rank, phrase, a, l, r, total.n, score::bigint as score from ranked join total on total.lang = ranked.lang where rank <= 2000
+select ranked.lang, rank::bigint as rank, phrase, a, l, r, total.n, score::bigint as score from ranked join total on total.lang = ranked.lang where rank <= 2000
 """
