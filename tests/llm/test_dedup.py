@@ -138,6 +138,53 @@ def test_suffix_array_of_random_strings():
         assert suffix_arrays.suffix_array(text, n + 1).tolist() == want
 
 
+def real_contexts(small, n=60):
+    """Stretches of real text, some of which share parts, as a shard holds them."""
+    import pyarrow.parquet as pq
+
+    joined = " ".join(t for t in pq.read_table(f"{small}/documents.parquet")["text"].to_pylist() if t).encode()
+    draw = np.random.default_rng(9)
+    starts = draw.integers(0, 60_000, n)
+    return [np.frombuffer(joined[a : a + int(draw.integers(450, 2000))], np.uint8) for a in starts]
+
+
+def test_shards_by_array_and_by_hash(small, monkeypatch):
+    """Both ways that a shard is solved mark the windows that plain counting finds twice."""
+    contexts = real_contexts(small)
+    often = Counter(c[i : i + 400].tobytes() for c in contexts for i in range(len(c) - 399))
+    want = [[2 if often[c[i : i + 400].tobytes()] > 1 else 1 for i in range(len(c) - 399)] for c in contexts]
+    assert any(2 in w for w in want) and any(1 in w for w in want)
+    solve, places = suffix_arrays.repeat_counts(400), np.ones(len(contexts), int)
+    assert [m.tolist() for m in solve(contexts, places, places)] == want
+    monkeypatch.setattr(suffix_arrays, "SORTED_CONTEXTS", 0)
+    monkeypatch.setattr(anchors, "BATCH_BYTES", 0)
+    assert [m.tolist() for m in solve(contexts, places, places)] == want
+
+
+def test_real_text_is_sorted_by_recursion_as_by_doubling(small, monkeypatch):
+    strings = [np.concatenate([np.concatenate([c.astype(np.uint16) + 2, [1]]) for c in real_contexts(small, n)] + [np.zeros(1)]).astype(np.uint16) for n in (3, 60)]
+    calls, real = [], suffix_arrays._doubled
+    monkeypatch.setattr(suffix_arrays, "_doubled", lambda *a: calls.append(1) or real(*a))
+    short, doubled = (suffix_arrays.suffix_array(x, len(x)) for x in strings)
+    assert short.tolist() == sorted(range(len(strings[0])), key=lambda i: strings[0][i:].astype(">u2").tobytes())
+    assert len(calls) == 1  # the longer one has more names than are induced
+    monkeypatch.setattr(suffix_arrays, "INDUCED_ALPHABET", 1 << 30)
+    assert np.array_equal(suffix_arrays.suffix_array(strings[1], len(strings[1])), doubled) and len(calls) == 1
+
+
+def test_more_very_frequent_grams_than_are_told(odd, texts, monkeypatch):
+    """The limit of what is very frequent rises until the k-grams are few enough; the rest stays with the tasks."""
+    plain = anchors.contents(odd)
+
+    def covered(limit):
+        _, runs = anchors.repeated_runs(plain, prefix_trees.scheme_of(50), prefix_trees.least_documents(50), True, limit)
+        return {(r["h1"], r["h2"]): {s["start"] + i for s in r["runs"] for i in range(s["n"])} for r in runs.collect()}
+
+    want = covered(anchors.TASK_CONTEXTS)
+    monkeypatch.setattr(anchors, "HOT_GRAMS", 3)
+    assert covered(1) == want
+
+
 def brute_words(rows, window):
     words = [WORD.findall(t or "") for _, t in rows]
     order = [2**63 - 1 if i is None else i for i, _ in rows]
