@@ -11,7 +11,7 @@ whatever its size; only what is left is compared further. Linked contents form a
 0/1 matrices count common shingles. Only sums and spanning links leave a task, never the pairs.
 
 Defined cases: a null text counts as empty; a text without words is similar to nothing, not even to its copies, and is a class of
-its own; a null doc_id stays null and is never a class id unless all of its class are null; repeated rows are copies of each
+its own; a very long text is read in one step and may be a chunk of its own, larger than others; a null doc_id stays null and is never a class id unless all of its class are null; repeated rows are copies of each
 other; an empty table gives no rows; other columns are ignored.
 """
 

@@ -8,7 +8,8 @@ is depleted and rejected.
 Each line counts once for a document before anything is shuffled, and counts are pre-aggregated, so a line that very many
 documents hold is no hot key; texts are never shuffled, only hashes and counts.
 
-Defined cases: a null text has no words, lines or symbols; a null source is a host of its own; a row is a document, so repeated
+Defined cases: a null text has no words, lines or symbols; a very long text is cut where its row is, in time in proportion to it but for the sort
+of its windows; a null source is a host of its own; a row is a document, so repeated
 rows count as often as they stand and each gets a row; null doc_ids are kept; an empty table gives no rows; other columns are ignored.
 """
 

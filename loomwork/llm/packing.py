@@ -7,7 +7,7 @@ contents are one packing pattern with a count. Every length then has ranges of r
 it, and a piece finds its sequence by its rank among the pieces of its length. Ranks are counted in salted parts, so that a
 very common length isn't ordered by one task.
 
-Defined cases: a null or empty text has only the end id; repeated rows are packed as often as they stand; a null doc_id
+Defined cases: a null or empty text has only the end id; a very long text is encoded whole by the task that reads it and then cut into pieces; repeated rows are packed as often as they stand; a null doc_id
 stays null; an empty table gives no rows; other columns are ignored. Each document's `start`s cover it without a gap.
 """
 

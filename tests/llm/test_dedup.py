@@ -1,6 +1,7 @@
 """Near-duplicate and substring operators against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -54,6 +55,24 @@ def test_jaccard_classes(corpora):
         assert rows_of(jaccard_forest.jaccard_classes(df), "doc_id", "class_id", "n_links") == brute_classes(rows)
 
 
+def test_planted_pairs_just_above_the_threshold_are_linked(spark):
+    """Texts of 60 to 300 words with a copy in which so many words are changed that 0.8 to 0.95 of the shingles are shared."""
+    draw, rows, near = random.Random(21), [], []
+    for i in range(250):
+        words = [f"v{draw.randrange(20_000)}" for _ in range(draw.randrange(60, 300))]
+        copy = list(words)
+        for _ in range(draw.randrange(1, 1 + len(words) // 40 + 1)):
+            copy[draw.randrange(len(copy))] = f"new{draw.randrange(10**6)}"
+        a, b = (set(zip(*(w[k:] for k in range(5)), strict=False)) for w in (words, copy))
+        if 0.8 <= len(a & b) / len(a | b) < 0.96:
+            near.append((2 * i, 2 * i + 1, len(a & b) / len(a | b)))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r for r in jaccard_forest.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 120 and sum(s < 0.85 for _, _, s in near) > 25
+    assert [(a, b, s) for a, b, s in near if got[a]["class_id"] != got[b]["class_id"]] == []
+    assert sum(r["class_id"] != r["doc_id"] for r in got.values()) == sum(1 for a in range(0, 500, 2) if got[a]["class_id"] == got[a + 1]["class_id"])
+
+
 def test_jaccard_keeps_one_of_each(corpora, none):
     for df, rows in corpora:
         kept = jaccard_forest.one_of_each(df)
