@@ -31,6 +31,8 @@ from loomwork.llm.shared import checkpointed, column_of, gram_hashes, linked_com
 SHINGLE_WORDS = 5
 #: A chunk of a block has about so many contents and words at most.
 CHUNK_CONTENTS, CHUNK_WORDS = 1024, 1 << 21
+#: Shared shingles that one product of matrices counts.
+PRODUCT_WIDTH = 512
 
 
 def forest_depth(trees: int, longest: int, threshold: float, recall: float) -> int:
@@ -187,9 +189,9 @@ def _verify(threshold: Fraction):
         common = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
-        for begin in range(0, width, 4096):
-            part = slice(*np.searchsorted(at, [begin, begin + 4096]))
-            has = np.zeros((len(sets), min(4096, width - begin)), np.float32)
+        for begin in range(0, width, PRODUCT_WIDTH):
+            part = slice(*np.searchsorted(at, [begin, begin + PRODUCT_WIDTH]))
+            has = np.zeros((len(sets), min(PRODUCT_WIDTH, width - begin)), np.float32)
             has[row[part], at[part] - begin] = 1
             common += has[left] @ has[right].T
         common = common.astype(np.int64)
