@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from loomwork.functions import paths
+from loomwork.functions.grids import packed_bits
 from loomwork.operators import dedup, sampling
 from loomwork.operators.contamination import contained
 from loomwork.plans.tables import ENDINGS, FILES_SQL, files, table, texts
@@ -48,19 +55,35 @@ def exact_dup_keep(spark, sf_dir):
     return dedup.content_keepers(_candidates(spark, sf_dir).withColumn("md5", content), _reference(spark, sf_dir).withColumn("md5", content), "md5").select("path", "md5")
 
 
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, leads): for each hash and each of its 64 bits, how many more words bucket i holds than bucket i + 64; equal keys of a batch are one row."""
+    for batch in batches:
+        keys, words = batch.column(0).dictionary_encode("encode"), batch.column(1)
+        rows = keys.indices.to_numpy(zero_copy_only=False)[pc.list_parent_indices(words).to_numpy(zero_copy_only=False)]
+        coded = words.flatten().dictionary_encode()
+        # a word's buckets come from the first 24 bits of its md5
+        m = np.array([int.from_bytes(md5(w.encode()).digest()[:3], "big") for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        leads = np.zeros((len(keys.dictionary), len(HASHES), 64), np.int32)
+        for i, place in enumerate(HASHES.values()):
+            found = np.bincount(rows * 128 + (m >> (16 - 4 * (place - 1)) & 127), minlength=128 * len(leads)).reshape(-1, 2, 64)
+            leads[:, i] = found[:, 0] - found[:, 1]
+        width = leads[0].size if len(leads) else 0
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(leads) + 1, dtype=np.int32) * width), pa.array(leads.ravel()))
+        yield pa.RecordBatch.from_arrays([keys.dictionary, lists], ["key", "leads"])
+
+
 def perceptual_hashes(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, phash, dhash, whash): for each hash, bit i says that bucket i holds more words than bucket i + 64.
 
-    A word's three buckets come from one number of its md5, and words are counted by it before they are parted by hash.
+    Words are counted in the task that reads their text, so that one short array a text is shuffled and none of its words. Rows of one key
+    count as one text; a key without words has no row.
     """
-    words = rows.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("w"))
-    counts = words.select(key, F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("int").alias("m")).groupBy(key, "m").agg(F.count("*").alias("n"))
-    buckets = F.array(*[F.shiftright("m", 16 - 4 * (place - 1)).bitwiseAND(127) for place in HASHES.values()])
-    spots = counts.select(key, "n", F.posexplode(buckets).alias("h", "b"))
-    lead = F.sum(F.when(F.col("b") < 64, F.col("n")).otherwise(-F.col("n")))
-    leads = spots.groupBy(key, "h", (F.col("b") % 64).alias("b")).agg(lead.alias("d"))
-    bit = F.when(F.col("d") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).otherwise(F.lit(0).cast("long"))
-    return leads.groupBy(key).agg(*[F.bit_or(F.when(F.col("h") == i, bit).otherwise(F.lit(0).cast("long"))).alias(h) for i, h in enumerate(HASHES)])
+    words = rows.select(key, F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_words")).where(F.size("_words") > 0)
+    leads = words.mapInArrow(_leads, StructType([StructField(key, rows.schema[key].dataType), StructField("_leads", ArrayType(IntegerType()))]))
+    grouped = leads.groupBy(key).agg(F.collect_list("_leads").alias("_l"))
+    several = F.aggregate("_l", F.array_repeat(F.lit(0).cast("long"), 64 * len(HASHES)), lambda total, x: F.zip_with(total, x, lambda a, b: a + b))
+    ahead = F.when(F.size("_l") == 1, F.transform(F.get("_l", F.lit(0)), lambda x: x > 0)).otherwise(F.transform(several, lambda x: x > 0))
+    return grouped.select(key, *[packed_bits(F.slice(ahead, 64 * i + 1, 64)).alias(h) for i, h in enumerate(HASHES)])
 
 
 def _hashed(spark, sf_dir):
