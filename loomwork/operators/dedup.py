@@ -37,8 +37,8 @@ def sign_hash(vec: Column, bits: int = 64) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
 
 
-def bands(value: Column, distance: int, bits: int = 64) -> Column:
-    """What a hash holds in every choice of three (fewer for few bits) of distance + 3 slices: array<struct<band, part>>.
+def band_masks(distance: int, bits: int = 64) -> list[int]:
+    """The bits, as signed numbers, of every choice of three (fewer for few bits) of distance + 3 slices.
 
     Hashes within the distance have at least three clean slices, so they agree in at least one choice. With 64 bits and a
     distance of 5 there are 56 choices of 24 bits; the 6 single slices that would do as well have 10 or 11 bits, which a large
@@ -47,23 +47,38 @@ def bands(value: Column, distance: int, bits: int = 64) -> Column:
     n = max(min(distance + 3, bits), 1)
     ends = [bits * i // n for i in range(n + 1)]
     masks = [sum((1 << ends[i + 1]) - (1 << ends[i]) for i in chosen) for chosen in combinations(range(n), max(n - distance, 0))]
-    choices = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for i, m in enumerate(masks)])
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def bands(value: Column, distance: int, bits: int = 64) -> Column:
+    """What a hash holds in each of the masks: array<struct<band, part>>."""
+    choices = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(band_masks(distance, bits))])
     return F.transform(choices, lambda c: F.struct(c["band"].alias("band"), value.bitwiseAND(c["mask"]).alias("part")))
 
 
+def first_band(a: Column, b: Column, distance: int, bits: int = 64) -> Column:
+    """The first band in which two hashes agree (null: none)."""
+    found = F.lit(None).cast("int")
+    for i, m in reversed(list(enumerate(band_masks(distance, bits)))):
+        found = F.when(a.bitwiseXOR(b).bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)).otherwise(found)
+    return found
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, distance: int, hash_column: str = "hash", bits: int = 64) -> DataFrame:
     """(left_hash, right_hash) of all distinct hashes within the distance: joined by equal bands, then verified.
 
-    Only distinct hashes meet; rows come back by an equi-join on them, so equal hashes are never paired with each other here.
+    Only distinct hashes meet; rows come back by an equi-join on them, so equal hashes are never paired with each other here. A pair
+    that meets in several bands is taken from the first of them, so the pairs aren't shuffled to find equal ones. Spark takes a table of bands
+    to be as small as its hashes, so a merge join is asked for: otherwise one with dozens of rows a hash could be broadcast.
     """
     a = left.where(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias("left_hash")).distinct()
     b = right.where(F.col(hash_column).isNotNull()).select(F.col(hash_column).alias("right_hash")).distinct()
     if distance == 0:
         return a.join(b, F.col("left_hash") == F.col("right_hash"))
     a = a.select("left_hash", F.inline(bands(F.col("left_hash"), distance, bits)))
-    b = b.select("right_hash", F.inline(bands(F.col("right_hash"), distance, bits)))
+    b = b.select("right_hash", F.inline(bands(F.col("right_hash"), distance, bits))).hint("merge")
     met = a.join(b, ["band", "part"]).where(hamming(F.col("left_hash"), F.col("right_hash")) <= distance)
-    return met.select("left_hash", "right_hash").distinct()
+    return met.where(F.col("band") == first_band(F.col("left_hash"), F.col("right_hash"), distance, bits)).select("left_hash", "right_hash")
 
 
 def near_leaks(train: DataFrame, test: DataFrame, distance: int, hash_column: str, path: str, order: str, bits: int = 64) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Perceptual hashes without a shuffle of words."""
+"""Perceptual hashes without a shuffle of words, and Hamming joins that never broadcast their bands."""
 
 import random
 from hashlib import md5
 
+import pytest
+from pyspark.sql import functions as F
+
+from loomwork.operators import dedup
 from loomwork.plans import cleaning
 
 
@@ -33,3 +37,20 @@ def test_words_are_counted_where_their_text_is_read(spark):
     want = {k: hashes_of([t for j, t in rows if j == k]) for k in {k for k, _ in rows} - {900, 901, 902}}
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
     assert "Generate" not in plan(got)  # no row for a word
+
+
+def test_no_table_of_bands_is_broadcast(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("hash"))
+    assert "Broadcast" not in plan(dedup.hamming_pairs(df, df, 5))
+
+
+@pytest.mark.parametrize(("distance", "bits"), [(5, 64), (2, 64), (5, 56), (1, 3), (3, 2), (0, 64)])
+def test_each_near_pair_once(spark, distance, bits):
+    draw = random.Random(distance * 100 + bits)
+    base = [draw.getrandbits(bits) for _ in range(30)]
+    values = {v ^ sum(1 << i for i in draw.sample(range(bits), draw.randrange(min(bits, 8)))) for v in base for _ in range(8)} | set(base) | {0}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    df = spark.createDataFrame([(v,) for v in [*values, *values, None]], "hash long")
+    got = [tuple(r) for r in dedup.hamming_pairs(df, df, distance, bits=bits).collect()]
+    want = [(a, b) for a in values for b in values if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance]
+    assert sorted(got) == sorted(want)
