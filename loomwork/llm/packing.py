@@ -61,12 +61,13 @@ class WordEncoder:
         plain = [w for w in whole if self.part and "<|" not in w]
         for at in range(0, len(plain), 2_000):
             words = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode(self.part.join(words), add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.tokenizer.token_to_id(self.part)).tolist(), len(ids)]
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(words, ends, strict=True):
-                known[word] = data[4 * begin : 4 * end]
-                begin = end + 1
+            # the fast way gives the same ids, but doesn't work out where in the text they stand
+            ids = np.array(self.tokenizer.encode_batch_fast([self.part.join(words)], add_special_tokens=False)[0].ids, "<u4")
+            parts = 4 * np.flatnonzero(ids == self.tokenizer.token_to_id(self.part))
+            if len(parts) != len(words) - 1:
+                raise ValueError("the tokenizer doesn't part words at its special token")
+            begins, ends = [0, *(parts + 4).tolist()], [*parts.tolist(), 4 * len(ids)]
+            known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, begins, ends)), strict=True))
         for word in whole.difference(plain):
             known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         for word, (stem, tail) in cut.items():
@@ -78,7 +79,7 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        self._learn({w for x in words for w in x if w not in known})
+        self._learn(set().union(*words).difference(known))
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
 

@@ -382,3 +382,29 @@ def test_patterns_hold_every_length():
             for n, times in pack:
                 placed[n] += count * times
         assert placed == Counter(histogram)
+
+
+def test_words_are_encoded_without_their_places():
+    """The tokenizer's slow way, which also works out every id's place in the text, isn't taken for words that a special token parts."""
+    import public_tokenizers
+
+    from loomwork.llm.packing import WordEncoder
+
+    texts = ["", "One word, (two) words!! one", "Straße é \x1c x<|y|> 12.5% ...", " ".join(f"w{i}x," for i in range(4500))]
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [np.array(encoder.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+    class Fast:
+        def __init__(self, real):
+            self.real, self.slow = real, []
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode(self, text, **how):
+            self.slow.append(text)
+            return self.real.encode(text, **how)
+
+    encoder.tokenizer = fast = Fast(encoder.tokenizer)
+    assert encoder.encode(texts) == want
+    assert all("<|" in x and encoder.part not in x for x in fast.slow)
