@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.shared import checkpointed, column_of, gram_hashes, linked_components, mix, ranges, set_aside, span_hashes, text_chunks, word_hashes
+from loomwork.storage import stored
 
 SHINGLE_WORDS = 5
 #: A chunk of a block has about so many contents and words at most.
@@ -117,25 +118,25 @@ def _least_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: in
 
 
 def _agreeing(least: int):
-    """Spanning links (a, b) of the signatures that agree between two chunks of a node."""
+    """Spanning links (a, b), between components, of the signatures that agree between two chunks of a node."""
 
     def links(table: pa.Table) -> pa.Table:
-        cid, chunk = table["cid"].to_numpy(), table["chunk"].to_numpy()
+        component, chunk = table["c"].to_numpy(), table["chunk"].to_numpy()
         signature = _signatures(table["signature"])
         left, right = np.flatnonzero(chunk == table["p"][0].as_py()), np.flatnonzero(chunk == table["q"][0].as_py())
         other = signature[right]
         linked = np.zeros((len(left), len(right)), bool)
         for i, x in enumerate(left):
             linked[i] = (other == signature[x]).sum(1) >= least
-        label = _least_labels(linked, left, right, len(cid))
-        some = label != np.arange(len(cid))
-        return pa.table({"a": cid[some], "b": cid[label[some]]})
+        least_of = component[_least_labels(linked, left, right, len(component))]
+        some = least_of != component
+        return pa.table({"a": component[some], "b": least_of[some]})
 
     return links
 
 
-def _likely_links(contents: DataFrame, least: int) -> DataFrame:
-    """Edges (a, b) that span the contents which share a node and whose signatures agree in `least` values.
+def _likely(contents: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cid, c): components of contents by links to the smallest one of a node, and edges (a, b) between the components, if there may be any.
 
     Each content of a node is held against the node's smallest one. Those that agree are linked, here or through others, so only
     nodes that still hold several components are looked at further: their other contents are held against all of the node,
@@ -144,7 +145,10 @@ def _likely_links(contents: DataFrame, least: int) -> DataFrame:
     signatures = contents.select("cid", "signature")
     nodes = contents.select("cid", F.explode("keys").alias("key"))
     stars = nodes.groupBy("key").agg(F.min("cid").alias("b"), F.count("*").alias("n")).where("n > 1")
-    pairs = nodes.join(stars, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    # nodes of two contents are done with their one pair, so their keys aren't kept
+    shared = stored(nodes.join(stars, "key").select(F.when(F.col("n") > 2, F.col("key")).alias("key"), "cid", "b"))
+    # no content has more pairs than there are trees, and the join by `a` needs no other partitions
+    pairs = shared.where("cid <> b").select(F.col("cid").alias("a"), "b").repartition("a").distinct()
     pairs = pairs.join(signatures.toDF("a", "s"), "a").join(signatures.toDF("b", "t"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,22 +157,40 @@ def _likely_links(contents: DataFrame, least: int) -> DataFrame:
                 same = (_signatures(column_of(batch, "s")) == _signatures(column_of(batch, "t"))).sum(1) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    first = checkpointed(linked_components(pairs.mapInArrow(near, "a long, b long")).select(F.col("node").alias("cid"), F.col("component").alias("c")))
-    placed = nodes.join(stars.where("n > 2").select("key", "b"), "key").join(first, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-    placed = placed.join(first.toDF("b", "d"), "b", "left").withColumn("rest", (F.col("c") != F.coalesce("d", "b")).cast("int")).select("key", "cid", "rest")
-    sizes = placed.groupBy("key").agg(F.sum("rest").alias("r"), F.count("*").alias("n")).where("r > 1 or (r = 1 and n > 2)")
+    first = checkpointed(linked_components(pairs.mapInArrow(near, "a long, b long")).toDF("cid", "c"))
+    placed = shared.where("key is not null").join(first, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+    mixed = placed.groupBy("key").agg(F.max(F.when(F.col("cid") == F.col("b"), F.col("c"))).alias("d"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    placed = checkpointed(placed.join(mixed, "key").select("key", "cid", "c", (F.col("c") != F.col("d")).cast("int").alias("rest")))
+    if placed.isEmpty():
+        return first, None
+    sizes = placed.groupBy("key").agg(F.sum("rest").alias("r"), F.count("*").alias("n"))
     sizes = sizes.select("key", F.ceil((F.col("n") - F.col("r")) / CHUNK_CONTENTS).cast("int").alias("before"), F.ceil(F.col("r") / CHUNK_CONTENTS).cast("int").alias("after"))
     near_chunk, rest_chunk = F.pmod(F.xxhash64("cid"), F.col("before")).cast("int"), F.pmod(F.xxhash64("cid"), F.col("after")).cast("int") + F.col("before")
     placed = placed.join(sizes, "key").withColumn("chunk", F.when(F.col("rest") == 1, rest_chunk).otherwise(near_chunk)).join(signatures, "cid")
     partners = F.sequence(F.when(F.col("rest") == 1, F.lit(0)).otherwise(F.col("before")), F.col("before") + F.col("after") - 1)
-    met = placed.withColumn("o", F.explode(partners)).select("key", F.least("o", "chunk").alias("p"), F.greatest("o", "chunk").alias("q"), "cid", "chunk", "signature")
-    more = met.groupBy("key", "p", "q").applyInArrow(_agreeing(least), "a long, b long")
-    return first.select(F.col("cid").alias("a"), F.col("c").alias("b")).unionByName(more.distinct())
+    met = placed.withColumn("o", F.explode(partners)).select("key", F.least("o", "chunk").alias("p"), F.greatest("o", "chunk").alias("q"), "c", "chunk", "signature")
+    return first, met.groupBy("key", "p", "q").applyInArrow(_agreeing(least), "a long, b long")
+
+
+def _likely_links(contents: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b) that span the contents which share a node and whose signatures agree in `least` values."""
+    first, more = _likely(contents, least)
+    links = first.select(F.col("cid").alias("a"), F.col("c").alias("b"))
+    return links if more is None else links.unionByName(more.distinct())
+
+
+def _likely_blocks(contents: DataFrame, least: int) -> DataFrame:
+    """(cid, block) of the contents that have any likely link; linked ones share a block."""
+    first, more = _likely(contents, least)
+    if more is None:
+        return first.withColumnRenamed("c", "block")
+    joined = checkpointed(linked_components(more).toDF("c", "block"))
+    alone = joined.withColumnRenamed("c", "cid").join(first, "cid", "left_anti")
+    return checkpointed(first.join(joined, "c", "left").select("cid", F.coalesce("block", "c").alias("block")).unionByName(alone))
 
 
 def _verify(threshold: Fraction):
-    """Exact links inside one chunk or between two: (cid, root, links) for contents that have any."""
-    columns = ["cid", "root", "links"]
+    """Exact links inside one chunk or between two: (cid, root, links, whole) for contents that have any; whole: the chunk is all of its block, so that roots are final."""
 
     def links(table: pa.Table) -> pa.Table:
         cid = table["cid"].to_numpy()
@@ -180,7 +202,7 @@ def _verify(threshold: Fraction):
         p, q = table["p"][0].as_py(), table["q"][0].as_py()
         left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
         if not len(left) or not len(right) or len(cid) < 2:
-            return pa.table({c: pa.array([], pa.int64()) for c in columns})
+            return pa.table({c: pa.array([], kind) for c, kind in (("cid", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("whole", pa.bool_()))})
         _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size)
         shared = often[at] > 1
@@ -205,7 +227,7 @@ def _verify(threshold: Fraction):
         # spanning links: every content takes the least label that it can reach here
         label = _least_labels(linked, left, right, len(cid))
         some = total > 0
-        return pa.table({"cid": cid[some], "root": cid[label[some]], "links": total[some]})
+        return pa.table({"cid": cid[some], "root": cid[label[some]], "links": total[some], "whole": np.full(some.sum(), table["chunks"][0].as_py() == 1)})
 
     return links
 
@@ -226,9 +248,7 @@ def _placed(docs: DataFrame, threshold: float, trees: int = 32, longest: int = 8
     # the checkpoint's files fix the order of rows, so this number names a content for good
     contents = checkpointed(contents).withColumn("cid", F.monotonically_increasing_id())
 
-    edges = _likely_links(contents, least_agreement(trees * depth, threshold))
-    blocks = checkpointed(linked_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("block")))
-
+    blocks = _likely_blocks(contents, least_agreement(trees * depth, threshold))
     members = contents.select("cid", "h1", "h2", "rep", "copies", "words").join(blocks, "cid")
     sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.sum("words") / CHUNK_WORDS), F.ceil(F.count("*") / CHUNK_CONTENTS)).cast("int").alias("chunks"))
     members = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).drop("words")
@@ -245,10 +265,13 @@ def _placed(docs: DataFrame, threshold: float, trees: int = 32, longest: int = 8
 
     sets = texts.mapInArrow(shingle_sets, "block long, cid long, copies long, chunk int, chunks int, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "chunk").alias("p"), F.greatest(o, "chunk").alias("q")))
-    met = sets.withColumn("pair", F.explode(pairs)).select("block", "cid", "copies", "chunk", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "shingles")
-    found = checkpointed(met.groupBy("block", "p", "q").applyInArrow(_verify(Fraction(str(threshold))), "cid long, root long, links long"))
+    met = sets.withColumn("pair", F.explode(pairs)).select("block", "cid", "copies", "chunk", "chunks", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "shingles")
+    found = checkpointed(met.groupBy("block", "p", "q").applyInArrow(_verify(Fraction(str(threshold))), "cid long, root long, links long, whole boolean"))
 
-    classes = linked_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    classes = found.where("whole").select(F.col("cid").alias("node"), F.col("root").alias("component"))
+    parts = found.where("not whole").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    if not parts.isEmpty():
+        classes = classes.unionByName(linked_components(parts))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     placed = contents.select("cid", "h1", "h2", "rep", "copies").join(links, "cid", "left").join(classes.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.withColumn("component", F.coalesce("component", "cid"))

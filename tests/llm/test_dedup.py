@@ -7,8 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from loomwork.llm import anchors, jaccard_forest, prefix_trees, suffix_arrays
-from loomwork.llm.shared import linked_components
+from loomwork.llm import anchors, jaccard_forest, prefix_trees, shared, suffix_arrays
+from loomwork.llm.shared import checkpointed, linked_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,6 +122,19 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100} | {i: 101 for i in (101, 102, 103)} | {200 + i: 200 for i in range(51)}
 
 
+def test_stars_take_no_step_and_texts_without_large_blocks_one_search_for_components(spark, monkeypatch):
+    stored_tables, searches = [], []
+    monkeypatch.setattr(shared, "checkpointed", lambda df: stored_tables.append(1) or checkpointed(df))
+    stars = [(10 * i + k, 10 * i) for i in range(1, 5) for k in range(1, 9)] + [(7, 7)]
+    assert dict(linked_components(spark.createDataFrame(stars, "a long, b long")).collect()) == {7: 7} | {10 * i + k: 10 * i for i in range(1, 5) for k in range(9)}
+    assert len(stored_tables) == 1
+    monkeypatch.setattr(jaccard_forest, "linked_components", lambda edges: searches.append(1) or linked_components(edges))
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:150], f"new{i}", *words[150:]])) for i in range(4)] + [(9, "some other text altogether")]
+    assert rows_of(jaccard_forest.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id", "n_links") == brute_classes(rows)
+    assert len(searches) == 1
+
+
 def brute_bytes(rows, window):
     data = [(t or "").encode() for _, t in rows]
     often = Counter(d[i : i + window] for d in data for i in range(len(d) - window + 1))
