@@ -13,6 +13,8 @@ stays null; an empty table gives no rows; other columns are ignored. Each docume
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.shared import checkpointed
 
 END_ID = 1
-#: Words whose ids a task remembers (under 200 MB).
+#: Words whose ids a Python worker remembers, from task to task (under 200 MB).
 REMEMBERED = 700_000
 #: Pieces of one length that one task orders, about; the number of parts follows from it.
 PART = 1 << 16
@@ -48,6 +50,26 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         # a special token parts the words of one call, as it is cut out before anything else is done to a text
         self.part = next((t for t in ("<|startoftext|>", "<|endoftext|>") if self.tokenizer.token_to_id(t) is not None), None)
+        # which ids end a word, if the vocabulary marks that
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def _joined(self, words: list[str], joint: str) -> np.ndarray:
+        """The fast way gives the same ids, but doesn't work out where in the text they stand."""
+        return np.array(self.tokenizer.encode_batch_fast([joint.join(words)], add_special_tokens=False)[0].ids, "<u4")
+
+    def _remember(self, words: list[str], ids: np.ndarray, begins: list[int], ends: list[int]) -> None:
+        self.known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, begins, ends)), strict=True))
+
+    def _by_last_ids(self, words: list[str]) -> bool:
+        """Remember words of letters, joined by spaces: each has one id that ends a word, or more if it is cut, so as many as words are one each. Else False."""
+        ids = self._joined(words, " ")
+        ends = 4 * np.flatnonzero(self.last[ids]) + 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return False
+        self._remember(words, ids, [0, *ends[:-1].tolist()], ends.tolist())
+        return True
 
     def _learn(self, new: set[str]) -> None:
         """Remember the ids of words. What stands before a tail of signs is a word to the tokenizer too, so both are looked up alone."""
@@ -59,15 +81,20 @@ class WordEncoder:
         known = self.known
         whole = {w for w in new if w not in cut} | {p for pair in cut.values() for p in pair if p not in known}
         plain = [w for w in whole if self.part and "<|" not in w]
-        for at in range(0, len(plain), 2_000):
-            words = plain[at : at + 2_000]
-            # the fast way gives the same ids, but doesn't work out where in the text they stand
-            ids = np.array(self.tokenizer.encode_batch_fast([self.part.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        lettered = [w for w in plain if w.isalpha()]
+        rest = [w for w in plain if not w.isalpha()]
+        for at in range(0, len(lettered), 2_000):
+            words = lettered[at : at + 2_000]
+            if not self._by_last_ids(words):
+                rest += words
+        for at in range(0, len(rest), 2_000):
+            words = rest[at : at + 2_000]
+            ids = self._joined(words, self.part)
             parts = 4 * np.flatnonzero(ids == self.tokenizer.token_to_id(self.part))
             if len(parts) != len(words) - 1:
                 raise ValueError("the tokenizer doesn't part words at its special token")
             begins, ends = [0, *(parts + 4).tolist()], [*parts.tolist(), 4 * len(ids)]
-            known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, begins, ends)), strict=True))
+            self._remember(words, ids, begins, ends)
         for word in whole.difference(plain):
             known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         for word, (stem, tail) in cut.items():
@@ -83,22 +110,23 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this process. A Python worker serves many tasks, and a function that is sent to it can't keep anything from one to the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
     end = np.array([END_ID], "<u4").tobytes()
-    state: dict[str, WordEncoder] = {}
 
     @F.arrow_udf("struct<tokens:long,crcs:array<long>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in state:
-            state[path] = WordEncoder(path)
         tokens, crcs = [], []
         texts = pc.fill_null(texts, "")
         for at in range(0, len(texts), 200):
-            for ids in state[path].encode(texts.slice(at, 200).to_pylist()):
+            for ids in encoder(path).encode(texts.slice(at, 200).to_pylist()):
                 ids = memoryview(ids + end)
                 tokens.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])

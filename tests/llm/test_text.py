@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from loomwork.llm import line_quality, packing, pieces, secret_scan, toxicity
 from loomwork.llm.queries import tokenizer_path
@@ -384,6 +386,30 @@ def test_patterns_hold_every_length():
         assert placed == Counter(histogram)
 
 
+def test_words_of_letters_are_joined_by_spaces():
+    """A special token between two words costs more; it stays for words that are cut within, as a dotted capital I is."""
+    from loomwork.llm.packing import WordEncoder
+
+    encoder, texts = WordEncoder(tokenizer_path("word_bpe_49k.json")), ["plain words Straße été 漢字 ª ǅ", "İstanbul among others", "n0t 'only letters' x"]
+    want = [np.array(encoder.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    joints, joined = [], encoder._joined
+    encoder._joined = lambda words, joint: joints.append(joint) or joined(words, joint)
+    got = []
+    for text, used in zip(texts, ([" "], [" ", encoder.part], [" ", encoder.part]), strict=True):
+        got += encoder.encode([text])
+        assert joints == used
+        joints.clear()
+    assert got == want
+
+
+def test_a_worker_keeps_its_encoder_from_task_to_task():
+    """Functions come to a worker pickled, once for every task."""
+    path = tokenizer_path("word_bpe_49k.json")
+    sent = [pickle.loads(cloudpickle.dumps(lambda: packing.encoder(path))) for _ in range(2)]
+    sent[0]().encode(["two words"])
+    assert sent[0]() is sent[1]() and {"two", "words"} <= sent[1]().known.keys()
+
+
 def test_words_are_encoded_without_their_places():
     """The tokenizer's slow way, which also works out every id's place in the text, isn't taken for words that a special token parts."""
     import public_tokenizers
