@@ -109,6 +109,8 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         return pa.array(out, pa.string())
 
     touched = F.col("_whole") | F.col("runs").isNotNull()
+    # not deterministic for Catalyst, which else computes it for the filter and again for the result, by two more Python workers an executor
+    kept = kept.asNondeterministic()
     new = marked.withColumn("_new", F.when(touched, kept(F.col("text"), F.col("_whole"), F.col("runs"))))
     new = new.where(F.col("_new").isNull() | (F.col("_new") != ""))
     return restore(new.withColumn("text", F.coalesce("_new", "text")))

@@ -262,3 +262,8 @@ def test_texts_without_repeats(odd, texts, none):
     want = Counter(s for (i, n, gone, s) in brute_words(texts, 50) if not (n and gone == n))
     assert Counter(sha(" ".join(WORD.findall(r["text"] or "")).encode()) for r in kept.collect()) == want
     assert prefix_trees.without_repeats(none).count() == 0
+
+
+def test_texts_are_cut_once(odd):
+    plan = prefix_trees.without_repeats(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # not for the filter and again for the result
