@@ -8,6 +8,9 @@ prunes less. Words are counted by themselves. If two of them share a 64-bit hash
 among the best get their words back.
 
 A task joins equal phrases of 1 MB of text, and these again in groups of `HELD` or `HELD_PHRASES` rows, before anything is shuffled.
+Places whose two parts of 2 words passed follow each other in long runs, in copied passages above all. Equal runs are joined over all
+tasks and stored with their number, and phrases of 3 words and more are counted from the different runs: a passage that stands in n texts gives
+its phrases once, not once for each task that meets it, and the texts are read once less.
 
 Defined cases: a null text is empty; a null lang is `und`, an empty one stays; repeated rows count as often as they stand; ties of
 scores are broken by count and words, so ranks are unique; an empty table gives no rows; doc_id and other columns are ignored.
@@ -31,6 +34,8 @@ from loomwork.storage import stored
 TABLE_BITS = 1 << 28
 #: Rows of counts that a task gathers before it joins equal ones and gives them out: of words, and of phrases, few of which are equal.
 HELD, HELD_PHRASES = 1 << 19, 1 << 17
+#: Words of runs that a task gathers before it joins equal runs (8 MB), and the most places of a run: a longer one is cut.
+HELD_RUN_WORDS, RUN_PLACES = 1 << 20, 64
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,6 +57,12 @@ def _turned_column(words: Column, word: int) -> Column:
     return F.shiftleft(value, left).bitwiseOR(F.shiftrightunsigned(value, 64 - left)) if word else value
 
 
+def _keys(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A key of the k words from each word on, whether a break lies between them or not; others may share it."""
+    n = len(hashes) - k + 1
+    return reduce(np.bitwise_xor, [_turned(hashes[i : i + n], i) for i in range(k)]) if n > 0 else hashes[:0]
+
+
 class Words:
     """The words of a chunk of texts: where they are, which of them follow each other in a piece, and their hashes."""
 
@@ -66,9 +77,7 @@ class Words:
         self.hashes = mix(values + langs[self.row] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed)) if len(self.row) else values
 
     def keys(self, k: int) -> np.ndarray:
-        """A key of the k words from each word on, whether a break lies between them or not; others may share it."""
-        n = len(self.hashes) - k + 1
-        return reduce(np.bitwise_xor, [_turned(self.hashes[i : i + n], i) for i in range(k)]) if n > 0 else self.hashes[:0]
+        return _keys(self.hashes, k)
 
     def whole(self, k: int) -> np.ndarray:
         """The words from which k words lie in one piece."""
@@ -86,6 +95,17 @@ class Words:
         begin = np.flatnonzero(new)
         return at[order[begin]], np.diff(np.concatenate([begin, [len(order)]]))
 
+    def runs(self, at: np.ndarray, k: int, more: int) -> pa.Array:
+        """The words of the places `at`, as bytes, of those that follow each other in one row. A run of more than `RUN_PLACES` is cut; its parts
+        but the last also hold up to `more` words of the next part, so that longer phrases that begin in them lie in them."""
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1])) if len(at) else at
+        size = np.diff(np.concatenate([begin, [len(at)]]))
+        part = (np.arange(len(at)) - np.repeat(begin, size)) % RUN_PLACES == 0
+        left = np.repeat(begin + size, size)[part] - np.flatnonzero(part)  # places to the end of the run
+        words = np.minimum(left, RUN_PLACES + more) + k - 1
+        bounds = np.concatenate([[0], 8 * np.cumsum(words)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(self.hashes[ranges(at[part], words)].tobytes())])
+
     def texts(self, at: np.ndarray) -> pa.Array:
         begin, length = self.starts[at], self.ends[at] - self.starts[at]
         bounds = np.concatenate([[0], np.cumsum(length)])
@@ -147,9 +167,9 @@ class _Held:
     def __init__(self, keys: list[str], schema: pa.Schema, most: int):
         self.keys, self.schema, self.most, self.tables, self.rows = keys, schema, most, [], 0
 
-    def add(self, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    def add(self, columns: list[pa.Array], weight: int | None = None) -> Iterator[pa.RecordBatch]:
         self.tables.append(pa.Table.from_arrays(columns, schema=self.schema))
-        self.rows += len(columns[0])
+        self.rows += len(columns[0]) if weight is None else weight
         if self.rows > self.most:
             yield from self.out()
 
@@ -196,9 +216,55 @@ def _phrase_counts(texts: DataFrame, k: int, before: Broadcast, seed: int) -> Da
                 yield from held.add([*[pa.array(words.hashes[first + i].view(np.int64)) for i in range(k)], pa.array(n)])
         yield from held.out()
 
-    counts = texts.mapInArrow(count, ", ".join(f"{w} long" for w in names) + ", n long")
-    # dealt by words first: tasks have joined what they can, so a second hash table before the shuffle would only take memory
-    return counts.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n")).select(F.array(*names).alias("words"), "n")
+    return _summed(texts.mapInArrow(count, ", ".join(f"{w} long" for w in names) + ", n long"), names).select(F.array(*names).alias("words"), "n")
+
+
+def _summed(counts: DataFrame, names: list[str]) -> DataFrame:
+    """Dealt by key first: tasks have joined what they can, so a second hash table before the shuffle would only take memory."""
+    return counts.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _runs(texts: DataFrame, k: int, before: Broadcast, seed: int, longest: int) -> DataFrame:
+    """(run, n) of the different runs of places from which k words follow whose parts of k - 1 words passed the level before."""
+    schema = pa.schema([("run", pa.large_binary()), ("n", pa.int64())])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(["run"], schema, HELD_RUN_WORDS)
+        for batch in batches:
+            for _, _, words in _chunks(batch, seed):
+                at, part = words.whole(k), _marked(before.value, words.keys(k - 1))
+                found = words.runs(at[part[at] & part[at + 1]], k, longest - k)
+                yield from held.add([found, pa.array(np.ones(len(found), np.int64))], found.nbytes // 8)
+        yield from held.out()
+
+    return _summed(texts.mapInArrow(runs, "run binary, n long"), ["run"])
+
+
+def _phrases_in_runs(runs: DataFrame, least: int, k: int, before: Broadcast | None) -> DataFrame:
+    """(words, n) of the phrases of k words in runs of places with `least` words each; `before`: only those whose parts of k - 1 words passed the level before."""
+    names = [f"w{i}" for i in range(k)]
+    schema = pa.schema([*[(w, pa.int64()) for w in names], ("n", pa.int64())])
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(names, schema, HELD_PHRASES)
+        for batch in batches:
+            run, n = column_of(batch, "run").cast(pa.large_binary()), column_of(batch, "n").to_numpy()
+            if not len(run):
+                continue
+            bounds = np.frombuffer(run.buffers()[1], np.int64, len(run) + 1, 8 * run.offset) // 8
+            hashes = np.frombuffer(run.buffers()[2], np.uint64, bounds[-1] - bounds[0], 8 * int(bounds[0]))
+            words = np.diff(bounds)
+            # a place belongs to one run only, and the words after the last one are there for longer phrases
+            places = np.maximum(np.minimum(np.minimum(words - least + 1, RUN_PLACES), words - k + 1), 0)
+            at, n = ranges(bounds[:-1] - bounds[0], places), np.repeat(n, places)
+            if before is not None:
+                part = _marked(before.value, _keys(hashes, k - 1))
+                passed = part[at] & part[at + 1]
+                at, n = at[passed], n[passed]
+            yield from held.add([*[pa.array(hashes[at + i].view(np.int64)) for i in range(k)], pa.array(n)])
+        yield from held.out()
+
+    return _summed(runs.mapInArrow(phrases, ", ".join(f"{w} long" for w in names) + ", n long"), names).select(F.array(*names).alias("words"), "n")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, table_bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -213,7 +279,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, longest: int = 4, tab
     levels = [often.select(F.array("h").alias("words"), "n")]
     for k in range(2, longest + 1):
         before = _table(levels[-1].select("words"), k - 1, table_bits)
-        levels.append(stored(_phrase_counts(texts, k, before, seed).where(F.col("n") >= min_count)))
+        if k == 3:
+            runs = stored(_runs(texts, k, before, seed, longest))
+        counts = _phrase_counts(texts, k, before, seed) if k == 2 else _phrases_in_runs(runs, 3, k, before if k > 3 else None)
+        levels.append(stored(counts.where(F.col("n") >= min_count)))
         before.unpersist()
     return reduce(DataFrame.unionByName, levels), often.select("h", "lang", "word"), totals
 

@@ -302,5 +302,41 @@ def test_phrases_that_share_a_key(monkeypatch):
     assert sorted(zip(at.tolist(), n.tolist(), strict=True)) == [(0, 3), (1, 1), (3, 1), (4, 2), (5, 1), (7, 1)]
 
 
+def test_phrases_of_long_runs(spark):
+    """A frequent passage longer than a run may be is cut: phrases over its cuts are counted once."""
+    passage = [f"w{i % 150}" for i in range(3 * phrases.RUN_PLACES + 7)]
+    cut = phrases.RUN_PLACES
+    texts = [passage, passage[: cut + 3], passage[: cut + 4], passage[: 2 * cut + 2], ["x"] * 700]
+    rows = [("en", f"{i} " + " ".join(x)) for x in texts for i in range(20)]
+    for longest in (3, 4, 6):
+        levels, words, _ = phrases.frequent_phrases(spoken(spark, rows), 30, longest)
+        spelled = {r["h"]: r["word"] for r in words.collect()}
+        got = {" ".join(spelled[h] for h in r["words"]): r["n"] for r in levels.collect()}
+        want = {}
+        for _, text in rows:
+            own = text.split()
+            for k in range(1, longest + 1):
+                for i in range(len(own) - k + 1):
+                    want[" ".join(own[i : i + k])] = want.get(" ".join(own[i : i + k]), 0) + 1
+        assert got == {p: n for p, n in want.items() if n >= 30}
+
+
+def test_copies_in_more_tasks_make_no_more_phrases(spark, monkeypatch):
+    """Copies of a passage meet as runs, wherever they stand, before phrases of 3 words and more are counted; those of 4 don't read the texts again."""
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = spoken(spark, [("en", passage)] * 40)
+    kept, real = [], phrases.stored
+    monkeypatch.setattr(phrases, "stored", lambda df: kept.append((df, real(df))) or kept[-1][1])
+    made = []
+    for parts in (1, 20):
+        kept.clear()
+        levels = phrases.frequent_phrases(rows.repartition(parts), 30, 4)[0]
+        assert sorted(r["n"] for r in levels.collect()) == [40] * (50 + 49 + 48 + 47)
+        readers = [df._jdf.queryExecution().optimizedPlan().toString() for df, _ in kept]
+        assert sum("(lang#" in plan for plan in readers) == 3  # words, pairs and runs
+        made.append([t.count() for _, t in kept if t.columns == ["run", "n"]])
+    assert made == [[1], [1]]
+
+
 def test_phrases_of_nothing(spark, none):
     assert phrases.collocations(none).count() == 0
