@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.storage import checkpointed
+from loomwork.operators.near_pairs import LISTED, near_decided, near_pairs, slice_masks
+from loomwork.operators.sampling import ranked_in_order
+from loomwork.storage import checkpointed, stored
+
+#: Items of the greedy walk's first stretch (each next one is three times what is before it), and pairs that one task walks over at most.
+FIRST_STRETCH, WALKED = 4096, 1 << 20
 
 
 def content_duplicates(candidates: DataFrame, reference: DataFrame, content: str, path: str, order: str) -> DataFrame:
@@ -44,10 +50,7 @@ def band_masks(distance: int, bits: int = 64) -> list[int]:
     distance of 5 there are 56 choices of 24 bits; the 6 single slices that would do as well have 10 or 11 bits, which a large
     table fills.
     """
-    n = max(min(distance + 3, bits), 1)
-    ends = [bits * i // n for i in range(n + 1)]
-    masks = [sum((1 << ends[i + 1]) - (1 << ends[i]) for i in chosen) for chosen in combinations(range(n), max(n - distance, 0))]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return slice_masks(distance, 3, bits)
 
 
 def bands(value: Column, distance: int, bits: int = 64) -> Column:
@@ -89,38 +92,87 @@ def near_leaks(train: DataFrame, test: DataFrame, distance: int, hash_column: st
     return train.join(match, F.col(hash_column) == F.col("left_hash")).drop("left_hash")
 
 
-def greedy_clusters(items: DataFrame, key: str, hashes: list[str], order: list[Column], distance: int = 5, rounds: int = 100) -> DataFrame:
+def greedy_clusters(items: DataFrame, key: str, hashes: list[str], order: list[Column], distance: int = 5, stretch: int = FIRST_STRETCH, listed: int = LISTED, walked: int = WALKED) -> DataFrame:
     """(key, duplicate_of): walk the items in order; one near an earlier representative (by any hash) is its duplicate, else a representative.
 
-    The walk is done in rounds over the graph of near hashes: an item without undecided or representative earlier neighbours is a
-    representative, one with an earlier representative neighbour a duplicate. Items with equal hashes are one node. An item that lacks a
-    hash is a duplicate of nothing.
+    Items with equal hashes are one node, and nodes are numbered in order. Growing stretches of them are decided one after the other:
+    only representatives of the stretches before and nodes that are near none of them meet, so hashes near very many others don't meet
+    them all. An item that lacks a hash is a duplicate of nothing.
     """
     whole = reduce(lambda x, y: x & y, [F.col(h).isNotNull() for h in hashes])
     without = items.where(~whole).select(key, F.lit(None).cast(items.schema[key].dataType).alias("duplicate_of"))
     ranked = items.where(whole).select(key, *hashes, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k")).alias("_o"))
-    nodes = checkpointed(ranked.groupBy(*hashes).agg(F.min("_o").alias("_o")).withColumn("node", F.col("_o")["k"]))
+    nodes = ranked.groupBy(*hashes).agg(F.min("_o").alias("_o")).withColumn("_all", F.lit(0))
+    nodes = stored(ranked_in_order(nodes, "_all", [F.col("_o")], "_item").select("_item", F.col("_o")["k"].alias("_node"), *hashes))
+    firsts = items.sparkSession.createDataFrame([], "late long, early long")
+    total, start, end = nodes.count(), 1, 1 + stretch
+    while start <= total:
+        left = nodes.where(F.col("_item") < end).join(firsts, F.col("_item") == F.col("late"), "left_anti").select(F.col("_item").alias("item"), *hashes)
+        if start > 1:
+            near = near_decided(left, hashes, start, distance)
+            gone = checkpointed(near.groupBy("late").agg(F.min("early").alias("early")))
+            firsts = firsts.unionByName(gone)
+            left = left.where(F.col("item") >= start).join(gone, F.col("item") == F.col("late"), "left_anti")
+        near = checkpointed(near_pairs(left, hashes, distance, listed))
+        found, certain = _decided(near, walked)
+        firsts = firsts.unionByName(found)
+        while not certain:
+            # only who is near another one has to meet the others again, without the duplicates that are known by now
+            some = near.select(F.explode(F.array("late", "early")).alias("item")).distinct().join(found, F.col("item") == F.col("late"), "left_anti")
+            left = checkpointed(left.join(some, "item", "left_semi"))
+            near = checkpointed(near_pairs(left, hashes, distance, listed))
+            found, certain = _decided(near, walked)
+            firsts = firsts.unionByName(found)
+        start, end = end, 4 * end
+    named = nodes.join(firsts, F.col("_item") == F.col("late"), "left").drop("_item", "late")
+    named = named.join(nodes.select(F.col("_item").alias("early"), F.col("_node").alias("_first")), "early", "left").drop("early")
+    same = ranked.drop("_o").join(named, hashes)
+    own = F.when(F.col("_first").isNotNull(), F.col("_first")).when(F.col(key) != F.col("_node"), F.col("_node"))
+    return same.select(key, own.alias("duplicate_of")).unionByName(without)
+
+
+def _decided(near: DataFrame, walked: int) -> tuple[DataFrame, bool]:
+    """(late, early) of the duplicates and their first representatives, as far as they are certain, and whether all are.
+
+    Neighbours after a list's cut aren't known, so an item is doubtful if its first representative is after the cut of one of its lists. Up
+    to the first doubtful item all is as if the lists were whole; items that aren't doubtful and have a representative before it are
+    certain. The cut list of the first doubtful item holds only certain duplicates, so there are always some.
+    """
+    pairs = near.where("early < late").select("late", "early")
+    duplicates = _duplicates(pairs, walked).select(F.col("late").alias("early"))
+    found = pairs.join(duplicates, "early", "left_anti").groupBy("late").agg(F.min("early").alias("early"))
+    cuts = near.where("cut").groupBy("late").agg(F.min("early").alias("last"))
+    found = checkpointed(found.join(cuts, "late", "full"))
+    first = found.where("last < coalesce(early, late)").agg(F.min("late")).first()[0]
+    certain = found.where("early is not null and (last is null or early <= last)")
+    if first is not None:
+        certain = certain.where(F.col("early") < first)
+    return certain.select("late", "early"), first is None
+
+
+def _duplicates(pairs: DataFrame, walked: int) -> DataFrame:
+    """(late) of pairs of undecided items: who has an earlier neighbour that isn't a duplicate itself.
+
+    Neighbours of items without an earlier one are found in rounds over all tasks, until `walked` pairs or less are left for one task.
+    """
     found = []
-    for h in hashes:
-        pairs = hamming_pairs(nodes, nodes, distance, h)
-        a, b = nodes.select(F.col(h).alias("left_hash"), F.col("node").alias("late"), F.col("_o").alias("lo")), nodes.select(F.col(h).alias("right_hash"), F.col("node").alias("early"), F.col("_o").alias("eo"))
-        found.append(pairs.join(a, "left_hash").join(b, "right_hash").where("eo < lo").select("late", "early", "eo"))
-    edges = checkpointed(reduce(DataFrame.unionByName, found).distinct())
-    state = checkpointed(nodes.select("node", F.lit(None).cast("boolean").alias("rep")))
-    for _ in range(rounds):
-        near = edges.join(state.select(F.col("node").alias("early"), "rep"), "early").groupBy(F.col("late").alias("node"))
-        facts = near.agg(F.bool_or(F.coalesce("rep", F.lit(False))).alias("by_rep"), F.bool_or(F.col("rep").isNull()).alias("open"))
-        decided = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.coalesce("by_rep", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = checkpointed(state.join(facts, "node", "left").select("node", decided.alias("rep")))
-        if not state.where("rep is null").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"clusters not settled after {rounds} rounds")
-    firsts = edges.join(state.where("rep").select(F.col("node").alias("early")), "early").groupBy(F.col("late").alias("node")).agg(F.min("eo")["k"].alias("first"))
-    named = state.join(firsts, "node", "left").select("node", F.when(F.col("rep"), F.lit(None)).otherwise(F.col("first")).alias("first"))
-    same = ranked.join(nodes.select("node", *hashes), reduce(lambda x, y: x & y, [ranked[h].eqNullSafe(nodes[h]) for h in hashes]))
-    own = F.when(F.col("first").isNotNull(), F.col("first")).when(F.col(key) != F.col("node"), F.col("node"))
-    return same.join(named, "node").select(key, own.alias("duplicate_of")).unionByName(without)
+    while pairs.count() > walked:
+        roots = pairs.select("early").distinct().join(pairs.select(F.col("late").alias("early")), "early", "left_anti")
+        found.append(checkpointed(pairs.join(roots, "early", "left_semi").select("late").distinct()))
+        pairs = pairs.join(found[-1], "late", "left_anti").join(found[-1].select(F.col("late").alias("early")), "early", "left_anti")
+        pairs = checkpointed(pairs.select("late", "early"))
+    last = pairs.coalesce(1).sortWithinPartitions("late", "early").mapInArrow(_walked, "late long")
+    return checkpointed(reduce(DataFrame.unionByName, found, last))
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The duplicates of pairs in order of (late, early)."""
+    found = set()
+    for batch in batches:
+        for late, early in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if early not in found:
+                found.add(late)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["late"])
 
 
 def delete_manifest(duplicates: DataFrame, path: str, reason: str, duplicate_of: Column) -> DataFrame:
